@@ -34,7 +34,7 @@ def in_list(values: Iterable[str]) -> str:
 
 
 def list_lit(values: Iterable[str]) -> str:
-    return "[" + ", ".join(lit(v) for v in values) + "]::VARCHAR[]"
+    return "CAST([" + ", ".join(lit(v) for v in values) + "] AS VARCHAR[])"
 
 
 def values_table(name: str, columns: str, rows: Iterable[Iterable]) -> str:
@@ -54,7 +54,7 @@ def with_(*ctes: str) -> str:
 # Inputs
 # --------------------------------------------------------------------------------------------------------------
 
-_BANK = "[" + ", ".join(lit(a) for a in fx.BANK) + "]::VARCHAR[]"
+_BANK = list_lit(fx.BANK)
 
 
 def survey(name: str = "survey") -> str:

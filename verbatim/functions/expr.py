@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     computed once. Only worth it around costly values: lambdas are interpreted.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def explode_rows(df: DataFrame, keep: list[str], values: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form is filtered afterwards on purpose: for the plain form the optimizer infers a filter on the array's
+    size and pushes it below, which computes a costly array twice.
+    """
+    pos = position or "_pos"
+    out = df.select(*keep, F.posexplode_outer(values).alias(pos, name)).filter(F.col(pos).isNotNull())
+    return out if position else out.drop(pos)

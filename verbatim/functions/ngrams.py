@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import bind
 from verbatim.functions.patterns import WORD, word_bounded
 
 BREAK = "\x01"
@@ -45,10 +46,15 @@ def keyword_hits(words: Column, keywords: Iterable[str]) -> Column:
     by_length: dict[int, list[str]] = {}
     for k in sorted(set(keywords)):
         by_length.setdefault(len(k.split(" ")), []).append(k)
-    found = [_members(ngrams(words, n), terms) for n, terms in sorted(by_length.items())]
-    if not found:
+    if not by_length:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])
+
+    # The words are bound first: inside a lambda, an unbound array would be computed again for every element.
+    def find(w: Column) -> Column:
+        found = [_members(ngrams(w, n), terms) for n, terms in sorted(by_length.items())]
+        return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])
+
+    return bind(words, find)
 
 
 def pattern_hits(text: Column, keywords: Iterable[str]) -> Column:

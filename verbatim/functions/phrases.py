@@ -5,47 +5,65 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
-from verbatim.functions.patterns import WORD, WS, quote_replacement, word_bounded
+from verbatim.functions.expr import bind
+from verbatim.functions.patterns import WORD, WS, any_term, quote_replacement, word_bounded
 from verbatim.functions.text import collapse_spaces, strip, tokens
 
 
-def uk_spelling(c: Column) -> Column:
+def _flags(lower_case: bool) -> str:
+    return "" if lower_case else "(?iu)"
+
+
+def uk_spelling(c: Column, lower_case: bool = False) -> Column:
+    """Regional spelling; ``lower_case`` says the text is lower-case already, which makes the patterns cheaper."""
     out = c
     for us, uk in lx.UK_SPELLINGS.items():
-        out = F.regexp_replace(out, f"(?iu){word_bounded(us)}", uk)
+        out = F.regexp_replace(out, _flags(lower_case) + word_bounded(us), uk)
     return out
 
 
-def uk_terms(c: Column) -> Column:
+def uk_terms(c: Column, lower_case: bool = False) -> Column:
     """Regional vocabulary, then ``manager`` as ``line manager`` unless it already is one."""
     out = c
     for term, replacement in lx.US_TO_UK_TERMS.items():
         stem = term.removesuffix("(s)")
         plural = "s?" if term.endswith("(s)") else ""
-        pattern = f"(?iu)(?<![{WORD}]){stem}{plural}(?![{WORD}])"
+        pattern = f"{_flags(lower_case)}(?<![{WORD}]){stem}{plural}(?![{WORD}])"
         out = F.regexp_replace(out, pattern, quote_replacement(replacement))
-    return F.regexp_replace(out, f"(?iu)(?<!line )(?<![{WORD}])manager(?![{WORD}])", "line manager")
-
-
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+    manager = f"{_flags(lower_case)}(?<!line )(?<![{WORD}])manager(?![{WORD}])"
+    return F.regexp_replace(out, manager, "line manager")
+
+
+def _regional_lower(c: Column) -> Column:
+    """Both rewrites of lower-case text. One scan for any affected word spares most texts the long chain."""
+    terms = [*lx.UK_SPELLINGS, "manager"]
+    for t in lx.US_TO_UK_TERMS:
+        terms += [t.removesuffix("(s)") + "s", t.removesuffix("(s)")] if t.endswith("(s)") else [t]
+    affected = any_term(terms).removeprefix("(?iu)")
+    return bind(
+        c, lambda t: F.when(t.rlike(affected), F.lower(uk_terms(uk_spelling(t, True), True))).otherwise(t)
+    )
 
 
 def nfkc(c: Column) -> Column:
     """Unicode NFKC. Plain ASCII is already normal, so only other text travels to Python."""
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+
+    @F.arrow_udf("string")
+    def normalise(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+    return F.coalesce(normalise(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def canonical_phrase(c: Column) -> Column:
     """Trim, NFKC, collapse spaces, regional wording, lower case, no punctuation at the edges."""
-    text = collapse_spaces(nfkc(strip(F.coalesce(c, F.lit("")))))
-    return F.btrim(F.lower(uk_terms(uk_spelling(text))), F.lit(lx.PHRASE_EDGE_CHARS))
+    text = F.lower(collapse_spaces(nfkc(strip(F.coalesce(c, F.lit(""))))))
+    return F.btrim(_regional_lower(text), F.lit(lx.PHRASE_EDGE_CHARS))
 
 
 def is_generic_phrase(c: Column) -> Column:

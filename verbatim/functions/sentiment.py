@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
+from verbatim.functions.expr import bind
 from verbatim.functions.patterns import WORD, any_term
 from verbatim.functions.text import strip
 
@@ -23,7 +24,7 @@ def has_contrast(c: Column) -> Column:
 def split_on_contrast(c: Column) -> Column:
     """Clauses between contrast markers, trimmed and non-blank; the whole text where none is left."""
     clauses = F.filter(F.transform(F.split(c, CONTRAST), strip), lambda s: s != "")
-    return F.when(F.size(clauses) > 0, clauses).otherwise(F.array(c))
+    return bind(clauses, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(c)))
 
 
 def detect_coping(c: Column) -> Column:
@@ -94,10 +95,13 @@ def lexicon_scorer(
 
 def clause_weighted(scores: Column) -> Column:
     """Mean of clause scores with weights rising evenly from 0.2 to 0.8; a single clause keeps its own score."""
-    n = F.size(scores)
-    weight = F.transform(scores, lambda _, i: 0.2 + 0.6 * i / F.greatest(n - 1, F.lit(1)))
-    total = F.aggregate(weight, F.lit(0.0), lambda a, w: a + w)
-    weighted = F.aggregate(
-        F.zip_with(scores, weight, lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x
-    )
-    return weighted / total
+
+
+    def combine(s: Column) -> Column:
+        steps = F.greatest(F.size(s) - 1, F.lit(1))
+        weights = F.transform(s, lambda _, i: 0.2 + 0.6 * i / steps)
+        total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+        weighted = F.aggregate(F.zip_with(s, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+        return weighted / total
+
+    return bind(scores, combine)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import bind
 from verbatim.functions.sentiment import words
 
 
@@ -18,8 +19,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector scaled to length one; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    def scale(norm: Column) -> Column:
+        return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+
+    # The norm is bound first, or it would be computed again for every element.
+    return bind(F.sqrt(dot(v, v)), scale)
 
 
 def hash_buckets(c: Column, dim: int) -> Column:

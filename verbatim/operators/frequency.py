@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
+from verbatim.functions.expr import explode_rows
 from verbatim.functions.text import frequency_preprocess, frequency_tokens
 from verbatim.settings import FrequencySettings
 from verbatim.sources.dictionary import TextDictionary
@@ -33,7 +34,7 @@ def token_frequencies(
         clean, dictionary, stopwords(dictionary, base_stopwords), keep_phrases_only=False,
         min_token_len=settings.min_token_len,
     )
-    exploded = texts.filter(F.col("text").isNotNull()).select("TextColumn", F.explode(tokens).alias("token"))
+    exploded = explode_rows(texts.filter(F.col("text").isNotNull()), ["TextColumn"], tokens, "token")
     shown = F.replace("token", F.lit("_"), F.lit(" ")) if settings.display_phrases_with_spaces else F.col("token")
     counts = (
         exploded.groupBy("TextColumn", shown.alias("token"), F.contains("token", F.lit("_")).alias("is_phrase"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from verbatim.functions import literals
+from verbatim.functions.expr import bind, explode_rows
 from verbatim.functions.ngrams import is_plain_keyword, keyword_hits, match_words, ngrams, pattern_hits
 from verbatim.functions.patterns import word_bounded
 from verbatim.functions.quality import is_dismissive_short
@@ -152,8 +153,11 @@ def add_exact_hits_by_join(
     join, which carries only the keys; a frequent n-gram is a skewed join key that adaptive execution splits.
     """
     words = df.select(*keys, match_words(F.col(text)).alias("_w"))
-    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("_w"), n) for n in range(1, max_words + 1)])))
-    exploded = words.select(*keys, F.explode(grams).alias("keyword"))
+    grams = bind(
+        F.col("_w"),
+        lambda w: F.array_distinct(F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_words + 1)]))),
+    )
+    exploded = explode_rows(words, list(keys), grams, "keyword")
     hits = (
         exploded.join(library, "keyword")
         .groupBy(*keys)
@@ -245,6 +249,12 @@ def _fuzzy_candidates(found: Column, cfg: KeywordSettings) -> Column:
     return F.coalesce(F.transform(found, candidate), F.array().cast(_FUZZY_TO_CANDIDATE))
 
 
+def _first_per_subtheme(ranked: Column) -> Column:
+    return F.filter(
+        ranked, lambda c, i: F.when(i == 0, True).otherwise(c["pos"] != F.get(ranked, i - 1)["pos"])
+    )
+
+
 def _scored(candidates: Column, text_column: Column, index: KeywordIndex, cfg: KeywordSettings) -> Column:
     """Accepted candidates in rank order, cut to the best ``top_k``."""
 
@@ -317,11 +327,7 @@ def add_matches(
         )
         staged = staged.withColumn("_fuzzy", found)
         candidates = F.concat(candidates, _fuzzy_candidates(F.col("_fuzzy"), settings))
-    staged = staged.withColumn("_ranked", F.array_sort(candidates))
-    first_per_subtheme = F.filter(
-        F.col("_ranked"),
-        lambda c, i: F.when(i == 0, True).otherwise(c["pos"] != F.get(F.col("_ranked"), i - 1)["pos"]),
-    )
+    first_per_subtheme = bind(F.array_sort(candidates), _first_per_subtheme)
     staged = staged.withColumn("matches", _scored(first_per_subtheme, F.col("TextColumn"), index, settings))
     return staged.select(*before, "matches")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import bind, explode_rows
 from verbatim.functions.plugins import Encoder, PairScorer, Scorer
 from verbatim.functions.sentiment import lexicon_scorer, sentiment_label, split_on_contrast
 from verbatim.functions.text import strip, token_count
@@ -28,17 +29,14 @@ def segment_long(long: DataFrame, settings: SegmentSettings = SegmentSettings())
     whole = F.array(text)
     empty = F.array().cast("array<string>")
     parts = split_on_contrast(text) if settings.detect_contrast else whole
-    long_enough = F.filter(parts, lambda s: token_count(s) >= settings.min_tokens)
-    staged = long.withColumn("_parts", F.coalesce(long_enough, empty))
+    long_enough = F.coalesce(F.filter(parts, lambda s: token_count(s) >= settings.min_tokens), empty)
     fallback = F.when(text != "", whole).otherwise(empty) if settings.fallback_to_whole_text else empty
-    clauses = F.when(F.size("_parts") > 0, F.col("_parts")).otherwise(fallback)
+    clauses = bind(long_enough, lambda p: F.when(F.size(p) > 0, p).otherwise(fallback))
     dismissed = F.coalesce(~F.col("is_meaningful"), F.lit(False))
     chosen = F.when(dismissed, whole if settings.fallback_to_whole_text else empty).otherwise(clauses)
-    return staged.select(
-        "ID", "TextColumn", F.posexplode(chosen).alias("segment_index", "segment_text"), text.alias("source_text"),
-        "is_meaningful", "response_detail",
-    ).select(
-        "ID", "TextColumn", "segment_index", "segment_text", "source_text",
+    kept = ["ID", "TextColumn", "text", "is_meaningful", "response_detail"]
+    return explode_rows(long, kept, chosen, "segment_text", "segment_index").select(
+        "ID", "TextColumn", "segment_index", "segment_text", F.col("text").alias("source_text"),
         token_count(F.col("segment_text")).alias("segment_tokens"), "is_meaningful", "response_detail",
     )
 

@@ -22,7 +22,9 @@ def write_table(
         for path in paths:
             writer = df.write.mode("overwrite").partitionBy(*partition_by)
             if file_format == "csv":
-                writer = writer.option("header", True).option("quote", '"').option("escape", '"')
+                writer = writer.options(
+                    header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+                )
             writer.format(file_format).save(path)
     finally:
         if len(paths) > 1:
@@ -33,7 +35,7 @@ def read_assignments(spark: SparkSession, path: str, file_format: str = "csv") -
     """Read an assignment table for comparison; columns it does not have are added as empty strings."""
     reader = spark.read.format(file_format)
     if file_format == "csv":
-        reader = reader.option("header", True).option("quote", '"').option("escape", '"')
+        reader = reader.options(header=True, quote='"', escape='"', multiLine=True)
     df = reader.load(path)
     if "TextColumn" not in df.columns:
         raise ValueError("an assignment table must have a TextColumn column")
