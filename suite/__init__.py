@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_text", "q_quality", "q_match", "q_sentiment"]
+MODULES = ["q_text", "q_quality", "q_match", "q_sentiment", "q_reports"]
 
 
 def _load() -> None:

@@ -111,7 +111,7 @@ def io14(spark, d):
 
 @query(
     "ag9_weighted_sentiment",
-    "SELECT event_id, round(CASE WHEN w > 0 THEN ws / w END, 6) AS compound, CASE WHEN w > 0 THEN "
+    "SELECT event_id, round(CASE WHEN w > 0 THEN ws / w END, 9) AS compound, CASE WHEN w > 0 THEN "
     + q.sentiment_label("(ws / w)")
     + " ELSE 'Neutral' END AS sentiment_label FROM (SELECT event_id, "
     "CASE WHEN a IS NOT NULL THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN b IS NOT NULL THEN 0.3 ELSE 0 END::DOUBLE AS w, "
@@ -129,7 +129,7 @@ def ag9(spark, d):
     )
     settings = SentimentSettings(column_weights={"a": 0.5, "b": 0.3}, skip_dismissed=False)
     combined = sentiment.combine_scores(scores, ["a", "b", "c"], settings)
-    return qm.rounded(combined.select("event_id", "compound", "sentiment_label"), "compound")
+    return combined.select("event_id", F.round("compound", 9).alias("compound"), "sentiment_label")
 
 
 @query(
