@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_text", "q_quality", "q_match", "q_sentiment", "q_reports"]
+MODULES = ["q_text", "q_quality", "q_match", "q_sentiment", "q_reports", "q_taxonomy", "q_profile"]
 
 
 def _load() -> None:

@@ -26,3 +26,17 @@ def explode_rows(df: DataFrame, keep: list[str], values: Column, name: str, posi
     pos = position or "_pos"
     out = df.select(*keep, F.posexplode_outer(values).alias(pos, name)).filter(F.col(pos).isNotNull())
     return out if position else out.drop(pos)
+
+
+def compute_all(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters and projections read them instead of computing them again.
+
+    A filter on a computed column is normally pushed below the projection that computes it, with the whole expression
+    copied into it. Nothing is pushed below a generator's output, and generating one row costs next to nothing.
+    """
+    row = F.struct(*[c.alias(n) for n, c in values.items()])
+    return df.select(*[c for c in df.columns if c not in values], F.inline(F.array(row)))
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return compute_all(df, {name: value})

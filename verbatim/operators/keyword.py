@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from verbatim.functions import literals
-from verbatim.functions.expr import bind, explode_rows
+from verbatim.functions.expr import bind, compute_once, explode_rows
 from verbatim.functions.ngrams import is_plain_keyword, keyword_hits, match_words, ngrams, pattern_hits
 from verbatim.functions.patterns import word_bounded
 from verbatim.functions.quality import is_dismissive_short
@@ -328,7 +328,7 @@ def add_matches(
         staged = staged.withColumn("_fuzzy", found)
         candidates = F.concat(candidates, _fuzzy_candidates(F.col("_fuzzy"), settings))
     first_per_subtheme = bind(F.array_sort(candidates), _first_per_subtheme)
-    staged = staged.withColumn("matches", _scored(first_per_subtheme, F.col("TextColumn"), index, settings))
+    staged = compute_once(staged, "matches", _scored(first_per_subtheme, F.col("TextColumn"), index, settings))
     return staged.select(*before, "matches")
 
 

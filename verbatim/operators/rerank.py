@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import compute_once
 from verbatim.functions.plugins import Encoder, PairScorer
 from verbatim.operators import assignments as out
 from verbatim.operators.semantic import add_candidates, label_candidates, with_vectors
@@ -42,7 +43,7 @@ def add_pair_scores(df: DataFrame, scorer: PairScorer, template: str = "{phrase}
     pairs = F.transform(F.col("candidates"), lambda c: pair_text(c, template))
     scored = df.withColumn("_scores", scorer(F.coalesce(F.col("text"), F.lit("")), pairs))
     with_score = F.zip_with("candidates", "_scores", lambda c, s: c.withField("ce_score", s.cast("double")))
-    return scored.withColumn("candidates", with_score).drop("_scores")
+    return compute_once(scored, "candidates", with_score).drop("_scores")
 
 
 def rerank(df: DataFrame, top_k: int) -> DataFrame:

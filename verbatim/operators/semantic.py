@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import compute_once
 from verbatim.functions.plugins import Encoder
 from verbatim.operators import assignments as out
 from verbatim.session import ensure_checkpoint_dir
@@ -160,7 +161,7 @@ def add_candidates(
 
     chunk = max(1, max_broadcast_bytes // (dim * 8))
     if n <= chunk:
-        return df.withColumn("candidates", pick(library))
+        return compute_once(df, "candidates", pick(library))
     ensure_checkpoint_dir(spark)
     out_df = df.withColumn("candidates", F.when(F.col(vector).isNotNull(), F.array().cast(CANDIDATE_SCHEMA)))
     for start in range(0, n, chunk):

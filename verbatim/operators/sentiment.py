@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import compute_all
 from verbatim.functions.plugins import Scorer
 from verbatim.functions.sentiment import clause_weighted, detect_coping, lexicon_scorer, sentiment_label, split_on_contrast
 from verbatim.functions.text import is_blank
@@ -68,8 +69,8 @@ def add_sentiment(
         flag = F.coalesce(F.col(f"{c}_is_meaningful"), F.lit(True)) if f"{c}_is_meaningful" in df.columns else F.lit(True)
         active = (flag if settings.skip_dismissed else F.lit(True)) & ~is_blank(F.col(c))
         scores[f"compound_{c}"] = F.when(active, score(F.when(active, F.col(c))))
-    staged = combine_scores(df.withColumns(scores), text_columns, settings)
-    staged = staged.withColumn("coping_flag", _coping_flag(df, text_columns))
+    staged = compute_all(df, {**scores, "coping_flag": _coping_flag(df, text_columns)})
+    staged = combine_scores(staged, text_columns, settings)
     kept = [c for c in df.columns if c not in scores]
     return staged.select(*kept, "compound", "sentiment_label", "coping_flag", *scores)
 
