@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatim.functions import literals
 from verbatim.operators.keyword import KeywordIndex
 from verbatim.sources.dictionary import TextDictionary
+from verbatim.sources.survey import spread
 
 TEXT_COLUMNS = ["Free_Text_1", "Free_Text_2", "Free_Text_3"]
 
@@ -161,7 +163,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bank_text(position: Column) -> Column:
-    return F.get(F.array(*[F.lit(a).cast("string") for a in BANK]), position.cast("int"))
+    return literals.element(BANK, position.cast("int"), "string")
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +212,7 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = survey(spark, sf_dir).select(
         F.concat(F.lit("s"), F.col("ID").cast("string")).alias("key"), F.col("Free_Text_1").alias("text")
     )
-    return documents.unionByName(turns).unionByName(answers)
+    return spread(documents.unionByName(turns).unionByName(answers))
 
 
 def documents_long(spark: SparkSession, sf_dir: str) -> DataFrame:

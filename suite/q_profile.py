@@ -187,7 +187,7 @@ def dx9_clusters(spark, d):
 @query("dx10_cluster_discovery")
 def dx10(spark, d):
     """Clusters of all documents by their hashed vectors, with top word pairs and sentiment mix."""
-    docs = fx.table(spark, d, "documents").select(
+    docs = spread(fx.table(spark, d, "documents")).select(
         "doc_id", "text", vectors.hashed_encoder(32)(F.col("text")).alias("vector"),
         sentiment_label(lexicon_scorer()(F.col("text"))).alias("sentiment_label"),
     )
@@ -254,6 +254,6 @@ _HYPOTHESES = [f"This response is about {t}" for t in _THEMES]
 def dx15(spark, d):
     from verbatim.operators.reshape import matching_long
 
-    long = matching_long(fx.survey(spark, d), fx.TEXT_COLUMNS, carry=())
+    long = matching_long(spread(fx.survey(spark, d)), fx.TEXT_COLUMNS, carry=())
     out = profile.hypothesis_themes(long, _THEMES, plugins.overlap_pair_scorer(), 0.05, top_k=2)
     return qm.rounded(out, "score")

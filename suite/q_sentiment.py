@@ -82,7 +82,7 @@ SENTIMENT = ",\n".join([q.survey(), q.survey_long(), SCORES])
 
 
 def scored_survey(spark, d) -> DataFrame:
-    flagged = quality_ops.add_quality_flags(fx.survey(spark, d), fx.TEXT_COLUMNS)
+    flagged = quality_ops.add_quality_flags(spread(fx.survey(spark, d)), fx.TEXT_COLUMNS)
     return sentiment.add_sentiment(flagged, fx.TEXT_COLUMNS, SETTINGS)
 
 

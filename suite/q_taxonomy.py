@@ -16,6 +16,7 @@ from verbatim.operators import curation, taxonomy
 from verbatim.operators.keyword import KeywordIndex
 from verbatim.operators.reshape import union_all
 from verbatim.sources import taxonomy as taxonomy_io
+from verbatim.sources.survey import spread
 
 KEYS = '"column", parent, theme, subtheme'
 
@@ -200,7 +201,7 @@ def io11(spark, d):
 def sentences(spark, d, name: str, key: str, group: str) -> DataFrame:
     """Every sentence of a table's texts with its position: (grp, ord, phrase)."""
     parts = F.split("text", r"[.!?\n]+")
-    exploded = fx.table(spark, d, name).select(
+    exploded = spread(fx.table(spark, d, name)).select(
         F.col(key).alias("k"), F.col(group).alias("grp") if group else F.lit("all").alias("grp"),
         F.posexplode(parts).alias("i", "s"),
     )

@@ -16,6 +16,10 @@ _DISMISSIVE = (
     + ")$"
 )
 
+def _one_of(values: list[str]) -> str:
+    return "^(?:" + "|".join(quote(v) for v in values) + ")$"
+
+
 DETAILED = "Detailed response"
 
 
@@ -38,9 +42,9 @@ def response_detail(c: Column, min_meaningful_length: int = 3, max_dismissive_le
     bare = F.regexp_replace(F.lower(strip(c)), f"[^a-z0-9{WS}]", "")
     return (
         F.when(~is_null_text(c, min_meaningful_length, max_dismissive_length), DETAILED)
-        .when(bare.isin(*lx.YES_RESPONSES), "Yes")
-        .when(bare.isin(*lx.NO_RESPONSES), "No")
-        .when(bare.isin(*lx.NO_SENTIMENT_RESPONSES), "No sentiment")
+        .when(bare.rlike(_one_of(lx.YES_RESPONSES)), "Yes")
+        .when(bare.rlike(_one_of(lx.NO_RESPONSES)), "No")
+        .when(bare.rlike(_one_of(lx.NO_SENTIMENT_RESPONSES)), "No sentiment")
         .otherwise("No")
     )
 

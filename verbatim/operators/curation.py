@@ -88,7 +88,8 @@ def dedupe_phrases(
     unique per group. Each round is checkpointed, so its lineage does not grow.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    clean = candidates_for_library(df, phrase)
+    # Canonicalising is the costly step and is read three times below.
+    clean = candidates_for_library(df, phrase).checkpoint()
     sets = _distinct_sets(clean, group, phrase, order)
     keys = list(group)
     pairs = similar_sets(sets, group, threshold).select(*keys, "id_a", "id_b").checkpoint()

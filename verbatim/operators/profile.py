@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
+from verbatim.functions.expr import compute_once
 from verbatim.functions.patterns import WORD, any_term
 from verbatim.functions.plugins import PairScorer
 from verbatim.functions.text import split_multi, strip, token_count, tokens
@@ -243,7 +244,7 @@ def hypothesis_themes(
     """
     hypotheses = F.array(*[format_template(template, {"theme": F.lit(t)}) for t in themes])
     names = F.array(*[F.lit(t) for t in themes])
-    scored = long.withColumn("_s", scorer(F.coalesce(F.col("text"), F.lit("")), hypotheses))
+    scored = compute_once(long, "_s", scorer(F.coalesce(F.col("text"), F.lit("")), hypotheses))
     ranked = F.array_sort(
         F.filter(
             F.zip_with(
@@ -253,7 +254,7 @@ def hypothesis_themes(
             lambda s: s["score"] >= threshold,
         )
     )
-    best = scored.withColumn("_best", F.slice(ranked, 1, top_k))
+    best = compute_once(scored, "_best", F.slice(ranked, 1, top_k))
     return best.select(
         "ID", "TextColumn", join_field(F.col("_best"), "theme", delimiter).alias("theme"),
         F.coalesce(F.get("_best", F.lit(0))["score"], F.lit(0.0)).alias("score"),
