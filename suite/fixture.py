@@ -168,7 +168,7 @@ def bank_text(position: Column) -> Column:
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide survey, one row per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     answers = [
         bank_text((key * (2 * k + 1) + cust * k) % len(BANK)).alias(c) for k, c in enumerate(TEXT_COLUMNS, start=1)
@@ -203,7 +203,7 @@ def dictionary() -> TextDictionary:
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of the supplied tables and of the survey's first question, whole."""
-    documents = table(spark, sf_dir, "documents").select(
+    documents = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text"
     )
     turns = table(spark, sf_dir, "conversations").select(
@@ -212,12 +212,12 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = survey(spark, sf_dir).select(
         F.concat(F.lit("s"), F.col("ID").cast("string")).alias("key"), F.col("Free_Text_1").alias("text")
     )
-    return spread(documents.unionByName(turns).unionByName(answers))
+    return documents.unionByName(turns).unionByName(answers)
 
 
 def documents_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, as unflagged answers; the language stands for the text column."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ID"),
         F.col("lang").alias("TextColumn"),
         F.col("text"),

@@ -15,7 +15,6 @@ from verbatim.operators import fuzzy, keyword, rerank, semantic
 from verbatim.operators import quality as quality_ops
 from verbatim.operators.reshape import matching_long
 from verbatim.settings import KeywordSettings, SemanticSettings
-from verbatim.sources.survey import spread
 
 EXACT = KeywordSettings(use_fuzzy=False)
 FUZZY = KeywordSettings(use_fuzzy=True)
@@ -26,13 +25,13 @@ DIM = 64
 
 def answers(spark, d) -> DataFrame:
     """The survey's answers in long form: processed text and quality flags."""
-    survey = spread(fx.survey(spark, d))
+    survey = fx.survey(spark, d)
     pre = quality_ops.preprocess_columns(survey, fx.TEXT_COLUMNS, fx.dictionary())
     return matching_long(quality_ops.add_quality_flags(pre, fx.TEXT_COLUMNS), fx.TEXT_COLUMNS, carry=())
 
 
 def raw_answers(spark, d) -> DataFrame:
-    survey = spread(fx.survey(spark, d))
+    survey = fx.survey(spark, d)
     return matching_long(quality_ops.add_quality_flags(survey, fx.TEXT_COLUMNS), fx.TEXT_COLUMNS, carry=())
 
 
@@ -62,14 +61,14 @@ def _first_evidence(hits: DataFrame) -> DataFrame:
 
 @query("jn1_exact_keyword_documents", _DOC_HITS)
 def jn1(spark, d):
-    docs = spread(fx.documents_long(spark, d).select("ID", "text"))
+    docs = fx.documents_long(spark, d).select("ID", "text")
     return _first_evidence(keyword.add_exact_hits(docs, F.col("text"), DOCS))
 
 
 @query("jn1_exact_keyword_join", _DOC_HITS)
 def jn1_join(spark, d):
     """The same hits through the join used for libraries too large for the plan."""
-    docs = spread(fx.documents_long(spark, d).select("ID", "text"))
+    docs = fx.documents_long(spark, d).select("ID", "text")
     library = keyword.library_table(DOCS, spark)
     return _first_evidence(keyword.add_exact_hits_by_join(docs, "text", ["ID"], library, 2))
 
@@ -201,7 +200,7 @@ def jn6(spark, d):
 @query("jn6_fuzzy_documents")
 def jn6_documents(spark, d):
     """Fuzzy matching over whole documents."""
-    docs = spread(fx.documents_long(spark, d))
+    docs = fx.documents_long(spark, d)
     return rounded(keyword.assign_keyword(docs, DOCS, FUZZY), "rule_score")
 
 
@@ -246,7 +245,7 @@ _DOC_FLAGS = (
 )
 def cp1_documents(spark, d):
     """All documents, whole, without quality flags."""
-    docs = spread(fx.documents_long(spark, d))
+    docs = fx.documents_long(spark, d)
     return rounded(keyword.assign_keyword(docs, DOCS, EXACT), "rule_score")
 
 

@@ -58,7 +58,7 @@ def dx3_documents(spark, d):
     """Document themes against the supplied quality labels."""
     from verbatim.operators import keyword
 
-    assigned = keyword.assign_keyword(spread(fx.documents_long(spark, d)), qm.DOCS, qm.EXACT)
+    assigned = keyword.assign_keyword(fx.documents_long(spark, d), qm.DOCS, qm.EXACT)
     labels = fx.table(spark, d, "labels").select(F.col("doc_id").alias("ID"), F.col("quality").alias("score"))
     return qm.rounded(profile.theme_scores(assigned, labels), "mean_score")
 
@@ -254,6 +254,6 @@ _HYPOTHESES = [f"This response is about {t}" for t in _THEMES]
 def dx15(spark, d):
     from verbatim.operators.reshape import matching_long
 
-    long = matching_long(spread(fx.survey(spark, d)), fx.TEXT_COLUMNS, carry=())
+    long = matching_long(fx.survey(spark, d), fx.TEXT_COLUMNS, carry=())
     out = profile.hypothesis_themes(long, _THEMES, plugins.overlap_pair_scorer(), 0.05, top_k=2)
     return qm.rounded(out, "score")

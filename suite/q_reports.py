@@ -17,6 +17,7 @@ from verbatim.operators.reshape import response_long
 from verbatim.plans.job import SurveyJob
 from verbatim.settings import FrequencySettings, KeywordSettings, OutputSettings, SemanticSettings, SentimentSettings
 from verbatim.sources import results
+from verbatim.sources.survey import spread
 
 LOOSE = KeywordSettings(use_fuzzy=False, phrase_first=False, min_accept_score=0.7)
 
@@ -328,7 +329,7 @@ def _frequency_ctes(source: str, phrases_only: bool) -> str:
     + "SELECT * FROM freq",
 )
 def ag12(spark, d):
-    docs = fx.table(spark, d, "documents").select(F.col("lang").alias("TextColumn"), "text")
+    docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
     return frequency.token_frequencies(docs, _D, FrequencySettings(keep_phrases_only=False))
 
 
@@ -339,7 +340,7 @@ def ag12(spark, d):
 )
 def ag12_phrases(spark, d):
     """Phrases where a language has any, else single words."""
-    docs = fx.table(spark, d, "documents").select(F.col("lang").alias("TextColumn"), "text")
+    docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
     return frequency.token_frequencies(docs, _D)
 
 
@@ -366,7 +367,7 @@ def rk6(spark, d):
     """The ten most common tokens per language; each task keeps its own ten before the shuffle."""
     from pyspark.sql import Window
 
-    docs = fx.table(spark, d, "documents").select(F.col("lang").alias("TextColumn"), "text")
+    docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
     freq = frequency.most_common(frequency.token_frequencies(docs, _D, FrequencySettings(keep_phrases_only=False)))
     rank = F.row_number().over(Window.partitionBy("TextColumn").orderBy(F.desc("count"), "token"))
     return freq.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= 10)
@@ -394,9 +395,7 @@ def full_job(fuzzy: bool = True, outputs: OutputSettings = ALL_OUTPUTS) -> Surve
 def cp10(spark, d):
     """Every output of the job, written and read back: rows per output."""
     folder = scratch_folder(spark)
-    from verbatim.sources.survey import spread
-
-    names = full_job().write(spread(fx.survey(spark, d)), [folder], "parquet")
+    names = full_job().write(fx.survey(spark, d), [folder], "parquet")
     counts = [
         spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("output"), F.count(F.lit(1)).alias("rows")) for n in names
     ]

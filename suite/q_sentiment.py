@@ -14,7 +14,6 @@ from verbatim.functions.sentiment import lexicon_probs, lexicon_scorer
 from verbatim.operators import aspects, segments, sentiment
 from verbatim.operators import quality as quality_ops
 from verbatim.settings import AspectSettings, SegmentSettings, SentimentSettings, SummarySettings
-from verbatim.sources.survey import spread
 
 WEIGHTS = fx.SENTIMENT_WEIGHTS
 SETTINGS = SentimentSettings(column_weights=WEIGHTS)
@@ -82,7 +81,7 @@ SENTIMENT = ",\n".join([q.survey(), q.survey_long(), SCORES])
 
 
 def scored_survey(spark, d) -> DataFrame:
-    flagged = quality_ops.add_quality_flags(spread(fx.survey(spark, d)), fx.TEXT_COLUMNS)
+    flagged = quality_ops.add_quality_flags(fx.survey(spark, d), fx.TEXT_COLUMNS)
     return sentiment.add_sentiment(flagged, fx.TEXT_COLUMNS, SETTINGS)
 
 
@@ -194,7 +193,7 @@ SEGMENTS = ",\n".join(
 
 
 def built_segments(spark, d) -> DataFrame:
-    survey = spread(fx.survey(spark, d))
+    survey = fx.survey(spark, d)
     pre = quality_ops.preprocess_columns(survey, fx.TEXT_COLUMNS, fx.dictionary())
     return segments.build_segments(quality_ops.add_quality_flags(pre, fx.TEXT_COLUMNS), fx.TEXT_COLUMNS)
 
@@ -228,7 +227,7 @@ def cp6(spark, d):
     f"len({q.tokens('parts[i]')})::INTEGER AS segment_tokens FROM l, unnest(range(1, len(parts) + 1)) AS u(i)",
 )
 def cp6_documents(spark, d):
-    docs = spread(fx.documents_long(spark, d))
+    docs = fx.documents_long(spark, d)
     out = segments.segment_long(docs, SegmentSettings(min_tokens=5))
     return out.select("ID", "segment_index", "segment_text", "segment_tokens")
 

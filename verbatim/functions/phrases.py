@@ -10,9 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
-from verbatim.functions.expr import bind
-from verbatim.functions.patterns import WORD, WS, any_term, quote_replacement, word_bounded
-from verbatim.functions.text import collapse_spaces, strip, tokens
+from verbatim.functions.patterns import WORD, WS, quote_replacement, word_bounded
+from verbatim.functions.text import collapse_spaces, replace_if_present, strip, tokens
 
 
 def _flags(lower_case: bool) -> str:
@@ -23,7 +22,7 @@ def uk_spelling(c: Column, lower_case: bool = False) -> Column:
     """Regional spelling; ``lower_case`` says the text is lower-case already, which makes the patterns cheaper."""
     out = c
     for us, uk in lx.UK_SPELLINGS.items():
-        out = F.regexp_replace(out, _flags(lower_case) + word_bounded(us), uk)
+        out = replace_if_present(out, us, _flags(lower_case) + word_bounded(us), uk, lower_case)
     return out
 
 
@@ -34,20 +33,9 @@ def uk_terms(c: Column, lower_case: bool = False) -> Column:
         stem = term.removesuffix("(s)")
         plural = "s?" if term.endswith("(s)") else ""
         pattern = f"{_flags(lower_case)}(?<![{WORD}]){stem}{plural}(?![{WORD}])"
-        out = F.regexp_replace(out, pattern, quote_replacement(replacement))
+        out = replace_if_present(out, stem, pattern, quote_replacement(replacement), lower_case)
     manager = f"{_flags(lower_case)}(?<!line )(?<![{WORD}])manager(?![{WORD}])"
-    return F.regexp_replace(out, manager, "line manager")
-
-
-def _regional_lower(c: Column) -> Column:
-    """Both rewrites of lower-case text. One scan for any affected word spares most texts the long chain."""
-    terms = [*lx.UK_SPELLINGS, "manager"]
-    for t in lx.US_TO_UK_TERMS:
-        terms += [t.removesuffix("(s)") + "s", t.removesuffix("(s)")] if t.endswith("(s)") else [t]
-    affected = any_term(terms).removeprefix("(?iu)")
-    return bind(
-        c, lambda t: F.when(t.rlike(affected), F.lower(uk_terms(uk_spelling(t, True), True))).otherwise(t)
-    )
+    return replace_if_present(out, "manager", manager, "line manager", lower_case)
 
 
 def nfkc(c: Column) -> Column:
@@ -63,7 +51,7 @@ def nfkc(c: Column) -> Column:
 def canonical_phrase(c: Column) -> Column:
     """Trim, NFKC, collapse spaces, regional wording, lower case, no punctuation at the edges."""
     text = F.lower(collapse_spaces(nfkc(strip(F.coalesce(c, F.lit(""))))))
-    return F.btrim(_regional_lower(text), F.lit(lx.PHRASE_EDGE_CHARS))
+    return F.btrim(F.lower(uk_terms(uk_spelling(text, True), True)), F.lit(lx.PHRASE_EDGE_CHARS))
 
 
 def is_generic_phrase(c: Column) -> Column:

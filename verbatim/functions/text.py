@@ -54,6 +54,16 @@ def _unless_no_entry(c: Column, changed: Column) -> Column:
     return F.when(c == lx.NO_ENTRY, c).otherwise(changed)
 
 
+def replace_if_present(c: Column, needle: str, pattern: str, replacement: str, lower_case: bool) -> Column:
+    """A pattern replacement behind a plain substring test, which spares most texts the pattern."""
+
+    def step(t: Column) -> Column:
+        present = F.contains(t if lower_case else F.lower(t), F.lit(needle.lower()))
+        return F.when(present, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    return bind(c, step)
+
+
 def replace_terms(c: Column, mapping: Mapping[str, str], lower_case: bool = False) -> Column:
     """Whole-word, case-insensitive replacements, longest key first; later ones see the result of earlier ones.
 
@@ -62,7 +72,7 @@ def replace_terms(c: Column, mapping: Mapping[str, str], lower_case: bool = Fals
     flags = "" if lower_case else "(?iu)"
     out = c
     for key, value in sorted(mapping.items(), key=lambda kv: (-len(kv[0]), kv[0])):
-        out = F.regexp_replace(out, flags + word_bounded(key), quote_replacement(value))
+        out = replace_if_present(out, key, flags + word_bounded(key), quote_replacement(value), lower_case)
     return out
 
 

@@ -24,6 +24,8 @@ _ARROW_TYPE = pa.list_(
     pa.struct([("slot", pa.int32()), ("score", pa.float64()), ("evidence", pa.string())])
 )
 _BUCKETS = 48
+_SPACE = ord(" ") % _BUCKETS
+_BLOCK = 512
 _SPACES = re.compile(r"\s+")
 _CACHE_LIMIT = 200_000
 
@@ -61,6 +63,7 @@ class FuzzyScorer:
         bit = {w: 1 << i for i, w in enumerate(vocabulary)}
         self.masks = [self._mask(n.split(), bit) for n in self.norm]
         self.word_masks: dict[str, int] = {}
+        self.word_counts: dict[str, np.ndarray] = {}
         self.by_length: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
         for width in sorted({n for n in self.n_words if n > 1}):
             ids = [i for i, n in enumerate(self.n_words) if n == width]
@@ -87,21 +90,35 @@ class FuzzyScorer:
             self.word_masks[word] = mask
         return mask
 
+    def _word_counts(self, word: str) -> np.ndarray:
+        counts = self.word_counts.get(word)
+        if counts is None:
+            if len(self.word_counts) >= _CACHE_LIMIT:
+                self.word_counts.clear()
+            counts = self.word_counts[word] = _char_counts(word)
+        return counts
+
     def _windows(self, words: list[str]) -> dict[int, list[str]]:
         """Windows worth comparing per multi-word keyword, in text order."""
         worth: dict[int, list[str]] = {}
+        if not self.by_length:
+            return worth
+        per_word = np.stack([self._word_counts(w) for w in words])
+        sums = np.concatenate([np.zeros((1, _BUCKETS), np.int32), np.cumsum(per_word, axis=0, dtype=np.int32)])
+        chars = np.concatenate([[0], np.cumsum([len(w) for w in words])])
         for width, (ids, counts, lengths) in self.by_length.items():
-            windows = [" ".join(words[i:i + width]) for i in range(len(words) - width + 1)]
-            for start in range(0, len(windows), 2048):
-                part = windows[start:start + 2048]
-                part_counts = np.stack([_char_counts(w) for w in part])
-                part_lengths = np.array([len(w) for w in part])
-                for j, kw in enumerate(ids):
-                    common = np.minimum(part_counts, counts[j]).sum(axis=1)
-                    bound = 2.0 * common / (part_lengths + lengths[j])
-                    hits = np.flatnonzero(bound >= self.floor)
-                    if hits.size:
-                        worth.setdefault(kw, []).extend(part[h] for h in hits)
+            if len(words) < width:
+                continue
+            window_counts = sums[width:] - sums[:-width]
+            window_counts[:, _SPACE] += width - 1
+            window_chars = chars[width:] - chars[:-width] + width - 1
+            for start in range(0, len(window_chars), _BLOCK):
+                part = window_counts[start:start + _BLOCK].astype(np.int16)
+                common = np.minimum(part[:, None, :], counts[None, :, :]).sum(axis=2, dtype=np.int32)
+                bound = 2.0 * common / (window_chars[start:start + _BLOCK, None] + lengths[None, :])
+                for at, j in zip(*np.nonzero(bound >= self.floor), strict=True):
+                    first = start + at
+                    worth.setdefault(ids[j], []).append(" ".join(words[first:first + width]))
         return worth
 
     def _match(self, kw: int, text: str, text_mask: int, windows: list[str]) -> tuple[float, str] | None:
