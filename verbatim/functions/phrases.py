@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
+from verbatim.functions.expr import bind
 from verbatim.functions.patterns import WORD, WS, quote_replacement, word_bounded
 from verbatim.functions.text import collapse_spaces, replace_if_present, strip, tokens
 
@@ -77,9 +78,14 @@ def word_set(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard similarity of two word sets (arrays without duplicates); 0 where one is empty."""
-    common = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - common
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / either).otherwise(0.0)
+
+    def similarity(s: Column) -> Column:
+        sizes = F.size(s["a"]) + F.size(s["b"])
+        both = (F.size(s["a"]) > 0) & (F.size(s["b"]) > 0)
+        common = F.size(F.array_intersect(s["a"], s["b"]))
+        return F.when(both, bind(common, lambda n: n / (sizes - n))).otherwise(0.0)
+
+    return bind(F.struct(a.alias("a"), b.alias("b")), similarity)
 
 
 def phrase_quality(
@@ -92,21 +98,29 @@ def phrase_quality(
 
     Vocabulary terms are looked up as written in the lower-cased phrase, so terms with capitals never hit.
     """
+    vocabulary, generic = list(vocabulary), list(generic)
+
+    def score(s: Column) -> Column:
+        length = F.when(F.size(tokens(s["text"])).between(5, 15), 1.0).otherwise(0.5)
+        n_theme, n_phrase = F.size(s["theme"]), F.size(s["words"])
+        overlap = F.size(F.array_intersect(s["theme"], s["words"])) / n_theme
+        specificity = F.when(n_theme > 0, F.least(overlap, F.lit(1.0))).otherwise(0.5)
+        hit = F.lit(False)
+        for term in vocabulary:
+            hit = hit | F.contains(s["text"], F.lit(term))
+        uk_vocab = F.when(hit, 1.0).otherwise(0.7)
+        n_generic = F.size(F.filter(s["words"], lambda w: w.isin(*generic)))
+        ratio = F.when(n_phrase > 0, n_generic / n_phrase).otherwise(0.0)
+        not_generic = 1.0 - F.least(ratio * 2, F.lit(1.0))
+        parts = F.struct(
+            length.alias("length"), specificity.alias("specificity"), uk_vocab.alias("uk_vocab"),
+            not_generic.alias("not_generic"),
+        )
+        mean = lambda p: (p["length"] + p["specificity"] + p["uk_vocab"] + p["not_generic"]) / 4
+        return bind(parts, lambda p: p.withField("overall", mean(p)))
+
     lowered = F.lower(phrase)
-    n_words = F.size(tokens(phrase))
-    phrase_words, theme_words = word_set(lowered), word_set(F.lower(subtheme))
-    length = F.when(n_words.between(5, 15), 1.0).otherwise(0.5)
-    overlap = F.size(F.array_intersect(theme_words, phrase_words))
-    specificity = F.when(F.size(theme_words) > 0, F.least(overlap / F.size(theme_words), F.lit(1.0))).otherwise(0.5)
-    hit = F.lit(False)
-    for term in vocabulary:
-        hit = hit | F.contains(lowered, F.lit(term))
-    uk_vocab = F.when(hit, 1.0).otherwise(0.7)
-    n_generic = F.size(F.filter(phrase_words, lambda w: w.isin(*generic)))
-    ratio = F.when(F.size(phrase_words) > 0, n_generic / F.size(phrase_words)).otherwise(0.0)
-    not_generic = 1.0 - F.least(ratio * 2, F.lit(1.0))
-    overall = (length + specificity + uk_vocab + not_generic) / 4
-    return F.struct(
-        length.alias("length"), specificity.alias("specificity"), uk_vocab.alias("uk_vocab"),
-        not_generic.alias("not_generic"), overall.alias("overall"),
+    inputs = F.struct(
+        lowered.alias("text"), word_set(lowered).alias("words"), word_set(F.lower(subtheme)).alias("theme")
     )
+    return bind(inputs, score)

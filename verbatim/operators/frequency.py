@@ -42,6 +42,7 @@ def token_frequencies(
         .filter(F.col("count") >= settings.min_freq)
     )
     if settings.keep_phrases_only:
+        # One row per text column, far below any broadcast limit at run time.
         columns = counts.groupBy("TextColumn").agg(F.max("is_phrase").alias("has_phrases"))
         counts = counts.join(columns, "TextColumn").filter(F.col("is_phrase") | ~F.col("has_phrases"))
     return counts.select("TextColumn", "token", "count")

@@ -25,7 +25,7 @@ _ARROW_TYPE = pa.list_(
 )
 _BUCKETS = 48
 _SPACE = ord(" ") % _BUCKETS
-_BLOCK = 512
+_MAX_COMPARED = 1_000_000
 _SPACES = re.compile(r"\s+")
 _CACHE_LIMIT = 200_000
 
@@ -112,10 +112,11 @@ class FuzzyScorer:
             window_counts = sums[width:] - sums[:-width]
             window_counts[:, _SPACE] += width - 1
             window_chars = chars[width:] - chars[:-width] + width - 1
-            for start in range(0, len(window_chars), _BLOCK):
-                part = window_counts[start:start + _BLOCK].astype(np.int16)
+            block = max(1, _MAX_COMPARED // (len(ids) * _BUCKETS))
+            for start in range(0, len(window_chars), block):
+                part = window_counts[start:start + block].astype(np.int16)
                 common = np.minimum(part[:, None, :], counts[None, :, :]).sum(axis=2, dtype=np.int32)
-                bound = 2.0 * common / (window_chars[start:start + _BLOCK, None] + lengths[None, :])
+                bound = 2.0 * common / (window_chars[start:start + block, None] + lengths[None, :])
                 for at, j in zip(*np.nonzero(bound >= self.floor), strict=True):
                     first = start + at
                     worth.setdefault(ids[j], []).append(" ".join(words[first:first + width]))
