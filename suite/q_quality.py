@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from suite import fixture as fx
@@ -11,7 +12,7 @@ from verbatim import lexicons as lx
 from verbatim.operators import quality as ops
 from verbatim.operators.reshape import matching_long, response_long, row_fingerprint, table_fingerprint
 from verbatim.sources import results, survey as survey_io, taxonomy as taxonomy_io
-from verbatim.sources.dictionary import TextDictionary
+from verbatim.sources.dictionary import TextDictionary, read_dictionary
 from verbatim.sources.files import write_yaml
 
 LONG = (q.survey(), q.survey_long())
@@ -184,17 +185,26 @@ def io5(spark, d):
     "UNION ALL SELECT 'business', row_number() OVER (ORDER BY n) - 1, n, replace(n, ' ', '_') FROM names",
 )
 def io8(spark, d):
-    """A dictionary built from the parts, written as YAML, read back and turned into a table."""
+    """A dictionary table from the parts, written as YAML, read back and turned into a table again."""
     part = fx.table(spark, d, "part")
-    names = [r[0] for r in part.select("p_name").distinct().orderBy("p_name").limit(100_000).collect()]
-    words = [r[0] for r in part.select(F.lower("p_type")).distinct().limit(100_000).collect()]
-    config = {"BUSINESS_MAP": {n.upper(): n.replace(" ", "_") for n in names}, "UNIGRAM_WHITELIST": words}
+    words = part.select(F.lower("p_type").alias("key")).distinct()
+    names = part.select("p_name").distinct()
+    position = lambda c: (F.row_number().over(Window.orderBy(c)) - 1).cast("int").alias("pos")
+    stored = words.select(F.lit("keep").alias("kind"), position("key"), "key", F.lit(None).cast("string").alias("value"))
+    stored = stored.unionByName(
+        names.select(
+            F.lit("business").alias("kind"), position("p_name"), F.col("p_name").alias("key"),
+            F.replace("p_name", F.lit(" "), F.lit("_")).alias("value"),
+        )
+    )
+    loaded = TextDictionary.from_df(stored)
     path = scratch_folder(spark) + "/dictionary.yaml"
-    write_yaml(config, path)
-    from verbatim.sources.dictionary import read_dictionary
-
-    table = read_dictionary(path).to_df(spark)
-    return TextDictionary.from_df(table).to_df(spark).withColumn("pos", F.col("pos").cast("long"))
+    write_yaml(
+        {"BUSINESS_MAP": {k.upper(): v for k, v in loaded.business_map.items()},
+         "UNIGRAM_WHITELIST": sorted(loaded.unigram_whitelist)},
+        path,
+    )
+    return read_dictionary(path).to_df(spark).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(

@@ -364,13 +364,20 @@ def cp9(spark, d):
     "AS rank FROM freq QUALIFY rank <= 10",
 )
 def rk6(spark, d):
-    """The ten most common tokens per language; each task keeps its own ten before the shuffle."""
-    from pyspark.sql import Window
+    """The ten most common tokens per language."""
+    docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
+    counts = frequency.token_frequencies(docs, _D, FrequencySettings(keep_phrases_only=False))
+    return frequency.top_tokens(counts, 10).withColumn("rank", F.col("rank").cast("long"))
+
 
+@query(
+    "rk6_most_common_order",
+    q.with_('docs AS (SELECT lang AS "TextColumn", text FROM documents)', _frequency_ctes("docs", True))
+    + "SELECT * FROM freq",
+)
+def rk6_order(spark, d):
     docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
-    freq = frequency.most_common(frequency.token_frequencies(docs, _D, FrequencySettings(keep_phrases_only=False)))
-    rank = F.row_number().over(Window.partitionBy("TextColumn").orderBy(F.desc("count"), "token"))
-    return freq.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= 10)
+    return frequency.most_common(frequency.token_frequencies(docs, _D))
 
 
 # --------------------------------------------------------------------------------------------------------------

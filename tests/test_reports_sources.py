@@ -114,3 +114,18 @@ def test_fingerprint_ignores_row_order(spark):
 def test_response_long_skips_missing_columns(spark):
     df = spark.createDataFrame([(1, "a")], "ID long, x string")
     assert [tuple(r)[:3] for r in response_long(df, ["x", "y"]).collect()] == [(1, "x", "a")]
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from verbatim.operators.profile import exact_quantiles
+
+    rng = random.Random(1)
+    for data in ([0.5], [1.0, 2.0], [3.0] * 500 + [rng.gauss(0, 1) for _ in range(700)], [1e-12 * i for i in range(50)]):
+        df = spark.createDataFrame([(x,) for x in data] + [(None,)], "v double")
+        got = exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0], buckets=8)
+        assert np.allclose(got, np.quantile(data, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]), rtol=0, atol=1e-15)
+    assert exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]

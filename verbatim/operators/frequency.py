@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
@@ -49,9 +49,16 @@ def token_frequencies(
 
 
 def most_common(frequencies: DataFrame) -> DataFrame:
+    """All tokens, the most common of each column first."""
     return frequencies.orderBy("TextColumn", F.desc("count"), "token")
 
 
+def top_tokens(frequencies: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most common tokens per column with their rank; each task keeps its own ``n`` before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("TextColumn").orderBy(F.desc("count"), "token"))
+    return frequencies.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 def column_frequencies(
     df: DataFrame,
     text_columns: Sequence[str],

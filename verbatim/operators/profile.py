@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,12 +191,67 @@ def describe_clusters(
     return sizes.join(labels, "cluster", "left")
 
 
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], buckets: int = 4096) -> list[float | None]:
+    """Exact quantiles with linear interpolation, without sorting the rows or gathering them anywhere.
+
+    Each pass counts the rows of the intervals that hold a wanted rank in even buckets and narrows every interval to
+    one bucket, until that bucket holds a single value. At most ``buckets`` counts per interval reach the driver, and a
+    few passes exhaust the precision of a double.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_quantiles(values, probabilities, buckets)
+    finally:
+        values.unpersist()
+
+
+def _exact_quantiles(values: DataFrame, probabilities: list[float], buckets: int) -> list[float | None]:
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(probabilities)
+    ranks = sorted({r for p in probabilities for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    found: dict[int, float] = {}
+    # interval (low, high) -> (rows below it, wanted ranks inside it)
+    intervals = {(low, high): (0, ranks)}
+    while intervals:
+        bounds = list(intervals)
+        bucket = F.lit(None).cast("long")
+        for i, (lo, hi) in enumerate(bounds):
+            step = (hi - lo) / buckets or 1.0
+            at = F.least(F.floor((F.col("v") - lo) / step), F.lit(buckets - 1)) + i * buckets
+            bucket = F.when(F.col("v").between(lo, hi), at).otherwise(bucket)
+        counts = (
+            values.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .filter(F.col("b").isNotNull()).orderBy("b").collect()
+        )
+        narrowed: dict[tuple[float, float], tuple[int, list[int]]] = {}
+        for i, bound in enumerate(bounds):
+            below, wanted = intervals[bound]
+            for row in (c for c in counts if c["b"] // buckets == i):
+                inside = [r for r in wanted if below <= r < below + row["n"]]
+                if inside and row["lo"] == row["hi"]:
+                    found.update(dict.fromkeys(inside, row["lo"]))
+                elif inside:
+                    narrowed[(row["lo"], row["hi"])] = (below, inside)
+                below += row["n"]
+        intervals = narrowed
+
+    def quantile(p: float) -> float:
+        h = (n - 1) * p
+        lo, hi = found[math.floor(h)], found[math.ceil(h)]
+        return lo + (h - math.floor(h)) * (hi - lo)
+
+    return [quantile(p) for p in probabilities]
+
+
 def score_distribution(assignments: DataFrame, score: str = "rule_score") -> DataFrame:
     """Min, exact quartiles, mean and max of the matched scores."""
+    matched = assignments.filter(F.col("reason") == "matched").select(score)
+    q1, median, q3 = (F.lit(q).cast("double") for q in exact_quantiles(matched, score, [0.25, 0.5, 0.75]))
     s = F.col(score)
-    q = [F.percentile(s, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    return assignments.filter(F.col("reason") == "matched").agg(
-        F.count(F.lit(1)).alias("n"), F.min(s).alias("min"), *q, F.max(s).alias("max"), F.avg(s).alias("mean")
+    return matched.agg(F.count(F.lit(1)).alias("n"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("mean")).select(
+        "n", "min", q1.alias("q1"), median.alias("median"), q3.alias("q3"), "max", "mean"
     )
 
 

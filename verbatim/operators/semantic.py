@@ -74,11 +74,12 @@ def _top_candidates(
 
     @F.arrow_udf(CANDIDATE_SCHEMA)
     def match(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        m: PhraseMatrix = matrix.value
-        dim = m.vectors.shape[1]
-        by_column = {c: np.flatnonzero(m.columns == c) for c in set(m.columns)}
-        either, signed = m.polarity == "Either", np.isin(m.polarity, ["Positive", "Negative"])
-        labels = {k: pa.array(v, type=pa.string()) for k, v in m.labels.items()}
+        m = matrix.value
+        unit_vectors, polarity, phrase_idx = m["vectors"], m["polarity"], m["phrase_idx"]
+        dim = unit_vectors.shape[1]
+        by_column = {c: np.flatnonzero(m["columns"] == c) for c in set(m["columns"])}
+        either, signed = polarity == "Either", np.isin(polarity, ["Positive", "Negative"])
+        labels = {k: pa.array(v, type=pa.string()) for k, v in m["labels"].items()}
         for vectors, columns, sentiments in batches:
             n = len(vectors)
             valid = np.asarray(vectors.is_valid())
@@ -96,10 +97,10 @@ def _top_candidates(
                 step = max(1, _MAX_SCORES_PER_BLOCK // max(1, phrases.size))
                 for start in range(0, rows.size, step):
                     block = rows[start:start + step]
-                    scores = data[block] @ m.vectors[phrases].T
+                    scores = data[block] @ unit_vectors[phrases].T
                     if weight > 0:
                         mood = moods[block][:, None]
-                        aligned = (mood != "") & (either[phrases] | (signed[phrases] & (m.polarity[phrases] == mood)))
+                        aligned = (mood != "") & (either[phrases] | (signed[phrases] & (polarity[phrases] == mood)))
                         scores = scores + weight * aligned
                     scores = np.round(scores, _RANK_DECIMALS)
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
@@ -117,7 +118,7 @@ def _top_candidates(
             take = pa.array(phrase)
             structs = pa.StructArray.from_arrays(
                 [
-                    pa.array(m.phrase_idx[phrase]), labels["theme"].take(take), labels["subtheme"].take(take),
+                    pa.array(phrase_idx[phrase]), labels["theme"].take(take), labels["subtheme"].take(take),
                     labels["parent_theme"].take(take), pa.array(score), labels["polarity"].take(take),
                     labels["matched_phrase"].take(take),
                 ],
@@ -156,7 +157,8 @@ def add_candidates(
     mood = F.col(label) if label in df.columns else F.lit(None).cast("string")
 
     def pick(part: DataFrame) -> Column:
-        matrix = spark.sparkContext.broadcast(PhraseMatrix.collect(part))
+        # Plain arrays: the workers need no copy of this package to read them.
+        matrix = spark.sparkContext.broadcast(vars(PhraseMatrix.collect(part)))
         return _top_candidates(F.col(vector), F.col("TextColumn"), mood, matrix, threshold, top_k, sentiment_weight)
 
     chunk = max(1, max_broadcast_bytes // (dim * 8))
@@ -205,8 +207,12 @@ def label_candidates(
     ).drop("candidates")
 
 
-def known_columns(library: DataFrame) -> list[str]:
-    return [r[0] for r in library.select("column").distinct().limit(10_000).collect()]
+def known_columns(library: DataFrame, max_columns: int = 10_000) -> list[str]:
+    """Text columns the library has phrases for."""
+    names = [r[0] for r in library.select("column").distinct().limit(max_columns + 1).collect()]
+    if len(names) > max_columns:
+        raise ValueError(f"a library serves at most {max_columns} text columns")
+    return names
 
 
 def with_vectors(df: DataFrame, encoder: Encoder | None, vector: str = "vector") -> DataFrame:

@@ -149,21 +149,32 @@ def number_phrases(flat: DataFrame, order: list[str], max_phrases: int = MAX_NES
     return flat.withColumn("phrase_idx", position)
 
 
-def keyword_themes(library: DataFrame) -> DataFrame:
+def _most_frequent(df: DataFrame, keys: list[str], value: str, default: str, name: str) -> DataFrame:
+    """Most frequent non-null value per key, the smallest of equally frequent ones. Counts combine before shuffling."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = F.when(F.col(value).isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v")))
+    return counts.groupBy(*keys).agg(F.coalesce(F.min(ranked)["v"], F.lit(default)).alias(name))
+
+
+def keyword_themes(library: DataFrame, max_phrases: int | None = MAX_NESTED_PHRASES) -> DataFrame:
     """One row per (theme, subtheme): parent and polarity by most frequent value, sorted phrases and columns.
 
     Equally frequent values: the smallest.
     """
-    parents = library.filter(F.col("theme").isNotNull()).groupBy("theme").agg(
-        F.coalesce(F.mode("parent", True), F.lit("")).alias("parent_theme")
-    )
-    complete = library.dropna(subset=["theme", "subtheme"])
-    polarity = complete.groupBy("theme", "subtheme").agg(
-        F.coalesce(F.mode("polarity", True), F.lit("Either")).alias("default_polarity"),
-        F.array_sort(F.collect_set(strip(F.col("phrase")))).alias("keywords_phrases"),
-        F.array_sort(F.collect_set("column")).alias("likely_columns"),
-    )
-    return polarity.join(parents, "theme")
+    keys = ["theme", "subtheme"]
+    parents = _most_frequent(library.filter(F.col("theme").isNotNull()), ["theme"], "parent", "", "parent_theme")
+    complete = library.dropna(subset=keys)
+    polarity = _most_frequent(complete, keys, "polarity", "Either", "default_polarity")
+
+    def distinct_list(value: Column, name: str) -> DataFrame:
+        values = complete.select(*keys, value.alias("v")).distinct()
+        if name == "keywords_phrases":
+            _checked(values, max_phrases)
+        return values.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias(name))
+
+    phrases = distinct_list(strip(F.col("phrase")), "keywords_phrases")
+    columns = distinct_list(F.col("column"), "likely_columns")
+    return polarity.join(phrases, keys).join(columns, keys).join(parents, "theme")
 
 
 def themes_document(themes: DataFrame, max_subthemes: int = 100_000) -> dict[str, Any]:
