@@ -120,8 +120,9 @@ def near_existing(
     def sets(df: DataFrame) -> DataFrame:
         return df.select(*keys, F.array_sort(word_set(F.col(phrase))).alias("words")).filter(F.size("words") > 0).distinct()
 
+    ensure_checkpoint_dir(new.sparkSession)
     left, right = sets(new).withColumn("_side", F.lit(0)), sets(existing).withColumn("_side", F.lit(1))
-    both = left.unionByName(right).withColumn("set_id", F.struct("_side", "words"))
+    both = left.unionByName(right).withColumn("set_id", F.struct("_side", "words")).checkpoint()
     ordered = _ordered_sets(both, group)
     a = _prefixes(ordered.filter(F.col("set_id._side") == 0), group, threshold, "a")
     b = _prefixes(ordered.filter(F.col("set_id._side") == 1), group, threshold, "b")
