@@ -184,7 +184,20 @@ def io7(spark, d):
     return taxonomy.keyword_terms(table).withColumn("columns", F.array_join("cols", "¦")).drop("cols")
 
 
-@query("io11_write_enriched_json")
+@query(
+    "io11_write_enriched_json",
+    q.with_(
+        LIBRARY, _SUBTHEMES,
+        "t AS (SELECT \"column\", parent, theme, list({'name': subtheme, 'keywords_phrases': phrases, "
+        "'default_polarity': polarity} ORDER BY subtheme) AS subthemes FROM subs GROUP BY ALL)",
+        "p AS (SELECT \"column\", parent, list({'theme_name': theme, 'subthemes': subthemes} ORDER BY theme) AS themes "
+        "FROM t GROUP BY ALL)",
+        "c AS (SELECT \"column\", list({'parent_name': parent, 'themes': themes} ORDER BY parent) AS parents FROM p "
+        "GROUP BY ALL)",
+    )
+    + "SELECT to_json({'column': \"column\", 'description': 'Themes for ' || \"column\", 'parents': parents})::VARCHAR AS value "
+    "FROM c",
+)
 def io11(spark, d):
     """The nested library as JSON lines, one row per column."""
     nested = taxonomy.nest_library(enriched(spark, d))

@@ -44,6 +44,11 @@ def word_bounded(literal: str) -> str:
     return f"{left}{quote(literal)}{right}"
 
 
+def outside(chars: str) -> str:
+    """One character outside a class. Java scans this several times faster than a negated class of mixed parts."""
+    return f"(?:(?![{chars}])(?s:.))"
+
+
 def any_term(terms: Iterable[str]) -> str:
     """One case-insensitive alternation of word-bounded terms; a trailing ``*`` allows further word characters."""
     parts = [quote(t[:-1]) + f"[{WORD}]*" if t.endswith("*") else quote(t) for t in terms]

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
-from verbatim.functions.patterns import WS, quote
+from verbatim.functions.patterns import WS, outside, quote
 from verbatim.functions.text import strip
 
 # The exact answers and the patterns as one alternation, so the bare text is computed and scanned once.
@@ -27,7 +27,7 @@ def is_null_text(c: Column, min_meaningful_length: int = 3, max_dismissive_lengt
     """Whether an answer carries no information. The length gates come first: they are the cheap tests."""
     text = strip(c)
     lowered = F.lower(text)
-    bare = strip(F.regexp_replace(lowered, f"[^a-z0-9{WS}/]", ""))
+    bare = strip(F.regexp_replace(lowered, outside(f"a-z0-9{WS}/"), ""))
     return (
         F.when(c.isNull(), True)
         .when(F.length(text) < max(min_meaningful_length, 1), True)
@@ -39,7 +39,7 @@ def is_null_text(c: Column, min_meaningful_length: int = 3, max_dismissive_lengt
 
 def response_detail(c: Column, min_meaningful_length: int = 3, max_dismissive_length: int = 50) -> Column:
     """``Detailed response``, ``Yes``, ``No`` or ``No sentiment``; unclassified dismissals count as ``No``."""
-    bare = F.regexp_replace(F.lower(strip(c)), f"[^a-z0-9{WS}]", "")
+    bare = F.regexp_replace(F.lower(strip(c)), outside(f"a-z0-9{WS}"), "")
     return (
         F.when(~is_null_text(c, min_meaningful_length, max_dismissive_length), DETAILED)
         .when(bare.rlike(_one_of(lx.YES_RESPONSES)), "Yes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verbatim import lexicons as lx
 from verbatim.functions.expr import bind
 from verbatim.functions.literals import lookup
-from verbatim.functions.patterns import STRIP_CHARS, WORD, WS, quote_replacement, word_bounded
+from verbatim.functions.patterns import STRIP_CHARS, WORD, WS, outside, quote_replacement, word_bounded
 from verbatim.settings import TextSettings
 from verbatim.sources.dictionary import TextDictionary
 
@@ -155,7 +155,7 @@ def frequency_normalise(c: Column) -> Column:
     """Normalisation for word counts: ASCII words and apostrophes only, empty string where nothing is left."""
     lowered = F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))
     straight = F.translate(lowered, "‘’", "''")
-    return F.when(lowered == "nan", "").otherwise(F.trim(F.regexp_replace(straight, "[^a-z0-9_']+", " ")))
+    return F.when(lowered == "nan", "").otherwise(F.trim(F.regexp_replace(straight, outside("a-z0-9_'") + "+", " ")))
 
 
 def frequency_preprocess(c: Column, dictionary: TextDictionary) -> Column:
