@@ -144,7 +144,7 @@ FROM d"""
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses are judged by the payload that comes back, revisits by their headers, with payloads skipped."""
     path = scratch(spark, "archives")
-    warc.write_warc(warc.records_of(table(spark, sf_dir, "pages")), path)
+    warc.write_warc(warc.records_of(table(spark, sf_dir, "pages")), path, compression="gzip")
     key = warc.key_of(F.col("record_id")).alias("page_id")
     responses = warc.read_warc(spark, path).filter("record_type = 'response'")
     responses = responses.select(

@@ -3,7 +3,9 @@
 Writing: every task writes archives of its own and the driver moves the archives of the successful attempts into place, so a
 lost executor or a repeated task leaves nothing behind. Reading: files are planned into partitions by size; record type and
 other header predicates of the query reach the reader as filters; headers are parsed first, and the payload of a record that
-fails a filter is skipped by seeking over its length (or, in a compressed file, passed over undecoded).
+fails a filter is skipped by seeking over its length. Compressed archives hold one gzip member per record, whose extra field
+``sl`` names its length: only the first part of a member is inflated for the headers, and an unwanted rest is seeked over
+too. Members without that field, from other writers, are inflated but not decoded.
 
 Paths go through Arrow's file systems, so a local path on shared storage, HDFS or an object store all work.
 
@@ -13,10 +15,11 @@ write no header and read back as null; an empty table writes no file and reads b
 
 from __future__ import annotations
 
-import gzip
 import io
 import posixpath
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,6 +75,22 @@ def record_bytes(row: dict) -> bytes:
     return head + payload + b"\r\n\r\n"
 
 
+#: Start of a gzip member: magic, deflate, flag "extra field", no time, unknown system (fixed value).
+GZIP_START = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff"
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member with the lengths of its deflated and of its plain data in the extra field ``sl``."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    if max(len(body), len(data)) >= 1 << 32:
+        extra = b""
+    else:
+        extra = b"sl" + struct.pack("<HII", 8, len(body), len(data))
+    tail = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    return GZIP_START + struct.pack("<H", len(extra)) + extra + body + tail
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str] = field(default_factory=list)
@@ -97,10 +116,10 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     name = f"{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
-                    out, size = fs.open_output_stream(posixpath.join(pending, name)), 0
+                    out, size = fs.open_output_stream(posixpath.join(pending, name), compression=None), 0
                     done.files.append(name)
                 data = record_bytes(row)
-                data = gzip.compress(data, 6) if self.gzip else data
+                data = member(data) if self.gzip else data
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -191,9 +210,8 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for name in partition.names:
             with fs.open_input_file(name) as raw:
-                source = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
-                with io.BufferedReader(source, 1 << 20) if name.endswith(".gz") else io.BufferedReader(_Seekable(raw), 1 << 18) as f:
-                    for head, payload in self._records(f, name):
+                with io.BufferedReader(_Seekable(raw), 1 << 18) as f:
+                    for head, payload in self._members(f, name) if name.endswith(".gz") else self._records(f, name):
                         rows.append({**head, "payload": payload})
                         held += len(payload or b"") + 500
                         if held > 8 << 20:
@@ -202,31 +220,76 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    @staticmethod
+    def _head(block: bytes, name: str) -> tuple[dict, int]:
+        """Columns and payload length, from the lines before the blank one."""
+        first, *lines = block.split(b"\r\n")
+        if first + b"\r\n" != VERSION:
+            raise ValueError(f"no record where one should begin, in {name}: {first[:40]!r}")
+        head: dict = {}
+        length = None
+        for line in lines:
+            key, _, value = line.decode("utf-8").partition(": ")
+            if key.lower() == "content-length":
+                length = int(value)
+            elif column := COLUMN_OF.get(key.lower()):
+                head[column] = _restore(value)
+        if length is None:
+            raise ValueError(f"a record without a length in {name}")
+        if "payload_bytes" in head:
+            head["payload_bytes"] = int(head["payload_bytes"])
+        return head, length
+
     def _records(self, f, name: str):
+        """Records of a plain archive."""
         while line := f.readline():
-            if line != VERSION:
-                raise ValueError(f"no record where one should begin, in {name}: {line[:40]!r}")
-            head: dict = {}
-            length = None
+            block = [line]
             while (line := f.readline()) not in (b"\r\n", b""):
-                key, _, value = line.decode("utf-8").rstrip("\r\n").partition(": ")
-                if key.lower() == "content-length":
-                    length = int(value)
-                elif column := COLUMN_OF.get(key.lower()):
-                    head[column] = _restore(value)
-            if length is None:
-                raise ValueError(f"a record without a length in {name}")
-            if "payload_bytes" in head:
-                head["payload_bytes"] = int(head["payload_bytes"])
-            take = self.wanted(head)
-            payload = None
-            if take and self.payload:
+                block.append(line)
+            head, length = self._head(b"".join(block)[:-2], name)
+            if not self.wanted(head):
+                f.seek(length + 4, io.SEEK_CUR)
+            elif self.payload:
                 payload = f.read(length)
-                f.read(4)
+                f.seek(4, io.SEEK_CUR)
+                yield head, payload
             else:
                 f.seek(length + 4, io.SEEK_CUR)
+                yield head, None
+
+    def _members(self, f, name: str):
+        """Records of a compressed archive, one per gzip member."""
+        while start := f.read(12):
+            extra = b""
+            if start[:3] == GZIP_START[:3] and start[3] == 4:
+                extra = f.read(struct.unpack("<H", start[10:])[0])
+            if extra[:4] != b"sl\x08\0" or len(extra) != 12:
+                # No lengths: inflate to the end of the member.
+                f.seek(-len(start) - len(extra), io.SEEK_CUR)
+                inflate, parts = zlib.decompressobj(31), []
+                while not inflate.eof and (data := f.read(1 << 16)):
+                    parts.append(inflate.decompress(data))
+                f.seek(-len(inflate.unused_data), io.SEEK_CUR)
+                block, _, rest = b"".join(parts).partition(b"\r\n\r\n")
+                head, length = self._head(block, name)
+                if self.wanted(head):
+                    yield head, rest[:length] if self.payload else None
+                continue
+            left, inflate, data = struct.unpack("<I", extra[4:8])[0], zlib.decompressobj(-15), b""
+            while b"\r\n\r\n" not in data and left:
+                part = f.read(min(left, 1024))
+                left -= len(part)
+                data += inflate.decompress(part)
+            block, _, rest = data.partition(b"\r\n\r\n")
+            head, length = self._head(block, name)
+            take = self.wanted(head)
+            if take and self.payload:
+                rest = (rest + inflate.decompress(f.read(left)))[:length]
+                f.seek(8, io.SEEK_CUR)
+            else:
+                f.seek(left + 8, io.SEEK_CUR)
             if take:
-                yield head, payload
+                yield head, rest if self.payload else None
 
 
 class _Seekable(io.RawIOBase):
