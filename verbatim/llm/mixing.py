@@ -27,6 +27,8 @@ from verbatim.llm.common import stored, words
 from verbatim.llm.rules import SYMBOLS
 
 PLACE = ("draw", "id", "size")
+#: Up to so many sources, their thresholds are broadcast (at most some 10 MB); beyond that they are joined.
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -111,11 +113,9 @@ def thresholds(rows: DataFrame, mix: Mix) -> DataFrame:
     inside = inside.withColumn("before", F.col("begin") + running - F.col("size"))
     inside = inside.filter(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(place).alias("last"))
     last = full.unionByName(inside).groupBy("source").agg(F.max("last").alias("last"))
-    return (
-        plan.alias("t")
-        .join(last.alias("l"), same("t", "l"), "left")
-        .select("t.source", "t.source_size", "t.target", "t.epochs", "l.last")
-    )
+    cuts = plan.alias("t").join(last.alias("l"), same("t", "l"), "left")
+    cuts = stored(cuts.select("t.source", "t.source_size", "t.target", "t.epochs", "l.last"), "mix-cuts")
+    return F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
 
 
 def with_repeats(rows: DataFrame, cuts: DataFrame) -> DataFrame:
