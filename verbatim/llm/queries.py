@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatim.llm import bpe, chat, mixing, near_dup, rules, toxicity, warc
-from verbatim.llm.common import crc_mod, scratch
+from verbatim.llm import bpe, chat, mixing, near_dup, pitman_yor, rules, toxicity, warc
+from verbatim.llm.common import crc_mod, scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +17,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -261,3 +267,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query("op10_pitman_yor")
+def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman_yor.score_texts(table(spark, sf_dir, "documents"))
+    held_out = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
