@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatim.llm import bpe, chat, mixing, near_dup, pitman_yor, rules, toxicity, warc
+from verbatim.llm import ann, bpe, chat, mixing, near_dup, pitman_yor, rules, toxicity, warc
 from verbatim.llm.common import crc_mod, scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,3 +274,8 @@ def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pitman_yor.score_texts(table(spark, sf_dir, "documents"))
     held_out = (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out")
     return out.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op1_ann")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
