@@ -5,11 +5,12 @@ and its maximum, so a signature of n values costs n / 2 evaluations per shingle;
 without bias and, being negatively correlated, with less variance than n separate minima. Bands of the signature bring
 candidates together, and links are confirmed on the full sets.
 
-Nothing here is quadratic in a group of copies. Documents with equal sets are one class from the start. Every bucket of a
-band compares its members with its smallest one only. What that leaves open is a pair of members that ended up in different
-components: such pairs are compared too, unless their distances to the bucket's smallest member differ by more than the
-distance allowed, in which case the triangle inequality of the Jaccard distance rules them out. So every pair of different
-sets that shares a band is linked, connected otherwise, or shown not to be a link.
+No rows are made for all pairs of a group of copies. Documents with equal sets are one class from the start. Every bucket of
+a band compares its members with its smallest one, its pivot, only. What that leaves open is a member outside of the pivot's
+component, and whether it is linked to another member: to one of the pivot's component, unless the distances to the pivot
+rule that out by the triangle inequality of the Jaccard distance, or to another outsider. Such outsiders are asked once per
+component, not per bucket, against blocks of its members, in tasks that hold some hundred sets on either side. So every pair of
+different sets that shares a band is linked, connected otherwise, or shown not to be a link.
 
 Components come from alternating star contraction: rounds of joins and groupings, logarithmic in the size of a
 component, each written to the shared folder.
@@ -241,44 +242,99 @@ def classes(docs: DataFrame, config: NearDup | None = None, key: str = "doc_id",
     link = f"100 * shared >= {config.percent} * union"
     first_links = judged.filter(link).select("a", "b")
     near = stored(components(first_links), "near")
-    rest = stored(open_pairs(members, judged, near, config), "open")
-    links = first_links
-    if not rest.isEmpty():
-        links = links.unionByName(verified(rest, sets).filter(link).select("a", "b"))
-        near = stored(components(links), "near-all")
+    questions = stored(open_questions(members, judged, near, config), "questions")
+    if not questions.isEmpty():
+        more = block_links(questions, near, sets, config)
+        near = stored(components(first_links.unionByName(more)), "near-all")
     out = signed.select("id", "n_shingles", "digest").join(firsts, "digest", "left")
     out = out.join(near.withColumnRenamed("id", "first"), "first", "left")
-    drop_stored(spark, members, stars, sets, judged, rest)
+    drop_stored(spark, members, stars, sets, judged, questions)
     return out.select("id", "n_shingles", F.coalesce("component", "first", "id").alias("component"))
 
 
-def open_pairs(members: DataFrame, judged: DataFrame, near: DataFrame, config: NearDup) -> DataFrame:
-    """Pairs of a bucket that lie in different components and that the pivot does not rule out."""
+def open_questions(members: DataFrame, judged: DataFrame, near: DataFrame, config: NearDup) -> DataFrame:
+    """Rows (home, id, against_home, against_others): what the stars leave to ask of each bucket's outsiders.
+
+    An outsider is a member that lies in another component than the bucket's pivot. It may still be linked to a member of the
+    pivot's component, unless all of those are nearer to the pivot than the triangle inequality demands, and to another
+    outsider. One row per outsider and home component, however many buckets they share.
+    """
     gap = 1 - config.percent / 100
     far = (1 - F.col("shared") / F.col("union")).alias("far")
     labels = near.select(F.col("id").alias("x"), "component")
     rows = members.join(judged.select(F.col("a").alias("pivot"), F.col("b").alias("id"), far), ["pivot", "id"], "left")
-    rows = rows.join(labels, rows["id"] == labels["x"], "left").drop("x")
+    rows = rows.join(labels, rows["id"] == labels["x"], "left")
     rows = rows.select("key", "id", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "id").alias("component"))
+    pivot = labels.select(F.col("x").alias("pivot"), F.col("component").alias("home"))
+    homes = members.select("key", "pivot").distinct().join(pivot, "pivot", "left").select("key", F.coalesce("home", "pivot").alias("home"))
+    rows = stored(rows.join(homes, "key"), "mixed")
+    inside = F.col("component") == F.col("home")
     mixed = rows.groupBy("key").agg(
-        F.min("component").alias("c1"),
-        F.max("component").alias("c2"),
-        F.max(F.when(F.col("far") == 0, F.col("component"))).alias("home"),
-        F.count("*").alias("n"),
+        F.max(F.when(inside, F.col("far"))).alias("reach"),
+        F.min(F.when(~inside, F.col("component"))).alias("c1"),
+        F.max(F.when(~inside, F.col("component"))).alias("c2"),
     )
-    mixed = mixed.filter("c1 < c2 and n > 2").select("key", "home")
-    rows = stored(rows.filter("far > 0").join(mixed, "key"), "mixed")
-    a, b = rows.alias("a"), rows.alias("b")
-    # One of the two lies outside the pivot's component; among two such, each pair once.
-    outside = a.filter("component != home")
-    pairs = outside.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.component") != F.col("b.component"))
-        & ((F.col("b.component") == F.col("b.home")) | (F.col("a.id") < F.col("b.id")))
-        & (F.abs(F.col("a.far") - F.col("b.far")) <= F.lit(gap + 1e-9)),
+    asked = rows.filter(~inside).join(mixed.filter("c1 is not null"), "key")
+    asked = asked.select(
+        "home", "id", (F.col("far") <= F.col("reach") + (gap + 1e-9)).alias("against_home"), (F.col("c1") < F.col("c2")).alias("against_others")
     )
-    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    asked = asked.filter("against_home or against_others").groupBy("home", "id")
+    return asked.agg(F.max("against_home").alias("against_home"), F.max("against_others").alias("against_others"))
+
+
+def _links(config: NearDup):
+    """Two tables (.., id, shingles) to the links between their rows, through an inverted index of the first."""
+    import pyarrow as pa
+
+    def run(targets: pa.Table, probes: pa.Table) -> pa.Table:
+        import numpy as np
+
+        ids, asked = targets.column("id").to_pylist(), probes.column("id").to_pylist()
+        out: dict[str, list] = {"a": [], "b": []}
+        if ids and asked:
+            sets = targets.column("shingles").combine_chunks()
+            size = sets.value_lengths().to_numpy()
+            values = sets.flatten().to_numpy()
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], np.repeat(np.arange(len(ids)), size)[order]
+            for probe, own in zip(asked, probes.column("shingles"), strict=True):
+                own = own.values.to_numpy()
+                low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                n = high - low
+                places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[places], minlength=len(ids))
+                for i in np.flatnonzero(100 * shared >= config.percent * (size + len(own) - shared)).tolist():
+                    if ids[i] != probe:
+                        out["a"].append(min(ids[i], probe))
+                        out["b"].append(max(ids[i], probe))
+        kind = targets.schema.field("id").type
+        return pa.table({c: pa.array(v, kind) for c, v in out.items()})
+
+    return run
+
+
+#: Sets that meet in one task: so many of a home component, so many that ask.
+BLOCK, ASKING = 512, 1024
+
+
+def block_links(questions: DataFrame, near: DataFrame, sets: DataFrame, config: NearDup) -> DataFrame:
+    """Links (a, b) that answer the questions: each home and its outsiders are dealt into blocks that meet in a grid."""
+    homes = questions.filter("against_home").select("home").distinct()
+    targets = near.select(F.col("component").alias("home"), "id").join(homes, "home")
+    targets = targets.unionByName(questions.filter("against_others").select("home", "id")).distinct()
+    probes = questions.select("home", "id")
+    grid = targets.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    grid = grid.join(probes.groupBy("home").agg(F.ceil(F.count("*") / ASKING).cast("long").alias("lots")), "home")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    left = targets.join(grid, "home").select("home", "id", dealt("blocks").alias("block"), every("lots").alias("lot"))
+    right = probes.join(grid, "home").select("home", "id", every("blocks").alias("block"), dealt("lots").alias("lot"))
+    keys = ["home", "block", "lot"]
+    # Written and read again: both sides come from the same tables, and their columns must be told apart.
+    asking = stored(right.join(sets, "id"), "asking")
+    kind = _type(sets, "id")
+    links = left.join(sets, "id").groupBy(*keys).cogroup(asking.groupBy(*keys))
+    return links.applyInArrow(_links(config), f"a {kind}, b {kind}").distinct()
 
 
 def keep_one(docs: DataFrame, config: NearDup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
