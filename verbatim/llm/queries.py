@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatim.llm import ann, bpe, chat, mixing, near_dup, pitman_yor, rules, toxicity, warc
+from verbatim.llm import ann, bpe, chat, html_main, mixing, near_dup, pitman_yor, rules, toxicity, warc
 from verbatim.llm.common import crc_mod, scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,3 +279,11 @@ def language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_ann")
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    forest = html_main.fit(pages)
+    out = pages.select("page_id", "url", html_main.extracted(F.col("html"), forest, spark).alias("text"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
