@@ -39,7 +39,7 @@ class Settings:
     n_min: int = 3
     n_max: int = 6
     window: int = 8
-    sample: int = 4000
+    sample: int = 3000
     steps: int = 1600
     warm_steps: int = 500
     batch: int = 128
@@ -85,6 +85,13 @@ def subwords(words: list[bytes], s: Settings):
     return ((flat >> np.uint64(40)) % np.uint64(s.buckets)).astype(np.int32)[order], np.cumsum(counts) - counts
 
 
+def all_subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of the n-grams of many words, and their number per word; in parts, to hold little at a time."""
+    parts = [subwords(words[i : i + 20_000], s) for i in range(0, len(words), 20_000)]
+    counts = [np.diff(np.append(at, len(flat))).astype(np.int32) for flat, at in parts]
+    return np.concatenate([flat for flat, _ in parts]), np.concatenate(counts).astype(np.int64)
+
+
 def window_starts(n: int, size: int) -> np.ndarray:
     """First words of the windows of a text of ``n`` words; the last window takes the remainder."""
     return np.arange(0, max(n - size, 0) + 1, size) if n else np.empty(0, np.int64)
@@ -118,8 +125,8 @@ def train(texts: list[str], labels: list[int], s: Settings) -> Model | None:
         docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
     y_all = np.array([y for y, d in zip(labels, docs, strict=True) if len(d)])
     docs = [d for d in docs if len(d)]
-    flat, at = subwords(list(index), s)
-    count = np.diff(np.append(at, len(flat)))
+    flat, count = all_subwords(list(index), s)
+    at = np.cumsum(count) - count
     tokens = np.concatenate(docs)
     first = np.cumsum([0] + [len(d) for d in docs])[:-1]
     windows = [window_starts(len(d), s.window) for d in docs]
