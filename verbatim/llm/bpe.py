@@ -33,7 +33,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pre-tokens, and pieces of text, that a worker remembers (twice as many for a short while).
-REMEMBERED, REMEMBERED_PIECES = 300_000, 150_000
+REMEMBERED, REMEMBERED_PIECES = 200_000, 100_000
 LONGEST_REMEMBERED = 64
 PLACE = (1 << 40) - 1
 #: Marks that make one pre-token together (no apostrophe, letter, digit or space).

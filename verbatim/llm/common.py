@@ -20,9 +20,14 @@ GAP = r"[\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Rows per Arrow batch: texts are long, and a Python worker holds a batch or two.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application: tasks import it there."""
+    """Make a session ready: send this package to the executors, once per application, and keep Arrow batches small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         folder = tempfile.mkdtemp(prefix=f"{package.name}-package-")
