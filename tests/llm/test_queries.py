@@ -1,0 +1,70 @@
+"""The registered queries against their SQL, and the pipeline against its stages by hand."""
+
+import sys
+from collections import Counter
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
+
+from check_queries import compare, connect  # noqa: E402
+
+from verbatim.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, name):
+    status, note = compare(spark, connect(SF), SF, name, ORACLES[name])
+    assert status == "ok", note
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_bpe_query_against_the_library(spark):
+    import hashlib
+
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from verbatim.llm.queries import vocabulary_path
+
+    theirs = Tokenizer.from_file(vocabulary_path())
+    texts = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: r for r in QUERIES["op3_bpe"](spark, SF).collect()}
+    for row in texts:
+        ids = theirs.encode(row["text"] or "", add_special_tokens=False).ids
+        r = got[row["doc_id"]]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), digest(",".join(map(str, ids))))
+        assert r.decoded_sha256 == digest(theirs.decode(ids, skip_special_tokens=False))
+
+
+def test_pipeline_stages_take_effect(spark):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    from verbatim.llm import mixing, near_dup, rules
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, kept = docs.columns, [docs]
+    for _, stage in cp.STAGES[:-1]:
+        kept.append(stage(spark, kept[-1], SF).cache())
+        assert kept[-1].columns == columns
+    ids = [Counter(r.doc_id for r in k.select("doc_id").collect()) for k in kept]
+    assert ids[1].keys() <= ids[0].keys()
+    good = rules.apply_policy(rules.ledger(kept[1]), rules.BOOK.policy("web", 2)).filter("kept")
+    assert ids[2] == Counter(r.doc_id for r in good.select("doc_id").collect())
+    single = near_dup.classes(kept[2]).filter("id = component")
+    assert ids[3] == Counter(r.id for r in single.select("id").collect())
+    plan = mixing.plan_mix(kept[3]).filter("repeats > 0")
+    assert ids[4] == Counter({r.doc_id: r.repeats for r in plan.select("doc_id", "repeats").collect()})
+    last = cp.STAGES[-1][1](spark, kept[4], SF)
+    texts = kept[4].select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("t")).distinct()
+    assert last.join(texts, "doc_id").filter("t = decoded_sha256").count() == sum(ids[4].values())
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "quality rules", "MinHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"]
