@@ -178,6 +178,26 @@ def _type(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
+#: Bits of a map of ids, whatever their number: 2 ** 18 rows of 64, some 4 MB to broadcast.
+MAP_ROWS = 1 << 18
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with a flag ``name``: false for rows whose ``key`` is surely not in ``ids`` (column id).
+
+    The ids set bits in a map of fixed size, which is broadcast, so that texts nobody asks for need no shuffle. The more
+    ids, the more rows are flagged in vain; an exact join decides about flagged rows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_ROWS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`, 1), 64) as int))")
+    bits = ids.select(place(F.col("id")).alias("place"), bit("id").alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    row, taken = free_name(rows.columns, "map_place"), free_name(rows.columns, "map_bits")
+    bits = bits.select(F.col("place").alias(row), F.col("bits").alias(taken))
+    flagged = rows.withColumn(row, place(F.col(key))).join(F.broadcast(bits), row, "left")
+    flag = F.coalesce(F.col(taken).bitwiseAND(bit(key)) != 0, F.lit(False))
+    return flagged.select(*[F.col(f"`{c}`") for c in rows.columns], flag.alias(name))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` with ``shared`` and ``union``, the sizes of intersection and union of the full sets."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -236,7 +256,8 @@ def classes(docs: DataFrame, config: NearDup | None = None, key: str = "doc_id",
     stars = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = stored(stars, "stars")
     wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    found = slim.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    found = among(slim, wanted, "id", "asked").filter("asked").drop("asked")
+    found = found.join(wanted, "id", "left_semi").dropDuplicates(["id"])
     sets = stored(found.mapInArrow(_sets(config), f"id {id_type}, shingles array<bigint>"), "sets")
     judged = stored(verified(stars, sets), "judged")
     link = f"100 * shared >= {config.percent} * union"
@@ -339,6 +360,10 @@ def block_links(questions: DataFrame, near: DataFrame, sets: DataFrame, config:
 
 def keep_one(docs: DataFrame, config: NearDup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, its smallest id, all columns as they came. Rows without an id stay."""
-    marked = classes(docs, config, key, text).filter("id != component").select(F.col("id").alias(drop := free_name(docs.columns, "gone")))
-    kept = docs.join(marked, docs[key] == marked[drop], "left_anti")
-    return kept
+    gone = classes(docs, config, key, text).filter("id != component").select("id").distinct()
+    gone = stored(gone, "near-copies")
+    flag = free_name(docs.columns, "maybe")
+    flagged = among(docs, gone, key, flag)
+    name = free_name(docs.columns, "gone")
+    asked = flagged.filter(flag).drop(flag).join(gone.withColumnRenamed("id", name), F.col(key) == F.col(name), "left_anti")
+    return flagged.filter(~F.col(flag)).drop(flag).unionByName(asked)
