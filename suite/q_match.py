@@ -67,10 +67,30 @@ def jn1(spark, d):
 
 @query("jn1_exact_keyword_join", _DOC_HITS)
 def jn1_join(spark, d):
-    """The same hits through the join used for libraries too large for the plan."""
+    """The same hits through the broadcast table used for libraries too large for the plan."""
     docs = fx.documents_long(spark, d).select("ID", "text")
-    library = keyword.library_table(DOCS, spark)
-    return _first_evidence(keyword.add_exact_hits_by_join(docs, "text", ["ID"], library, 2))
+    return _first_evidence(keyword.add_exact_hits_by_table(docs, F.col("text"), DOCS))
+
+
+#: A library of 9,261 keywords, all words of three of these syllables.
+_SYLLABLES = "th er on an re ed nd ou ti at en es or in ha sh st he wh ea ly".split()
+
+_LARGE_HITS = q.with_(
+    f"s AS (SELECT unnest({q.list_lit(_SYLLABLES)}) AS t, unnest(range({len(_SYLLABLES)})) AS i)",
+    "k AS (SELECT a.i AS pos, b.i * 21 + c.i AS kw, a.t || b.t || c.t AS word FROM s a, s b, s c)",
+    f'w AS (SELECT DISTINCT doc_id AS "ID", unnest(string_split_regex(lower(text), \'[^{q.WORD}]+\')) AS word FROM documents)',
+) + 'SELECT "ID", pos::INTEGER AS pos, 0::INTEGER AS kind, min_by(word, kw) AS evidence FROM w JOIN k USING (word) GROUP BY "ID", pos'
+
+
+@query("jn1_exact_keyword_large", _LARGE_HITS)
+def jn1_large(spark, d):
+    """Exact keywords of a library that is past the size for the plan, on whole documents."""
+    subthemes = [
+        {"name": a, "keywords_phrases": [a + b + c for b in _SYLLABLES for c in _SYLLABLES]} for a in _SYLLABLES
+    ]
+    index = keyword.KeywordIndex.from_themes({"themes": {"Syllables": {"subthemes": subthemes}}})
+    docs = fx.documents_long(spark, d).select("ID", "text")
+    return _first_evidence(keyword.add_exact_hits_by_table(docs, F.col("text"), index))
 
 
 def _survey_matches(settings: KeywordSettings, only: str = "TRUE") -> str:

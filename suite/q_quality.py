@@ -74,7 +74,7 @@ def ag3(spark, d):
     q.with_(*FLAGGED)
     + 'SELECT "TextColumn", count(*) AS total_rows, count(*) FILTER (NOT dismissed) AS meaningful, '
     "count(*) FILTER (dismissed) AS dismissed, "
-    "round_even(count(*) FILTER (dismissed) / count(*) * 100, 2) AS dismissed_pct, "
+    f"{q.rounded('count(*) FILTER (dismissed) / count(*) * 100', 2)} AS dismissed_pct, "
     "\"TextColumn\" || '_response_detail' AS detail_column FROM flagged GROUP BY ALL",
 )
 def ag4(spark, d):

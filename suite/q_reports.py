@@ -52,7 +52,7 @@ def rk5(spark, d):
 @query(
     "ag13_match_metrics",
     q.with_(ASSIGNED)
-    + "SELECT count(*) AS assignments, round_even(count(*) FILTER (match_method <> 'none') / count(*) * 100, 2) "
+    + "SELECT count(*) AS assignments, " + q.rounded("count(*) FILTER (match_method <> 'none') / count(*) * 100", 2) + " "
     "AS match_rate, count(*) FILTER (match_method = 'dismissed') AS dismissed, "
     "count(*) FILTER (match_method = 'none') AS unmatched, "
     "round(avg(rule_score) FILTER (reason = 'matched'), 6) AS mean_matched_score FROM assignments",
@@ -271,17 +271,9 @@ def ag14(spark, d):
     "UNION ALL SELECT DISTINCT 'method', match_method FROM view_",
 )
 def rk7(spark, d):
-    v = view(spark, d)
-
-    def facet(name: str, column: str, delimiter: str | None = None) -> DataFrame:
-        return reports.facet_values(v, column, delimiter).select(F.lit(name).alias("facet"), "value")
-
-    return (
-        facet("theme", "theme", " | ")
-        .unionByName(facet("subtheme", "subtheme", " | "))
-        .unionByName(facet("sentiment", "sentiment_label"))
-        .unionByName(facet("method", "match_method"))
-    )
+    labels = {"theme": ("theme", " | "), "subtheme": ("subtheme", " | ")}
+    single = {"sentiment": ("sentiment_label", None), "method": ("match_method", None)}
+    return reports.all_facet_values(view(spark, d), labels | single)
 
 
 @query(

@@ -308,8 +308,8 @@ SUMMARY = ",\n".join(
 )
 _SUMMARY_SELECT = (
     'SELECT "TextColumn", theme, subtheme, total AS total_segments, pos_count, neg_count, neutral_count, '
-    "round_even(p, 3) AS pos_pct, round_even(n, 3) AS neg_pct, round_even(u, 3) AS neutral_pct, "
-    "round_even(net, 3) AS net_score, round_even(greatest(p, n), 3) AS dominant_pct, "
+    f"{q.rounded('p', 3)} AS pos_pct, {q.rounded('n', 3)} AS neg_pct, {q.rounded('u', 3)} AS neutral_pct, "
+    f"{q.rounded('net', 3)} AS net_score, {q.rounded('greatest(p, n)', 3)} AS dominant_pct, "
     + q.insight("net", "greatest(p, n)", "CASE WHEN subtheme <> '' THEN subtheme ELSE theme END", 0.51)
     + " AS insight FROM sums"
 )

@@ -33,6 +33,11 @@ def in_list(values: Iterable[str]) -> str:
     return "(" + ", ".join(lit(v) for v in values) + ")"
 
 
+def rounded(value: str, digits: int) -> str:
+    """Rounded by print: the exact binary value decides, a true tie goes to the even digit."""
+    return f"CAST(printf('%.{digits}f', ({value})::DOUBLE) AS DOUBLE)"
+
+
 def list_lit(values: Iterable[str]) -> str:
     return "CAST([" + ", ".join(lit(v) for v in values) + "] AS VARCHAR[])"
 

@@ -42,7 +42,38 @@ def test_three_exact_paths_agree(spark):
     assert sum(map(len, by_row.values())) > 100
     cfg = KeywordSettings(use_fuzzy=False, min_accept_score=0.1, top_k=50)
     rows = lambda m: sorted(map(str, kw.add_matches(df, INDEX, cfg, exact=m).select("ID", "matches").collect()))
-    assert rows("row") == rows("join") == rows("pattern")
+    assert rows("row") == rows("table") == rows("pattern")
+    shards = lambda n: hits(kw.add_exact_hits_by_table(df, F.col("text"), INDEX, shard_bytes=n))
+    assert by_row == shards(200) == shards(1 << 20)
+
+
+def large_index(size=8200):
+    words = [f"w{i} x{i % 97}" if i % 3 else f"v{i}" for i in range(size)]
+    themes = {"Delivery": {"subthemes": [{"name": "Late", "keywords_phrases": ["late delivery", *words[::2]]}]},
+              "Price": {"subthemes": [{"name": "Good value", "keywords_phrases": ["great prices", *words[1::2]]}]}}
+    return kw.KeywordIndex.from_themes({"themes": themes})
+
+
+def test_a_large_library_keeps_rows_apart(spark):
+    """Rows with equal and with null ids get their own matches, in the plan and in a broadcast table alike."""
+    index = large_index()
+    assert index.n_keywords() > kw.MAX_LITERAL_KEYWORDS
+    texts = [(1, "late delivery"), (1, "great prices"), (None, "late delivery"), (2, None), (3, "w4 x4 and v3, w4  x4")]
+    df = spark.createDataFrame([(i, "Free_Text_1", t, True, None) for i, t in texts], SCHEMA)
+    cfg = KeywordSettings(use_fuzzy=False, top_k=5)
+    found = {m: sorted(str((r["ID"], r["text"], [x["subtheme"] for x in r["matches"] or []])) for r in kw.add_matches(df, index, cfg, exact=m).collect()) for m in ("auto", "table", "row")}
+    assert found["auto"] == found["table"] == found["row"]
+    assert "(1, 'great prices', ['Good value'])" in found["auto"] and "(None, 'late delivery', ['Late'])" in found["auto"]
+
+
+def test_a_large_library_runs_on_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "Free_Text_1", "late delivery" if i % 2 else "v3", True, None) for i in range(6)], SCHEMA)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    out = kw.add_best_match(stream, large_index(), KeywordSettings(use_fuzzy=False)).select("ID", "match.subtheme")
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    assert {r["subtheme"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"Late", "Good value"}
 
 
 # A plain restatement of the matching rules, for comparison on small inputs.

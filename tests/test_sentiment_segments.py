@@ -30,6 +30,13 @@ def test_weighted_sentiment(spark):
     assert (row["compound"], row["sentiment_label"]) == (0.0, "Neutral")
 
 
+def test_no_weights_mean_equal_weights(spark):
+    df = wide(spark, [(4, "fine", True, "sad", True)])
+    plain = sentiment.add_sentiment(df, COLS).first()
+    equal = sentiment.add_sentiment(df, COLS, SentimentSettings(column_weights={"a": 0.5, "b": 0.5})).first()
+    assert plain["compound"] is not None and plain == equal
+
+
 def test_weights():
     assert sentiment.sentiment_weights(["a", "b"], {"a": 2, "z": 1}) == {"a": 2.0}
     assert sentiment.sentiment_weights(["a", "b"], {}) == {"a": 0.5, "b": 0.5}

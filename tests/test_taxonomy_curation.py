@@ -56,11 +56,10 @@ def test_keyword_themes(spark, tmp_path):
     assert by_name[("T", "S")].token_terms == ("bus", "lost") and by_name[("T", "S")].cols == ("A", "B")
 
 
-def test_oversized_library_is_refused(spark):
-    import pytest
-
-    with pytest.raises(ValueError):
-        taxonomy.enriched_subthemes(library(spark), F.col("n"), max_phrases=2)
+def test_phrases_are_numbered_in_order(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("a"), (F.col("id") % 3).alias("b")).repartition(5)
+    rows = taxonomy.number_phrases(df, ["b", "a"]).collect()
+    assert [r["phrase_idx"] for r in sorted(rows, key=lambda r: (r["b"], r["a"]))] == list(range(500))
 
 
 def random_phrases(n, seed):

@@ -124,7 +124,23 @@ def test_canonical_phrase(values):
     assert got == ["full width, my line manager", "fine colour", "", "été"]
 
 
+def test_exact_answers_do_not_end_before_a_line_end(values):
+    got = values(quality.response_detail, ["yes\n!", "ok\n.", "yes!", "ok."])
+    assert got == ["No", "No", "Yes", "No sentiment"]
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    from verbatim.functions.expr import round_binary
+
+    pairs = [(a, b) for b in range(1, 400) for a in range(b + 1)] + [(a, 4001) for a in range(4002)] + [(-7, 80), (-1, 16), (-3, 16)]
+    df = spark.createDataFrame([(a / b, a / b * 100) for a, b in pairs], "share double, pct double")
+    for r in df.select("share", "pct", round_binary(F.col("share"), 3).alias("s"), round_binary(F.col("pct"), 2).alias("p")).toLocalIterator():
+        assert r["s"] == round(r["share"], 3) and r["p"] == round(r["pct"], 2)
+
+
 def test_parse_phrases(values):
+    odd = ['["a"] tail ["b"]', '[null, true, false, "true", "null", 1.5]', "[]", '["x", ["y"]]', '{"data": [null, "q"]}', '["a\\"b", "\\u00e9"]']
+    assert values(phrases.parse_phrases, odd) == [[], ["None", "True", "False", "true", "null", "1.5"], [], [], ["None", "q"], ['a"b', "é"]]
     cases = ['["a", "b"]', '{"items": ["x"]}', '{"data": 1, "list": ["y"]}', 'text ["p", "q"] more', "none", None,
              '{"phrases": ["1", 2]}', "[broken", '{"note": "z"}']
     assert values(phrases.parse_phrases, cases) == [["a", "b"], ["x"], ["y"], ["p", "q"], [], [], ["1", "2"], [], []]

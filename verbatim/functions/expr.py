@@ -40,3 +40,21 @@ def compute_all(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return compute_all(df, {name: value})
+
+
+def round_binary(value: Column, digits: int) -> Column:
+    """Round a double as exact arithmetic on its binary value does, a true tie to the even digit.
+
+    ``round`` and ``bround`` look at the shortest decimal print, which may show a tie where the value lies beside it. Here the
+    scaled value is rounded to a double first; only if that is a tie can it be on the wrong side, and the error of the
+    product, computed exactly by splitting the factor, tells which side is right.
+    """
+    scale = float(10**digits)
+    scaled = value * F.lit(scale)
+    spread = value * F.lit(134217729.0)  # 2 ** 27 + 1
+    high = spread - (spread - value)
+    error = (high * F.lit(scale) - scaled) + (value - high) * F.lit(scale)
+    floor = F.floor(scaled)
+    part = scaled - floor
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (floor % 2 != 0))))
+    return (floor + up.cast("long")).cast("double") / F.lit(scale)

@@ -62,14 +62,34 @@ def is_generic_phrase(c: Column) -> Column:
 
 
 def parse_phrases(content: Column) -> Column:
-    """The phrase list in a JSON reply: a bare array, a list under a known key, or the first bracketed span."""
-    schema = ", ".join(f"{k} array<string>" for k in lx.PHRASE_LIST_KEYS)
-    as_object = F.from_json(content, schema)
+    """The phrase list in a JSON reply: a bare array, a list under a known key, or the first bracketed span.
+
+    A text with anything after its end is no JSON, so lists are checked whole before they are read. Items that are no strings
+    appear as the words ``None``, ``True`` and ``False`` or as the number stands there; lists within lists give no phrase.
+    """
     span = F.regexp_extract(content, r"(\[[\s\S]*\])", 1)
-    empty = F.array().cast("array<string>")
-    bare = F.when(strip(content).startswith("["), F.from_json(content, "array<string>"))
-    keyed = [as_object[k] for k in lx.PHRASE_LIST_KEYS]
-    return F.coalesce(bare, *keyed, F.when(span != "", F.from_json(span, "array<string>")), empty)
+    text = strip(content)
+    is_object = text.startswith("{") & text.endswith("}")
+    keyed = [F.when(is_object, _flat_list(F.get_json_object(content, f"$.{k}"))) for k in lx.PHRASE_LIST_KEYS]
+    return F.coalesce(_flat_list(content), *keyed, _flat_list(span), F.array().cast("array<string>"))
+
+
+#: One item of a flat JSON list, and the whole list.
+_ITEM = r'"(?:[^"\\\x00-\x1f]|\\.)*+"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null'
+_LIST = rf"^\s*\[\s*(?:(?:{_ITEM})(?:\s*,\s*(?:{_ITEM}))*+)?\s*\]\s*\z"
+_WORDS = {"null": "None", "true": "True", "false": "False"}
+
+
+def _flat_list(text: Column) -> Column:
+    """The items of a JSON list of plain values, as strings; null where the text is anything else."""
+
+    def item(token: Column) -> Column:
+        out = F.when(token.startswith('"'), F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0)))
+        for word, name in _WORDS.items():
+            out = out.when(token == word, name)
+        return out.otherwise(token)
+
+    return F.when(text.rlike(_LIST), F.transform(F.regexp_extract_all(text, F.lit(f"({_ITEM})"), F.lit(1)), item))
 
 
 def word_set(c: Column) -> Column:

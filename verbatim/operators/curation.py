@@ -1,13 +1,15 @@
 """Phrase curation: near-duplicate search and removal, related examples, library metrics.
 
 Near-duplicates are found by an exact prefix-filtered similarity join. Equal word sets are collapsed first, words are
-ordered from rare to frequent, and two sets can only be similar enough if the rare ends of both share a word. So candidate
-pairs come from rare words; a crowd of copies is one set, and a word that is in every phrase joins almost nothing.
+ordered from rare to frequent, and two sets can only be similar enough if the rare ends of both share a word. Sets meet by
+word and size class, and only if the places of the word leave enough words behind it; ids meet, words are fetched later.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,39 +34,55 @@ def _ordered_sets(sets: DataFrame, group: Sequence[str]) -> DataFrame:
     )
 
 
-def _prefixes(ordered: DataFrame, group: Sequence[str], threshold: float, suffix: str) -> DataFrame:
-    size = F.size("words")
+def _prefix_size(size: Column, threshold: float) -> Column:
     # Rounding guards against 0.65 * 20 coming out a hair above 13.
-    prefix = size - F.ceil(F.round(size * threshold, 6)).cast("int") + 1
-    return ordered.select(
-        *group,
-        F.col("set_id").alias(f"id_{suffix}"),
-        F.col("words").alias(f"words_{suffix}"),
-        F.posexplode(F.slice("words", F.lit(1), prefix)).alias(f"pos_{suffix}", "word"),
-    )
+    return size - F.ceil(F.round(size * threshold, 6)).cast("int") + 1
+
+
+def _prefixes(ordered: DataFrame, group: Sequence[str], threshold: float, suffix: str, spread: bool) -> DataFrame:
+    """One row per prefix word: id, size, place and size class; ``spread`` also puts it into the neighbouring classes.
+
+    Sets of a similar pair differ in size by the threshold at most, so by one class at most.
+    """
+    size = F.size("words")
+    level = F.floor(F.log(size) / F.lit(-math.log(threshold)) + 1e-9)
+    classes = F.array(*[level + d for d in ((-1, 0, 1) if spread else (0,))])
+    rows = ordered.select(*group, F.col("set_id").alias(f"id_{suffix}"), size.alias(f"size_{suffix}"), classes.alias("classes"),
+                          F.posexplode(F.slice("words", F.lit(1), _prefix_size(size, threshold))).alias(f"pos_{suffix}", "word"))
+    return rows.withColumn("level", F.explode("classes")).drop("classes")
+
 
+def _similar(left: DataFrame, right: DataFrame, group: Sequence[str], threshold: float, same: bool) -> DataFrame:
+    """``(id_a, id_b, similarity)`` of the similar pairs of two tables of ordered sets; ``same``: of one, each pair once.
 
-def _similar(candidates: DataFrame, threshold: float) -> DataFrame:
-    size_a, size_b = F.size("words_a"), F.size("words_b")
+    Only ids, sizes and places meet in the join. A shared prefix word counts if the words behind it, in both sets, could
+    still make up the overlap that the threshold asks for; of the first shared word this is a bound, and a later one only
+    repeats the question. The words themselves are fetched for the pairs that are left.
+    """
+    keys = list(group)
+    a, b = _prefixes(left, keys, threshold, "a", True), _prefixes(right, keys, threshold, "b", False)
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    needed = (size_a + size_b) * (threshold / (1 + threshold)) - 1e-6
+    reach = F.least(size_a - F.col("pos_a"), size_b - F.col("pos_b"))
+    possible = (size_a >= size_b * threshold - 1e-9) & (size_b >= size_a * threshold - 1e-9) & (reach >= needed)
+    if same:
+        possible = possible & (F.col("id_a") < F.col("id_b"))
+    x, y = a.alias("x"), b.alias("y")
+    equal = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*keys, "word", "level")]
+    pairs = x.join(y, reduce(lambda p, q: p & q, equal) & possible)
+    pairs = pairs.select(*[F.col(f"x.{k}").alias(k) for k in keys], "id_a", "id_b").distinct()
+    pairs = pairs.join(left.select(*keys, F.col("set_id").alias("id_a"), F.col("words").alias("words_a")), [*keys, "id_a"])
+    pairs = pairs.join(right.select(*keys, F.col("set_id").alias("id_b"), F.col("words").alias("words_b")), [*keys, "id_b"])
     common = F.size(F.array_intersect("words_a", "words_b"))
-    score = common / (size_a + size_b - common)
-    # Each pair is verified at its first shared prefix word only, which also makes it appear once.
-    prefix_a = size_a - F.ceil(F.round(size_a * threshold, 6)).cast("int") + 1
-    first_shared = F.get(F.array_intersect(F.slice("words_a", F.lit(1), prefix_a), F.col("words_b")), F.lit(0))
-    return (
-        candidates.filter((size_a >= size_b * threshold - 1e-9) & (size_b >= size_a * threshold - 1e-9))
-        .filter(first_shared == F.col("word"))
-        .withColumn("similarity", score)
-        .filter(F.col("similarity") >= threshold)
-    )
+    score = common / (F.size("words_a") + F.size("words_b") - common)
+    return pairs.select(*keys, "id_a", "id_b", score.alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def similar_sets(sets: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
     """Pairs ``(id_a < id_b, similarity)`` of distinct word sets of a group with Jaccard at or above the threshold."""
-    ordered = _ordered_sets(sets, group)
-    a, b = _prefixes(ordered, group, threshold, "a"), _prefixes(ordered, group, threshold, "b")
-    joined = a.join(b, [*group, "word"]).filter(F.col("id_a") < F.col("id_b"))
-    return _similar(joined, threshold).select(*group, "id_a", "id_b", "similarity")
+    ensure_checkpoint_dir(sets.sparkSession)
+    ordered = _ordered_sets(sets, group).checkpoint()
+    return _similar(ordered, ordered, group, threshold, same=True)
 
 
 def _distinct_sets(df: DataFrame, group: Sequence[str], phrase: str, order: str) -> DataFrame:
@@ -121,13 +139,12 @@ def near_existing(
         return df.select(*keys, F.array_sort(word_set(F.col(phrase))).alias("words")).filter(F.size("words") > 0).distinct()
 
     ensure_checkpoint_dir(new.sparkSession)
-    left, right = sets(new).withColumn("_side", F.lit(0)), sets(existing).withColumn("_side", F.lit(1))
-    both = left.unionByName(right).withColumn("set_id", F.struct("_side", "words")).checkpoint()
-    ordered = _ordered_sets(both, group)
-    a = _prefixes(ordered.filter(F.col("set_id._side") == 0), group, threshold, "a")
-    b = _prefixes(ordered.filter(F.col("set_id._side") == 1), group, threshold, "b")
-    pairs = _similar(a.join(b, [*keys, "word"]), threshold)
-    return pairs.select(*keys, F.col("id_a.words").alias("words")).distinct()
+    name = lambda side: F.concat(F.lit(side), F.sha1(F.array_join("words", "\x01").cast("binary")))
+    both = sets(new).withColumn("set_id", name("n")).unionByName(sets(existing).withColumn("set_id", name("e")))
+    ordered = _ordered_sets(both, group).checkpoint()
+    left, right = (ordered.filter(F.col("set_id").startswith(side)) for side in "ne")
+    pairs = _similar(left, right, group, threshold, same=False).select(*keys, F.col("id_a").alias("set_id")).distinct()
+    return ordered.join(pairs, [*keys, "set_id"], "left_semi").select(*keys, F.array_sort("words").alias("words"))
 
 
 def drop_near_existing(

@@ -9,19 +9,16 @@ and scattered-word tests are bit masks built once per distinct word.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# The scorer travels with the UDF by value, so the workers need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from verbatim.session import ship_package
 
 FUZZY_SCHEMA = "array<struct<slot: int, score: double, evidence: string>>"
 
@@ -179,6 +176,7 @@ def fuzzy_matches(text: Column, skip_slots: Column, slots: list[FuzzySlot], thre
 
     A null text costs nothing and gives null.
     """
+    ship_package(SparkSession.active())
 
     @F.arrow_udf(FUZZY_SCHEMA)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

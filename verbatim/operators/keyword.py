@@ -1,32 +1,37 @@
 """Keyword and fuzzy theme assignment.
 
-The taxonomy is a small driver-side object whose size is checked. Up to ``MAX_LITERAL_KEYWORDS`` keywords, exact matching
-is a hashed lookup of word n-grams inside the row: no join, no shuffle, usable on a stream. Beyond that, the n-grams are
-joined with the library as a table. Both paths give the same hits.
+The taxonomy is a driver-side object. Exact matching is a hashed lookup of word n-grams inside the row: no join, no
+shuffle, no row key, usable on a stream. Up to ``MAX_LITERAL_KEYWORDS`` keywords the table rides in the plan; a larger one is
+broadcast in parts of a bounded size and looked up a batch at a time. Both give the same hits.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from verbatim.functions import literals
-from verbatim.functions.expr import bind, compute_once, explode_rows
-from verbatim.functions.ngrams import is_plain_keyword, keyword_hits, match_words, ngrams, pattern_hits
+from verbatim.functions.expr import bind, compute_once, round_binary
+from verbatim.functions.ngrams import is_plain_keyword, keyword_hits, match_words, pattern_hits
 from verbatim.functions.patterns import word_bounded
 from verbatim.functions.quality import is_dismissive_short
 from verbatim.functions.text import strip
 from verbatim.operators import assignments as out
 from verbatim.operators.fuzzy import FuzzySlot, fuzzy_matches
+from verbatim.session import ship_package
 from verbatim.settings import KeywordSettings
 
 MAX_LITERAL_KEYWORDS = 5_000
-MAX_INDEX_KEYWORDS = 500_000
+#: Keyword text in one broadcast part of a large library.
+SHARD_BYTES = 32 << 20
 
 TOKEN, PHRASE = 0, 1
 
@@ -78,10 +83,7 @@ class KeywordIndex:
 
     @classmethod
     def from_df(cls, df: DataFrame) -> KeywordIndex:
-        """Read an index table (``INDEX_SCHEMA``) back; its size is checked before it reaches the driver."""
-        n = df.agg(F.sum(F.size("phrase_terms") + F.size("token_terms"))).first()[0] or 0
-        if n > MAX_INDEX_KEYWORDS:
-            raise ValueError(f"{n} keywords exceed the limit of {MAX_INDEX_KEYWORDS}; match them with keyword_join")
+        """Read an index table (``INDEX_SCHEMA``) back. An index is a driver-side object, one entry per subtheme."""
         rows = df.orderBy("subtheme_pos").collect()
         return cls(
             tuple(
@@ -144,33 +146,107 @@ def add_exact_hits(df: DataFrame, text: Column, index: KeywordIndex, name: str =
     return staged.withColumn(name, hits).drop("_words", "_keys")
 
 
-def add_exact_hits_by_join(
-    df: DataFrame, text: str, keys: Sequence[str], library: DataFrame, max_words: int, name: str = "_hits"
+@dataclass(frozen=True)
+class KeywordShard:
+    """A part of the plain keywords: by number of words, the keywords and the numbers of their hits in ``hits``."""
+
+    keywords: dict[int, pa.Array]
+    first: dict[int, np.ndarray]
+    count: dict[int, np.ndarray]
+    hits: pa.StructArray
+
+
+def keyword_shards(index: KeywordIndex, shard_bytes: int = SHARD_BYTES) -> list[KeywordShard]:
+    """The plain keywords in parts of at most ``shard_bytes`` of text, each small enough to broadcast."""
+    shards, keys, size = [], [], 0
+    table = {k: v for k, v in _hit_table(index).items() if is_plain_keyword(k)}
+    fields = [("pos", pa.int32()), ("kind", pa.int32()), ("kw", pa.int32()), ("evidence", pa.string())]
+
+    def close() -> None:
+        by_length: dict[int, list[str]] = {}
+        for k in keys:
+            by_length.setdefault(len(k.split(" ")), []).append(k)
+        ordered = [k for terms in by_length.values() for k in terms]
+        counts = np.array([len(table[k]) for k in ordered], np.int64)
+        starts = np.cumsum(counts) - counts
+        hits = pa.array([h for k in ordered for h in table[k]], pa.struct(fields))
+        words, first, count, at = {}, {}, {}, 0
+        for n, terms in by_length.items():
+            words[n], first[n], count[n] = pa.array(terms), starts[at : at + len(terms)], counts[at : at + len(terms)]
+            at += len(terms)
+        shards.append(KeywordShard(words, first, count, hits))
+
+    for key, entries in table.items():
+        keys.append(key)
+        size += len(key.encode()) + sum(len(h["evidence"].encode()) + 40 for h in entries)
+        if size > shard_bytes:
+            close()
+            keys, size = [], 0
+    if keys:
+        close()
+    return shards
+
+
+def _shard_hits(words: pa.Array, shard: KeywordShard) -> pa.Array:
+    """The hits of one batch of word arrays, null where the words are null; all rows are looked up together."""
+    sizes = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = words.flatten()
+    row = np.repeat(np.arange(len(words)), sizes)
+    rows, starts, counts = [], [], []
+    grams = flat
+    for n in range(1, max(shard.keywords) + 1):
+        if n > 1:
+            if len(flat) < n:
+                break
+            grams = pc.binary_join_element_wise(grams.slice(0, len(flat) - n + 1), flat.slice(n - 1), " ")
+        if n not in shard.keywords:
+            continue
+        at = pc.index_in(grams, value_set=shard.keywords[n])
+        found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        found = found[row[found] == row[found + n - 1]]
+        keyword = at.take(pa.array(found)).to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs = np.unique(np.stack([row[found], keyword]), axis=1) if len(found) else np.empty((2, 0), np.int64)
+        rows.append(pairs[0])
+        starts.append(shard.first[n][pairs[1]])
+        counts.append(shard.count[n][pairs[1]])
+    hit_row, start, count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, starts, counts))
+    order = np.argsort(hit_row, kind="stable")
+    hit_row, start, count = hit_row[order], start[order], count[order]
+    places = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+    ends = np.concatenate([[0], np.cumsum(np.bincount(hit_row, count, len(words)).astype(np.int64))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), shard.hits.take(pa.array(places)), mask=words.is_null())
+
+
+def add_exact_hits_by_table(
+    df: DataFrame, text: Column, index: KeywordIndex, name: str = "_hits", shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
-    """The same array through a join, for libraries too large for the plan.
+    """The same array for libraries too large for the plan: broadcast in parts of a bounded size, looked up in the row.
 
-    ``library`` has ``keyword`` (lower case, plain) and the hit fields. N-grams are made distinct per text before the
-    join, which carries only the keys; a frequent n-gram is a skewed join key that adaptive execution splits.
+    No row is joined or regrouped, so rows need no key, and the operator runs on a stream. Batches are looked up whole.
     """
-    words = df.select(*keys, match_words(F.col(text)).alias("_w"))
-    grams = bind(
-        F.col("_w"),
-        lambda w: F.array_distinct(F.flatten(F.array(*[ngrams(w, n) for n in range(1, max_words + 1)]))),
-    )
-    exploded = explode_rows(words, list(keys), grams, "keyword")
-    hits = (
-        exploded.join(library, "keyword")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "kw", "evidence"))).alias(name))
-    )
-    empty = F.array().cast(_HIT_SCHEMA)
-    return df.join(hits, list(keys), "left").withColumn(name, F.coalesce(F.col(name), empty))
+    ship_package(df.sparkSession)
+    odd = [k for k in _hit_table(index) if not is_plain_keyword(k)]
+    staged = df.withColumn("_words", match_words(text))
+    found = []
+    for shard in keyword_shards(index, shard_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(shard)
+        found.append(_lookup(shared)(F.col("_words")))
+    if odd:
+        table = {k: v for k, v in _hit_table(index).items() if k in set(odd)}
+        hits = F.transform(pattern_hits(text, odd), lambda k: literals.lookup(k, table, _HIT_SCHEMA))
+        found.append(F.flatten(hits))
+    none = F.when(text.isNotNull(), F.array().cast(_HIT_SCHEMA))
+    hits = F.concat(*found) if len(found) > 1 else found[0] if found else none
+    return staged.withColumn(name, hits.cast(_HIT_SCHEMA)).drop("_words")
 
 
-def library_table(index: KeywordIndex, spark: SparkSession) -> DataFrame:
-    """Plain keywords as a table for the join path."""
-    rows = [Row(keyword=k, **hit) for k, hit in index.entries() if is_plain_keyword(k)]
-    return spark.createDataFrame(rows, "keyword string, pos int, kind int, kw int, evidence string")
+def _lookup(shared: Any) -> Any:
+    @F.arrow_udf(_HIT_SCHEMA)
+    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            yield _shard_hits(words, shared.value)
+
+    return hits
 
 
 def add_exact_hits_by_pattern(df: DataFrame, text: Column, index: KeywordIndex, name: str = "_hits") -> DataFrame:
@@ -205,7 +281,7 @@ def _exact_candidates(hits: Column, short: Column, cfg: KeywordSettings) -> Colu
         phrases = F.filter(hits, lambda h: h["kind"] == PHRASE)
         return F.concat(short_tokens, F.transform(phrases, lambda h: candidate(h, 2, h["kw"], 1.0, "exact")))
     # Phrases come before tokens in the combined list.
-    order = lambda h: h["kw"] + F.when(h["kind"] == TOKEN, F.lit(MAX_INDEX_KEYWORDS)).otherwise(0)
+    order = lambda h: h["kw"] + F.when(h["kind"] == TOKEN, F.lit(1 << 30)).otherwise(0)
     combined = F.transform(hits, lambda h: candidate(h, 0, order(h), 1.0, "exact"))
     return F.concat(combined, F.transform(tokens, lambda h: candidate(h, 2, h["kw"], 0.95, "token_short_text")))
 
@@ -271,8 +347,8 @@ def _scored(candidates: Column, text_column: Column, index: KeywordIndex, cfg: K
             meta["subtheme"].alias("subtheme"), meta["parent_theme"].alias("parent_theme"), total.alias("score"),
             c["method"].alias("method"), c["evidence"].alias("evidence"), meta["polarity"].alias("polarity"),
             F.struct(
-                F.bround(c["base"], 3).alias("base_score"), F.bround(bonus, 3).alias("column_bonus"),
-                F.bround(penalty, 3).alias("column_penalty"), bump.alias("exact_preference_bump"),
+                round_binary(c["base"], 3).alias("base_score"), round_binary(bonus, 3).alias("column_bonus"),
+                round_binary(penalty, 3).alias("column_penalty"), bump.alias("exact_preference_bump"),
             ).alias("components"),
         )
 
@@ -286,31 +362,20 @@ def add_matches(
     settings: KeywordSettings = KeywordSettings(),
     active: Column | None = None,
     exact: str = "auto",
-    keys: Sequence[str] = ("ID", "TextColumn"),
 ) -> DataFrame:
     """Add ``matches``: the best ``top_k`` themes of each (``TextColumn``, ``text``) row, best first.
 
-    Rows where ``active`` is false are not matched. ``exact`` picks the lookup: ``row``, ``join``, ``pattern``, or ``auto``
-    by library size. The join needs ``keys`` to identify a row.
+    Rows where ``active`` is false are not matched. ``exact`` picks the lookup: ``row`` (in the plan), ``table`` (broadcast),
+    ``pattern``, or ``auto`` by library size; all give the same matches.
     """
     before = list(df.columns)
     text = F.coalesce(F.col("text"), F.lit(""))
     on = F.lit(True) if active is None else active
     staged = df.withColumn("_text", F.when(on, text))
     if exact == "auto":
-        exact = "row" if index.n_keywords() <= MAX_LITERAL_KEYWORDS else "join"
-    if exact == "join":
-        library = library_table(index, df.sparkSession)
-        longest = max((len(k.split(" ")) for k, _ in index.entries() if is_plain_keyword(k)), default=1)
-        staged = add_exact_hits_by_join(staged, "_text", keys, library, longest)
-        odd_table = {k: v for k, v in _hit_table(index).items() if not is_plain_keyword(k)}
-        if odd_table:
-            extra = F.flatten(
-                F.transform(
-                    pattern_hits(F.col("_text"), odd_table), lambda k: literals.lookup(k, odd_table, _HIT_SCHEMA)
-                )
-            )
-            staged = staged.withColumn("_hits", F.concat(F.col("_hits"), F.coalesce(extra, F.array().cast(_HIT_SCHEMA))))
+        exact = "row" if index.n_keywords() <= MAX_LITERAL_KEYWORDS else "table"
+    if exact == "table":
+        staged = add_exact_hits_by_table(staged, F.col("_text"), index)
     elif exact == "pattern":
         staged = add_exact_hits_by_pattern(staged, F.col("_text"), index)
     else:

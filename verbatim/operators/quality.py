@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import round_binary
 from verbatim import lexicons as lx
 from verbatim.functions.quality import DETAILED, response_detail
 from verbatim.functions.text import preprocess, strip
@@ -150,7 +151,7 @@ def null_summary(
         "total_rows",
         "meaningful",
         dismissed.alias("dismissed"),
-        F.when(F.col("total_rows") > 0, F.bround(dismissed / F.col("total_rows") * 100, 2)).alias("dismissed_pct"),
+        F.when(F.col("total_rows") > 0, round_binary(dismissed / F.col("total_rows") * 100, 2)).alias("dismissed_pct"),
         F.concat(F.col("column"), F.lit(settings.detail_suffix)).alias("detail_column"),
     )
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import round_binary
 from verbatim.functions.text import split_multi
 
 COMPARED = ["theme", "subtheme", "parent_theme", "match_method", "evidence", "reason"]
@@ -138,13 +139,28 @@ def facet_values(view: DataFrame, column: str, delimiter: str | None = None) ->
     return values.distinct().orderBy("value")
 
 
+def all_facet_values(view: DataFrame, facets: Mapping[str, tuple[str, str | None]]) -> DataFrame:
+    """``(facet, value)`` of several filter boxes in one pass: facet name to column and delimiter, if any."""
+
+    def values(column: str, delimiter: str | None) -> Column:
+        if delimiter is None:
+            return F.array_compact(F.array(F.col(column).cast("string")))
+        return split_multi(F.col(column), delimiter)
+
+    def pairs_of(name: str, column: str, delimiter: str | None) -> Column:
+        return F.transform(values(column, delimiter), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    pairs = [pairs_of(name, c, d) for name, (c, d) in facets.items()]
+    return view.select(F.explode(F.concat(*pairs)).alias("pair")).select("pair.*").distinct()
+
+
 def match_metrics(assignments: DataFrame) -> DataFrame:
     """Headline numbers. Every method but ``none`` counts as matched, dismissed answers included."""
     method = F.col("match_method")
     matched = F.count_if(method != "none")
     return assignments.agg(
         F.count(F.lit(1)).alias("assignments"),
-        F.bround(matched / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("match_rate"),
+        round_binary(matched / F.greatest(F.count(F.lit(1)), F.lit(1)) * 100, 2).alias("match_rate"),
         F.count_if(method == "dismissed").alias("dismissed"),
         F.count_if(method == "none").alias("unmatched"),
         F.avg(F.when(F.col("reason") == "matched", F.col("rule_score"))).alias("mean_matched_score"),

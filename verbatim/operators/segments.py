@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatim.functions.expr import bind, explode_rows
+from verbatim.functions.expr import bind, explode_rows, round_binary
 from verbatim.functions.plugins import Encoder, PairScorer, Scorer
 from verbatim.functions.sentiment import lexicon_scorer, sentiment_label, split_on_contrast
 from verbatim.functions.text import strip, token_count
@@ -65,7 +65,6 @@ def add_segment_keywords(
 ) -> DataFrame:
     labelled = add_keyword_labels(
         segments.withColumn("text", F.col("segment_text")), index, settings, segment_rules=True,
-        keys=("ID", "TextColumn", "segment_index"),
     )
     return labelled.drop("text")
 
@@ -140,7 +139,7 @@ def segment_summary(segment_results: DataFrame, settings: SummarySettings = Summ
     base = F.when(F.coalesce(F.col("subtheme"), F.lit("")) != "", F.col("subtheme")).otherwise(F.col("theme"))
     return counts.select(
         "TextColumn", "theme", "subtheme", total.alias("total_segments"), "pos_count", "neg_count", "neutral_count",
-        F.bround(pos, 3).alias("pos_pct"), F.bround(neg, 3).alias("neg_pct"), F.bround(neutral, 3).alias("neutral_pct"),
-        F.bround(net, 3).alias("net_score"), F.bround(dominant, 3).alias("dominant_pct"),
+        round_binary(pos, 3).alias("pos_pct"), round_binary(neg, 3).alias("neg_pct"), round_binary(neutral, 3).alias("neutral_pct"),
+        round_binary(net, 3).alias("net_score"), round_binary(dominant, 3).alias("dominant_pct"),
         insight(net, dominant, base, settings).alias("insight"),
     )

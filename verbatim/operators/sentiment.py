@@ -39,9 +39,10 @@ def _coping_flag(df: DataFrame, text_columns: Sequence[str]) -> Column:
 def combine_scores(df: DataFrame, text_columns: Sequence[str], settings: SentimentSettings) -> DataFrame:
     """``compound`` and ``sentiment_label`` from the ``compound_<column>`` scores.
 
-    Weights count only where a column has a score, and a column without a weight weighs nothing.
+    Weights count only where a column has a score, and a column without a weight weighs nothing. Without any weights,
+    all columns weigh the same.
     """
-    weights = settings.column_weights
+    weights = sentiment_weights(text_columns, settings.column_weights)
     score = {c: F.col(f"compound_{c}") for c in text_columns}
     used = [F.when(score[c].isNotNull(), float(weights.get(c, 0.0))).otherwise(0.0) for c in text_columns]
     weighted = [F.coalesce(score[c] * float(weights.get(c, 0.0)), F.lit(0.0)) for c in text_columns]

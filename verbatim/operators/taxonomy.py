@@ -1,7 +1,7 @@
 """Taxonomy validation and building, and the flat, nested and keyword forms of a library.
 
 The flat library is the scalable form. The nested forms hold a whole subtheme in one row, as their file formats do, so
-they are built from distinct phrases and their size is checked first.
+they are built from distinct phrases.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
 from verbatim.functions.text import is_blank, is_phrase, strip
 from verbatim.operators.keyword import KeywordIndex
+from verbatim.session import ensure_checkpoint_dir
 
-MAX_NESTED_PHRASES = 1_000_000
 KEYS = ["column", "parent", "theme", "subtheme"]
 
 
@@ -62,13 +62,8 @@ def distinct_phrases(library: DataFrame) -> DataFrame:
     return library.select(*KEYS, "phrase").dropna().distinct()
 
 
-def _checked(phrases: DataFrame, max_phrases: int | None) -> None:
-    if max_phrases is not None and phrases.limit(max_phrases + 1).count() > max_phrases:
-        raise ValueError(f"more than {max_phrases} distinct phrases; keep such a library in its flat form")
-
-
 def enriched_subthemes(
-    library: DataFrame, order: Column | None = None, max_phrases: int | None = MAX_NESTED_PHRASES
+    library: DataFrame, order: Column | None = None
 ) -> DataFrame:
     """One row per subtheme with its sorted distinct phrases and the polarity of its first row.
 
@@ -79,7 +74,6 @@ def enriched_subthemes(
     distinct = complete.groupBy(*KEYS, "phrase").agg(
         F.min(F.struct("_order", F.coalesce("polarity", F.lit("Either")).alias("polarity"))).alias("first")
     )
-    _checked(distinct, max_phrases)
     return distinct.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list("phrase")).alias("keywords_phrases"),
         F.min("first").getField("polarity").alias("default_polarity"),
@@ -107,7 +101,7 @@ def nest_library(subthemes: DataFrame) -> DataFrame:
 
 
 def enriched_document(nested: DataFrame) -> dict[str, Any]:
-    """The nested library as one JSON document. Its size was checked when it was built."""
+    """The nested library as one JSON document: the form of a small library; a large one stays flat."""
     rows = nested.orderBy("column").toJSON().collect()
     libraries = [json.loads(r) for r in rows]
     return {
@@ -136,17 +130,19 @@ def flatten_nested(nested: DataFrame) -> DataFrame:
     )
 
 
-def number_phrases(flat: DataFrame, order: list[str], max_phrases: int = MAX_NESTED_PHRASES) -> DataFrame:
+def number_phrases(flat: DataFrame, order: list[str]) -> DataFrame:
     """Add ``phrase_idx``, counting from 0 in the given order.
 
-    A global number needs one ordered pass; a phrase library is small, and that is checked.
+    Rows are dealt out by range, each range is numbered on its own, and the sizes of the ranges before it are added: one
+    row per range is all that passes through one task. The ranges are checkpointed, as a second dealing could differ.
     """
-    from pyspark.sql import Window
-
-    if max_phrases is not None and flat.limit(max_phrases + 1).count() > max_phrases:
-        raise ValueError(f"more than {max_phrases} phrases; number them where the library is written")
-    position = (F.row_number().over(Window.orderBy(*order)) - 1).cast("int")
-    return flat.withColumn("phrase_idx", position)
+    ensure_checkpoint_dir(flat.sparkSession)
+    dealt = flat.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    numbered = dealt.join(sizes.select("_part", before.alias("_before")), "_part")
+    return numbered.withColumn("phrase_idx", (own + F.col("_before")).cast("int")).drop("_part", "_before")
 
 
 def _most_frequent(df: DataFrame, keys: list[str], value: str, default: str, name: str) -> DataFrame:
@@ -156,7 +152,7 @@ def _most_frequent(df: DataFrame, keys: list[str], value: str, default: str, nam
     return counts.groupBy(*keys).agg(F.coalesce(F.min(ranked)["v"], F.lit(default)).alias(name))
 
 
-def keyword_themes(library: DataFrame, max_phrases: int | None = MAX_NESTED_PHRASES) -> DataFrame:
+def keyword_themes(library: DataFrame) -> DataFrame:
     """One row per (theme, subtheme): parent and polarity by most frequent value, sorted phrases and columns.
 
     Equally frequent values: the smallest.
@@ -168,8 +164,6 @@ def keyword_themes(library: DataFrame, max_phrases: int | None = MAX_NESTED_PHRA
 
     def distinct_list(value: Column, name: str) -> DataFrame:
         values = complete.select(*keys, value.alias("v")).distinct()
-        if name == "keywords_phrases":
-            _checked(values, max_phrases)
         return values.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias(name))
 
     phrases = distinct_list(strip(F.col("phrase")), "keywords_phrases")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from verbatim import lexicons as lx
 from verbatim.operators.keyword import KeywordIndex
 from verbatim.operators.taxonomy import enriched_document, flatten_nested, number_phrases, themes_document
-from verbatim.sources.files import read_yaml, write_yaml
+from verbatim.sources.files import read_yaml, write_text, write_yaml
 from verbatim.sources.survey import null_na_spellings
 
 LIBRARY_SCHEMA = StructType([StructField(c, StringType()) for c in lx.LIBRARY_COLUMNS])
@@ -57,9 +56,8 @@ def read_enriched_library(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_enriched_library(nested: DataFrame, path: str) -> None:
-    """Write the nested library as one JSON document; its size was checked when it was built."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(enriched_document(nested), indent=2, ensure_ascii=False), encoding="utf-8")
+    """Write the nested library as one JSON document, which is the form of a small library."""
+    write_text(json.dumps(enriched_document(nested), indent=2, ensure_ascii=False), path)
 
 
 def write_themes(themes: DataFrame, path: str) -> None:
