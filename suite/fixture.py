@@ -202,15 +202,16 @@ def dictionary() -> TextDictionary:
 
 
 def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of the supplied tables and of the survey's first question, whole."""
+    """Every text of the supplied tables and every answer of the survey, whole."""
     documents = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text"
     )
     turns = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text"
     )
-    answers = survey(spark, sf_dir).select(
-        F.concat(F.lit("s"), F.col("ID").cast("string")).alias("key"), F.col("Free_Text_1").alias("text")
+    each = [F.struct(F.lit(f"-{k}").alias("k"), F.col(c).alias("text")) for k, c in enumerate(TEXT_COLUMNS, start=1)]
+    answers = survey(spark, sf_dir).select("ID", F.explode(F.array(*each)).alias("a")).select(
+        F.concat(F.lit("s"), F.col("ID").cast("string"), F.col("a.k")).alias("key"), F.col("a.text").alias("text")
     )
     return documents.unionByName(turns).unionByName(answers)
 

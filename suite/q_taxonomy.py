@@ -316,8 +316,9 @@ def jn16(spark, d):
     "jn17_existing_keywords",
     q.with_(LIBRARY, _SUBTHEMES)
     + "SELECT s.s_suppkey, array_to_string(b.phrases, '¦') AS keywords FROM (SELECT s_suppkey, 'Free_Text_' || "
-    "(s_suppkey % 3 + 1) AS \"column\", 'ECONOMY' AS parent, 'Brand#' || (s_suppkey % 30 + 1) AS theme, 'Size ' || "
-    '(s_nationkey % 6) AS subtheme FROM supplier) s LEFT JOIN subs b USING ("column", parent, theme, subtheme)',
+    "(s_suppkey % 3 + 1) AS \"column\", 'Brand#' || (s_suppkey % 30 + 1) AS theme, 'Size ' || "
+    "(s_nationkey % 6) AS subtheme FROM supplier) s LEFT JOIN (SELECT \"column\", theme, subtheme, "
+    'max_by(phrases, parent) AS phrases FROM subs GROUP BY ALL) b USING ("column", theme, subtheme)',
 )
 def jn17(spark, d):
     supplier = fx.table(spark, d, "supplier")
@@ -327,8 +328,7 @@ def jn17(spark, d):
         F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30 + 1).cast("string")).alias("theme"),
         F.concat(F.lit("Size "), (F.col("s_nationkey") % 6).cast("string")).alias("subtheme"),
     )
-    library = enriched(spark, d).filter(F.col("parent") == "ECONOMY")
-    found = curation.existing_keywords(wanted, library)
+    found = curation.existing_keywords(wanted, enriched(spark, d))
     return found.select("s_suppkey", F.array_join("keywords_phrases", "¦").alias("keywords"))
 
 

@@ -84,7 +84,8 @@ def all_texts(name: str = "texts") -> str:
     return (
         f"{name} AS (SELECT 'd' || doc_id AS key, text FROM documents "
         "UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations "
-        "UNION ALL SELECT 's' || \"ID\", \"Free_Text_1\" FROM survey)"
+        + " ".join(f"UNION ALL SELECT 's' || \"ID\" || '-{k}', \"{c}\" FROM survey" for k, c in enumerate(fx.TEXT_COLUMNS, start=1))
+        + ")"
     )
 
 

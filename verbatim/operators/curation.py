@@ -185,9 +185,13 @@ def related_examples(examples: DataFrame, subthemes: Sequence[tuple[str, str, st
 
 
 def existing_keywords(new: DataFrame, library: DataFrame) -> DataFrame:
-    """Each subtheme of ``new`` with the keywords the library already has for it, by (column, theme, subtheme)."""
+    """Each subtheme of ``new`` with the keywords the library already has for it, by (column, theme, subtheme).
+
+    Parents do not count, so several can hold the same subtheme: the last of those with keywords, by name, is taken.
+    """
     keys = ["column", "theme", "subtheme"]
-    return new.join(library.select(*keys, "keywords_phrases"), keys, "left")
+    held = library.filter(F.size("keywords_phrases") > 0).groupBy(*keys)
+    return new.join(held.agg(F.max_by("keywords_phrases", "parent").alias("keywords_phrases")), keys, "left")
 
 
 def library_metrics(generated: DataFrame, kept: DataFrame) -> DataFrame:
