@@ -2,37 +2,29 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatim.session import ship_package
+
 #: White space that separates words, and the words between it (fixed values).
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
 #: Rows per Arrow batch: texts are long, and a Python worker holds a batch or two.
 BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Make a session ready: send this package to the executors, once per application, and keep Arrow batches small."""
-    sc = spark.sparkContext
+    """Make a session ready: send the package to the executors, and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        folder = tempfile.mkdtemp(prefix=f"{package.name}-package-")
-        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _shipped.add(sc.applicationId)
+    ship_package(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
