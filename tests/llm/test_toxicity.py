@@ -71,3 +71,11 @@ def test_columns(docs, spark):
     assert np.array_equal(again.slopes(), model.slopes())
     assert toxicity.fit(docs([]), labels.limit(0), SMALL) is None
     assert docs([(1, "a")]).select(toxicity.score(F.col("text"), None, spark).alias("p")).first().p == 0
+
+
+def test_four_thousand_documents_of_a_class_are_learned_from(spark):
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'word' AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    rows = toxicity.training_sample(docs, labels, toxicity.Settings(), "doc_id", "text", "toxic")
+    sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    assert all(3800 < sizes[y] < 4200 for y in (0, 1))

@@ -39,7 +39,7 @@ class Settings:
     n_min: int = 3
     n_max: int = 6
     window: int = 8
-    sample: int = 3000
+    sample: int = 4000
     steps: int = 1600
     warm_steps: int = 500
     batch: int = 128
