@@ -66,3 +66,30 @@ def test_small_payloads_are_not_revisited_and_empty_tables(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_warc(warc.records_of(df.limit(0)), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+def test_all_records_of_a_member_without_lengths(tmp_path):
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:page:{}>\r\nContent-Length: {}\r\n\r\n"
+    record = lambda i, kind, n: head.format(kind, i, n).encode() + bytes([97 + i % 26]) * n + b"\r\n\r\n"
+    records = [record(i, ("response", "revisit")[i % 2], 200_000 * (i % 4) + i) for i in range(20)]
+    row = dict.fromkeys([c for c, _ in warc.HEADERS]) | {"record_type": "response", "record_id": "own", "payload": b"own"}
+    own = warc.member(warc.record_bytes(row | {"payload_bytes": 3}))
+    one = gzip.compress(b"".join(records))
+    # One stream; members of this package before and behind it; records that go on in the next member.
+    whole = b"".join(records)
+    parts = b"".join(gzip.compress(whole[i : i + 70_001]) for i in range(0, len(whole), 70_001))
+
+    def read(data, payload=True):
+        from pyspark.sql.types import _parse_datatype_string
+
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        reader = warc.WarcReader({"path": str(tmp_path)} | ({} if payload else {"payload": "false"}), _parse_datatype_string(warc.SCHEMA))
+        return [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+
+    for data, extra in ((one, 0), (own + one + own, 2), (parts + own, 1)):
+        rows = [r for r in read(data) if r["record_id"] != "own"]
+        assert [r["record_id"] for r in rows] == [f"<urn:page:{i}>" for i in range(20)]
+        assert [r["payload"] for r in rows] == [bytes([97 + i % 26]) * (200_000 * (i % 4) + i) for i in range(20)]
+        assert len(read(data, payload=False)) == 20 + extra
+    with pytest.raises(ValueError, match="without an end"):
+        read(one[:-20])

@@ -243,37 +243,29 @@ class WarcReader(DataSourceReader):
     def _records(self, f, name: str):
         """Records of a plain archive."""
         while line := f.readline():
+            if line == b"\r\n":
+                continue
             block = [line]
             while (line := f.readline()) not in (b"\r\n", b""):
                 block.append(line)
             head, length = self._head(b"".join(block)[:-2], name)
             if not self.wanted(head):
-                f.seek(length + 4, io.SEEK_CUR)
+                _skip(f, length)
             elif self.payload:
-                payload = f.read(length)
-                f.seek(4, io.SEEK_CUR)
-                yield head, payload
+                yield head, f.read(length)
             else:
-                f.seek(length + 4, io.SEEK_CUR)
+                _skip(f, length)
                 yield head, None
 
     def _members(self, f, name: str):
-        """Records of a compressed archive, one per gzip member."""
+        """Records of a compressed archive: one per gzip member with ``sl`` lengths, any number in the others."""
         while start := f.read(12):
             extra = b""
             if start[:3] == GZIP_START[:3] and start[3] == 4:
                 extra = f.read(struct.unpack("<H", start[10:])[0])
             if extra[:4] != b"sl\x08\0" or len(extra) != 12:
-                # No lengths: inflate to the end of the member.
                 f.seek(-len(start) - len(extra), io.SEEK_CUR)
-                inflate, parts = zlib.decompressobj(31), []
-                while not inflate.eof and (data := f.read(1 << 16)):
-                    parts.append(inflate.decompress(data))
-                f.seek(-len(inflate.unused_data), io.SEEK_CUR)
-                block, _, rest = b"".join(parts).partition(b"\r\n\r\n")
-                head, length = self._head(block, name)
-                if self.wanted(head):
-                    yield head, rest[:length] if self.payload else None
+                yield from self._records(io.BufferedReader(_Inflated(f, name), 1 << 16), name)
                 continue
             left, inflate, data = struct.unpack("<I", extra[4:8])[0], zlib.decompressobj(-15), b""
             while b"\r\n\r\n" not in data and left:
@@ -292,6 +284,45 @@ class WarcReader(DataSourceReader):
                 yield head, rest if self.payload else None
 
 
+def _skip(f, size: int) -> None:
+    if f.seekable():
+        f.seek(size, io.SEEK_CUR)
+        return
+    while size and (data := f.read(min(size, 1 << 16))):
+        size -= len(data)
+
+
+class _Inflated(io.RawIOBase):
+    """The gzip members from here up to one with ``sl`` lengths, as one stream inflated a piece at a time."""
+
+    def __init__(self, f, name: str):
+        self.f, self.name, self.data = f, name, b""
+        self.inflate = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def _next_member(self) -> bool:
+        self.f.seek(-len(self.inflate.unused_data), io.SEEK_CUR)
+        start = self.f.read(24)
+        self.f.seek(-len(start), io.SEEK_CUR)
+        lengths = start[:3] == GZIP_START[:3] and start[3:4] == b"\4" and start[10:16] == b"\x0c\0sl\x08\0"
+        self.inflate = zlib.decompressobj(31) if start and not lengths else None
+        return self.inflate is not None
+
+    def readinto(self, buffer) -> int:
+        while not self.data:
+            if self.inflate is None or self.inflate.eof and not self._next_member():
+                return 0
+            packed = self.inflate.unconsumed_tail or self.f.read(1 << 16)
+            self.data = self.inflate.decompress(packed, 1 << 18)
+            if not packed and not self.data and not self.inflate.eof:
+                raise ValueError(f"a gzip member without an end in {self.name}")
+        n = min(len(buffer), len(self.data))
+        buffer[:n], self.data = self.data[:n], self.data[n:]
+        return n
+
+
 class _Seekable(io.RawIOBase):
     """An Arrow file as a raw stream, so that Python's buffering and line reading work on it."""
 
