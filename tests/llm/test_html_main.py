@@ -82,3 +82,16 @@ def test_columns(spark, forest):
     assert by[1] == by[2] == "" and by[3].count("\n\n") == 2999 and len(got) == 5
     fitted = html_main.fit(df.limit(0), Settings(pages=60, rounds=5))
     assert df.limit(0).select(html_main.extracted(F.col("html"), fitted, spark)).count() == 0
+
+
+def test_formulas_and_drawings_are_text(forest):
+    p = " ".join(PROSE[:4])
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding='application/x-tex'>E=m</annotation></math>"
+    drawing = "<svg><title>No</title><style>x</style><path d='M0'/><text>Fig one</text></svg>"
+    html = f"<html><body><article><h1>A title</h1><p>{p} So {formula} holds. {p}</p><p>{p} {drawing} {p}</p></article></body></html>"
+    assert f"{p} So E=m holds. {p}" in text_of(forest, html)
+    texts = html_main.parse(html).texts
+    assert "Fig one" in texts and not {"No", "x"}.intersection(texts)
+    # A block ends a formula that is not closed.
+    page = html_main.parse("<div>a <math><mi>b</mi><p>c</p><p>d</p></div>")
+    assert [t for t in page.texts if t] == ["a b", "c", "d"] and page.tags.count("p") == 2

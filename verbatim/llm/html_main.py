@@ -8,7 +8,9 @@ labelling in which no node holds main text below one that holds none: one pass u
 The trees are trained in numpy, on the driver, from pages assembled around text of a bounded sample of the table's own
 pages, so that every node's label is known: menus, headers, footers, sidebars, notices, adverts, forms and comments, in
 semantic elements, in named containers or in bare ones, around and inside an article. Scripts, styles, templates and comments
-of the markup are never text.
+of the markup are never text. A formula (MathML) is part of the text it stands in, and
+the trees decide on the text of drawings (SVG); annotations, metadata, titles and descriptions of both, which no browser shows in
+the page, are not text.
 
 Blocks are what block elements part; inside a block, white space counts as one space. The whole page is parsed, in time linear
 in its length.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 #: Element names by role (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript head title svg math object iframe canvas audio video select textarea".split())
+UNSEEN = frozenset("script style template noscript head title object iframe canvas audio video select textarea annotation annotation-xml metadata desc".split())
 RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
@@ -93,21 +95,35 @@ def parse(html: str) -> Page:
     page.add("html", -1)
     stack, names = [0], ["html"]
     hidden = 0  # open elements whose text is not shown
+    formula = 0  # open formulas: their elements are no nodes, their text goes on in the run it stands in
+    glue = False  # the last run may go on
     at, end = 0, len(html)
 
     def pop_to(size: int) -> None:
-        nonlocal hidden
+        nonlocal hidden, formula
         while len(stack) > size:
             stack.pop()
-            hidden -= names.pop() in UNSEEN
+            name = names.pop()
+            hidden -= name in UNSEEN
+            formula -= name == "math"
+
+    def say(text: str) -> None:
+        nonlocal glue
+        if (formula or glue) and page.tags[-1] == TEXT and page.parents[-1] == stack[-1]:
+            page.texts[-1] += text
+        elif not text.isspace():
+            page.add(TEXT, stack[-1], "", text)
+        else:
+            page.add(" ", stack[-1], "", " ")
+        glue = formula > 0 or glue and text.isspace()
 
     while at < end:
         hit = TOKEN.search(html, at)
         upto = hit.start() if hit else end
-        if upto > at and not hidden and (text := unescape(html[at:upto])) and not text.isspace():
-            page.add(TEXT, stack[-1], "", text)
-        elif upto > at and not hidden:
-            page.add(" ", stack[-1], "", " ")
+        if upto > at and not hidden:
+            text = unescape(html[at:upto]) or " "
+            if text := text.strip() if formula else text:
+                say(text)
         if hit is None:
             break
         at = hit.end()
@@ -130,12 +146,15 @@ def parse(html: str) -> Page:
             continue
         attributes = hit[3]
         words = " ".join((a or b or c).lower() for _, a, b, c in NAMES.findall(attributes)) if "=" in attributes else ""
-        node = page.add(tag, stack[-1], words)
+        if formula and tag in BLOCKS:
+            pop_to(names.index("math"))
+        node = stack[-1] if formula or tag == "math" else page.add(tag, stack[-1], words)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         stack.append(node)
         names.append(tag)
         hidden += tag in UNSEEN
+        formula += tag == "math"
         if tag in RAW:
             close = re.compile(rf"</{tag}\b", re.I).search(html, at)
             at = close.start() if close else end
