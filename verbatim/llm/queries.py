@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatim.llm import ann, bpe, chat, html_main, mixing, near_dup, pitman_yor, rules, toxicity, warc
+from verbatim.llm import ann, bpe, chat, html_main, line_dedup, mixing, near_dup, pitman_yor, rules, toxicity, warc
 from verbatim.llm.common import crc_mod, scratch, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +287,25 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = html_main.fit(pages)
     out = pages.select("page_id", "url", html_main.extracted(F.col("html"), forest, spark).alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+SQL_LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+f AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+m AS (
+  SELECT r, count(f.k) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (f.k IS NULL) AS kept
+  FROM k LEFT JOIN f ON f.k = k.k GROUP BY r)
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d JOIN m ON m.r = d.r"""
+
+
+@query("op11_line_dedup", SQL_LINES)
+def line_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
