@@ -57,3 +57,19 @@ def test_stage_keeps_rows_as_they_came(docs, spark):
 def test_main_path_is_native(docs):
     plan = rules.ledger(docs([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_a_filter_on_the_verdict_costs_no_more_than_the_ledger(docs):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(40))
+    table = rules.apply_policy(rules.ledger(docs([(i, f"{text} {text} {i}") for i in range(50)])), rules.BOOK.policy("web", 2))
+
+    def seconds(df):
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(table)
+    assert seconds(table.filter("kept")) < 2 * seconds(table) + 1
+    assert seconds(table.filter("n_repeat_words > 5 and failed = 0")) < 2 * seconds(table) + 1

@@ -119,7 +119,10 @@ def measured(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     # A repeated window covers its words up to the start of the next repeated window.
     covers = F.transform("p", lambda p, k: F.least(F.coalesce(F.get("p", k + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
     total = F.aggregate(covers, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select(F.col("k").alias(key), *[total.alias(m) if m == "n_repeat_words" else m for m in MEASURES])
+    row = F.struct(*[total.alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    # A filter on a measure would be pushed below the arrays, with a copy of each array inside the lambda that walks it. Nothing
+    # is pushed below what a generator makes.
+    return out.select(F.col("k").alias(key), F.inline(F.array(row)))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", book: RuleBook = BOOK) -> DataFrame:
