@@ -28,7 +28,7 @@ def made(n, seed):
 
 def test_unseen_forms_are_found_in_held_out_texts():
     train, test = made(800, 1), made(300, 2)
-    model = toxicity.train([t for t, _ in train], [y for _, y in train], SMALL)
+    model = toxicity.train(train, SMALL)
     odds = toxicity.WordOdds(model.slopes(), SMALL)
     scores = toxicity.score_texts([t for t, _ in test], model.slopes(), model.offset(), SMALL, odds)
     y = np.array([y for _, y in test])

@@ -11,15 +11,17 @@ a very long text weigh as much as in a short one. The model is linear after the
 distinct word. The model has a fixed size (``buckets * dim`` floats) and is broadcast.
 
 Defined results: null, empty and blank texts score 0; labels other than 0 and 1 and labels of unknown documents are not
-used, repeated labels count once (the larger); with no label of either class everything scores 0. Repeated rows score
+used, repeated labels count once (the larger); of a sampled id with several texts the least is learnt from; with no label of either class everything scores 0. Repeated rows score
 alike; other columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 REMEMBERED = 500_000
+#: Parts in which the sampled texts come to the driver.
+SAMPLE_PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -87,9 +91,12 @@ def subwords(words: list[bytes], s: Settings):
 
 def all_subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the n-grams of many words, and their number per word; in parts, to hold little at a time."""
-    parts = [subwords(words[i : i + 20_000], s) for i in range(0, len(words), 20_000)]
-    counts = [np.diff(np.append(at, len(flat))).astype(np.int32) for flat, at in parts]
-    return np.concatenate([flat for flat, _ in parts]), np.concatenate(counts).astype(np.int64)
+    flat, counts = array("i"), []
+    for i in range(0, len(words), 20_000):
+        part, at = subwords(words[i : i + 20_000], s)
+        flat.frombytes(part.tobytes())
+        counts.append(np.diff(np.append(at, len(part))))
+    return np.frombuffer(flat, np.int32), np.concatenate(counts).astype(np.int64)
 
 
 def window_starts(n: int, size: int) -> np.ndarray:
@@ -113,33 +120,68 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: list[int], s: Settings) -> Model | None:
-    """Joint training by Adagrad on windows; None if a class is missing."""
-    if not (0 in labels and 1 in labels):
+@dataclass
+class Sample:
+    """The training texts as word numbers, window after window; a word counts once in a window.
+
+    ``tokens`` of window i are the ``w_count[i]`` after those of the windows before; ``w_size`` is the window's size with
+    repeated words.
+    """
+
+    index: dict[bytes, int]
+    labels: np.ndarray
+    tokens: np.ndarray
+    w_doc: np.ndarray
+    w_size: np.ndarray
+    w_count: np.ndarray
+
+
+def indexed(pairs: Iterable[tuple[str | None, int]], s: Settings) -> Sample | None:
+    """Read the texts a few at a time and keep their word numbers only; None if a class is missing."""
+    index: dict[bytes, int] = {}
+    seen, labels, tokens, sizes, counts, windows = set(), [], [], [], [], []
+    pairs = iter(pairs)
+    while part := list(islice(pairs, 256)):
+        docs = []
+        for text, label in part:
+            seen.add(label)
+            if words := words_of(text):
+                labels.append(label)
+                docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+        if not docs:
+            continue
+        flat = np.concatenate(docs)
+        starts = [window_starts(len(d), s.window) for d in docs]
+        first = np.concatenate([w + f for w, f in zip(starts, np.cumsum([0] + [len(d) for d in docs]), strict=False)])
+        size = np.append(first[1:], len(flat)) - first
+        window = np.repeat(np.arange(len(size)), size)
+        _, once = np.unique((window << 32) + flat, return_index=True)
+        once.sort()
+        tokens.append(flat[once])
+        sizes.append(size.astype(np.int32))
+        counts.append(np.bincount(window[once], minlength=len(size)).astype(np.int32))
+        windows += [len(w) for w in starts]
+    if seen != {0, 1} or not tokens:
+        return None
+    w_doc = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    return Sample(index, np.array(labels), *[np.concatenate(x) if isinstance(x, list) else x for x in (tokens, w_doc, sizes, counts)])
+
+
+def train(pairs: Iterable[tuple[str | None, int]], s: Settings) -> Model | None:
+    """Joint training by Adagrad on windows of (text, label); None if a class is missing."""
+    sample = indexed(pairs, s)
+    if sample is None:
         return None
     rng = np.random.default_rng(s.seed)
-    index: dict[bytes, int] = {}
-    docs = []
-    for text in texts:
-        words = words_of(text)
-        docs.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
-    y_all = np.array([y for y, d in zip(labels, docs, strict=True) if len(d)])
-    docs = [d for d in docs if len(d)]
-    flat, count = all_subwords(list(index), s)
+    y_all, tokens, w_doc, w_size = sample.labels, sample.tokens, sample.w_doc, sample.w_size
+    flat, count = all_subwords(list(sample.index), s)
+    sample.index.clear()
     at = np.cumsum(count) - count
-    tokens = np.concatenate(docs)
-    first = np.cumsum([0] + [len(d) for d in docs])[:-1]
-    windows = [window_starts(len(d), s.window) for d in docs]
-    w_doc = np.repeat(np.arange(len(docs)), [len(w) for w in windows])
-    w_first = np.concatenate([w + f for w, f in zip(windows, first, strict=True)])
-    w_size = np.append(w_first[1:], len(tokens)) - w_first
-    # A word counts once in a window: the first places are kept, and the window remembers its size.
-    _, once = np.unique(np.repeat(np.arange(len(w_size)), w_size) * np.int64(len(index)) + tokens, return_index=True)
-    once.sort()
-    w_first, tokens = np.searchsorted(once, w_first), tokens[once]
-    w_last = np.append(w_first[1:], len(tokens))
-    d_first = np.searchsorted(w_doc, np.arange(len(docs)))
-    d_count = np.bincount(w_doc, minlength=len(docs))
+    w_last = np.cumsum(sample.w_count, dtype=np.int64)
+    w_first = w_last - sample.w_count
+    docs = len(y_all)
+    d_first = np.searchsorted(w_doc, np.arange(docs))
+    d_count = np.bincount(w_doc, minlength=docs)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     weights = rng.uniform(-0.5, 0.5, (2, s.dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -247,14 +289,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, key: str, t
     for y, n in sizes.items():
         part = F.when(F.col("y") == y, F.lit(min(1_000_000, 1_000_000 * s.sample // n))).otherwise(part)
     chosen = known.filter(draw < part)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    return rows.dropDuplicates(["id"]).select("id", "text", "y")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+    """Train on the sample, whose texts come to the driver a part at a time and are dropped once their words are numbered."""
     s = s or Settings()
-    rows = training_sample(docs, labels, s, key, text, label).toArrow().sort_by("id")
-    return train(rows.column("text").to_pylist(), rows.column("y").to_pylist(), s)
+    rows = training_sample(docs, labels, s, key, text, label)
+    ordered = rows.repartitionByRange(SAMPLE_PARTS, "id").sortWithinPartitions("id")
+    return train(((r["text"], r["y"]) for r in ordered.select("text", "y").toLocalIterator()), s)
 
 
 def score(text: Column, model: Model | None, spark, s: Settings | None = None) -> Column:
