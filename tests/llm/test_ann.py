@@ -33,9 +33,9 @@ def found(df, **settings):
 def test_recall_of_the_tree_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     x, ids = clustered(rng, 3000), np.arange(3000)
-    x[500:700] = x[500]  # many copies of one vector: exact ties, a leaf of its own, several shards
+    x[500:700] = x[500]  # many copies of one vector: exact ties, a leaf of its own, several parts
     x[700] = (40 * x[700]).astype(np.float32)
-    by = found(table(spark, ids, x), leaf_rows=40, shard_rows=64, shard_queries=16, probes=64)
+    by = found(table(spark, ids, x), leaf_rows=40, parts=12, block_queries=16, probes=64)
     hits = total = 0
     for q in range(0, 3000, 20):
         want = brute(ids, x, q)

@@ -6,10 +6,11 @@ inner product with its centre plus what its spread lets its best member be above
 calibrated: for a bounded set of queries the true neighbours are found by brute force, and the visits are widened until
 the wanted share of them lies in a visited leaf.
 
-Neighbouring leaves are stored together as shards of bounded size, and a leaf that holds more (copies of one vector, say) is
-split over several shards. A query travels once to each shard that it visits, whatever the number of leaves there. A shard
-that many queries visit is repeated for every some thousand of them. Shards return their best; the best of those are
-the result. Scores are sums over the components in their order, in double precision, so copies tie exactly.
+Neighbouring leaves form a part, of which there are a fixed number whatever the rows; a leaf that holds more than a part (copies
+of one vector, say) is split over several. Queries whose best leaves are near form a block of bounded size. A task streams
+the leaves of one part past one block: it holds the block and the rows of one batch, each query meets only the leaves that
+it visits, and its running k-th best score is the bound that rows must reach. A task lets out ``k`` rows per query at
+most, so the rows that leave grow with the queries and not with the rows searched. Scores are sums over the components in their order, in double precision, so copies tie exactly.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without
 an id and vectors of another length than the most frequent one; rows with the query's id are never its neighbours; repeated
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatim.llm.common import stored
+from verbatim.llm.common import pieces, stored
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,8 @@ class Settings:
     sample: int = 65_536
     iterations: int = 8
     probes: int = 256
-    shard_rows: int = 2048
-    shard_queries: int = 2048
+    parts: int = 16
+    block_queries: int = 16_384
     seed: int = 11
 
 
@@ -146,18 +147,18 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, allowed: np.ndarray | None, k: int):
-    """Row numbers (query, vector) and scores of the ``k`` best of each query, the best first, ties by id."""
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """Row numbers (query, vector) and scores of the ``k`` best of each query, the best first, ties by id.
+
+    With a ``bound`` per query, only scores that reach it count.
+    """
     rough = q @ x.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
-    if allowed is not None:
-        rough[~allowed] = -np.inf
     # A matrix product may round copies of one vector differently, so the last place is judged with a margin.
     margin = 1e-9 * max(1e-300, float(np.linalg.norm(q, axis=1).max(initial=0) * np.linalg.norm(x, axis=1).max(initial=0)))
+    last = np.full(len(q), -np.inf) if bound is None else bound
     if x.shape[0] > k:
-        last = np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
-    else:
-        last = np.full(len(q), -np.inf)
+        last = np.maximum(last, np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k])
     a, b = np.nonzero((rough >= (last - margin)[:, None]) & (rough > -np.inf))
     score = exact_scores(q[a], x[b])
     order = np.lexsort((ids[b], -score, a))
@@ -166,6 +167,45 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, allow
     return a[rank < k], b[rank < k], score[rank < k]
 
 
+class Block:
+    """Queries with the leaves they visit in one part, and their running best."""
+
+    def __init__(self, pieces: list[pa.RecordBatch], dim: int, k: int):
+        asked = pa.Table.from_batches(pieces).combine_chunks()
+        self.ids, self.k = asked.column("vec_id").to_numpy(), k
+        self.q = matrix(asked.column("vec").combine_chunks(), dim)
+        lists = asked.column("leaves").combine_chunks()
+        leaf = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(self.ids)), lists.value_lengths().to_numpy())
+        order = np.argsort(leaf, kind="stable")
+        self.leaf, self.owner = leaf[order], owner[order]
+        self.found_ids = np.zeros((len(self.ids), k), np.int64)
+        self.scores = np.full((len(self.ids), k), -np.inf)
+
+    def feed(self, leaf: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rows of one leaf, seen by the queries that visit it."""
+        visitors = self.owner[np.searchsorted(self.leaf, leaf) : np.searchsorted(self.leaf, leaf, "right")]
+        for at in range(0, len(visitors), 2048):
+            who = visitors[at : at + 2048]
+            a, b, score = best(self.ids[who], self.q[who], ids, x, self.k, self.scores[who, -1])
+            if not len(a):
+                continue
+            met, row = np.unique(a, return_inverse=True)
+            row = np.concatenate([np.repeat(np.arange(len(met)), self.k), row])
+            found = np.concatenate([self.found_ids[who[met]].ravel(), ids[b]])
+            score = np.concatenate([self.scores[who[met]].ravel(), score])
+            order = np.lexsort((found, -score, row))
+            row, found, score = row[order], found[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = rank < self.k
+            self.found_ids[who[met][row[keep]], rank[keep]] = found[keep]
+            self.scores[who[met][row[keep]], rank[keep]] = score[keep]
+
+    def result(self) -> pa.RecordBatch:
+        a, b = np.nonzero(self.scores > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(self.found_ids[a, b]), pa.array(self.scores[a, b])], ["query_id", "vec_id", "score"])
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -182,7 +222,7 @@ def usable(vector: Column) -> Column:
 
 @dataclass
 class Index:
-    """``rows``: shard, leaf, vec_id, vec. ``first`` and ``parts`` give each leaf's shards, ``sizes`` its rows."""
+    """``rows``: part, leaf, vec_id, vec. ``first`` and ``parts`` give each leaf's parts, ``sizes`` its rows."""
 
     tree: Tree
     rows: DataFrame
@@ -193,22 +233,36 @@ class Index:
     visits: int
 
 
-def shards_of(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first shard of each leaf and the number of its shards: runs of small leaves share one."""
+def dealt(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves put one after the other into boxes of ``room``: the first box of each, and the number of boxes that it fills."""
     first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
-    shard, filled = 0, 0
+    box, filled = 0, 0
     for leaf, size in enumerate(sizes.tolist()):
-        if size > rows:
-            shard += bool(filled)
-            first[leaf], parts[leaf], filled = shard, -(-size // rows), 0
-            shard += int(parts[leaf])
+        if size > room:
+            box += bool(filled)
+            first[leaf], parts[leaf], filled = box, -(-size // room), 0
+            box += int(parts[leaf])
         else:
-            if filled + size > rows:
-                shard, filled = shard + 1, 0
-            first[leaf], filled = shard, filled + size
+            if filled + size > room:
+                box, filled = box + 1, 0
+            first[leaf], filled = box, filled + size
     return first, parts
 
 
+def counted(rows: DataFrame, column: str, leaves: int) -> np.ndarray:
+    """Rows per leaf; there are at most ``Settings.leaves`` leaves."""
+    sizes = np.zeros(leaves, np.int64)
+    for r in rows.groupBy(column).agg(F.count("*").alias("n")).collect():
+        sizes[r[column]] = r["n"]
+    return sizes
+
+
+def boxes_table(rows: DataFrame, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(leaf, first, parts), one row per leaf, to be broadcast."""
+    places = pa.table({"leaf": np.arange(len(first)), "first": first, "parts": parts})
+    return F.broadcast(rows.sparkSession.createDataFrame(places.to_pandas()))
+
+
 def build_index(vectors: DataFrame, s: Settings, key: str, vector: str) -> Index | None:
     spark = vectors.sparkSession
     clean = vectors.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
@@ -233,17 +287,11 @@ def build_index(vectors: DataFrame, s: Settings, key: str, vector: str) -> Index
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf)], ["vec_id", "vec", "leaf"])
 
     rows = stored(clean.mapInArrow(placed, "vec_id bigint, vec array<double>, leaf bigint"), "ann-leaves")
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect():
-        sizes[r["leaf"]] = r["n"]
-    first, parts = shards_of(sizes, s.shard_rows)
-    where = spark.createDataFrame(
-        pa.table({"leaf": np.arange(len(sizes)), "first": first, "parts": parts}).to_pandas()
-    )
-    # One row per leaf, ``leaves`` at most.
-    dealt = rows.join(F.broadcast(where), "leaf")
-    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("shard"), "leaf", "vec_id", "vec")
-    index = Index(tree, dealt, dim, sizes, first, parts, 1)
+    sizes = counted(rows, "leaf", tree.leaves)
+    first, parts = dealt(sizes, -(-int(sizes.sum()) // s.parts))
+    placed_rows = rows.join(boxes_table(rows, first, parts), "leaf")
+    part = F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")
+    index = Index(tree, placed_rows.select(part.alias("part"), "leaf", "vec_id", "vec"), dim, sizes, first, parts, 1)
     index.visits = calibrated(index, rows, s)
     return index
 
@@ -273,7 +321,7 @@ def calibrated(index: Index, rows: DataFrame, s: Settings) -> int:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 own = batch.column(0).to_numpy()
-                a, b, score = best(ids, queries, own, matrix(batch.column(1), dim), None, k)
+                a, b, score = best(ids, queries, own, matrix(batch.column(1), dim), k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[a]), pa.array(own[b]), batch.column(2).take(pa.array(b)), pa.array(score)],
                     ["query_id", "vec_id", "leaf", "score"],
@@ -299,59 +347,55 @@ def search(vectors: DataFrame, is_query: Column, s: Settings | None = None, key:
     shared = spark.sparkContext.broadcast((index.tree, index.sizes, index.first, index.parts, index.visits))
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per query and part that it visits, with the leaves there and the query's first leaf."""
         tree, sizes, first, parts, visits = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows, shards, leaves = [], [], []
+                rows, places, leaves, homes = [], [], [], []
                 for i, found in enumerate(tree.visits(matrix(batch.column(1), dim), visits, sizes, k + 1)):
-                    by_shard: dict[int, list[int]] = {}
+                    by_part: dict[int, list[int]] = {}
                     for leaf in found:
-                        for part in range(int(parts[leaf])):
-                            by_shard.setdefault(int(first[leaf]) + part, []).append(leaf)
-                    rows += [i] * len(by_shard)
-                    shards += by_shard
-                    leaves += by_shard.values()
+                        for p in range(int(parts[leaf])):
+                            by_part.setdefault(int(first[leaf]) + p, []).append(leaf)
+                    rows += [i] * len(by_part)
+                    places += by_part
+                    leaves += by_part.values()
+                    homes += [found[0]] * len(by_part)
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int64()))],
-                    ["shard", "query_id", "q", "leaves"],
+                    [pa.array(places, pa.int64()), pa.array(homes, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(leaves, pa.list_(pa.int64()))],
+                    ["part", "home", "vec_id", "vec", "leaves"],
                 )
 
     queries = index.rows.filter(is_query).select("vec_id", "vec").dropDuplicates(["vec_id"])
-    queries = queries.mapInArrow(visited, "shard bigint, query_id bigint, q array<double>, leaves array<bigint>")
-    queries = stored(queries, "ann-queries")
-    load = queries.groupBy("shard").agg(F.ceil(F.count("*") / s.shard_queries).cast("long").alias("blocks"))
-    left = index.rows.join(load, "shard").select(
-        "shard", "leaf", "vec_id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    )
-    right = queries.join(load, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).drop("blocks")
-
-    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if rows.num_rows and asked.num_rows:
-            ids, leaf = rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy()
-            x = matrix(rows.column("vec").combine_chunks(), dim)
-            q_ids, q = asked.column("query_id").to_numpy(), matrix(asked.column("q").combine_chunks(), dim)
-            known, at = np.unique(leaf, return_inverse=True)
-            lists = asked.column("leaves").combine_chunks()
-            owner = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
-            wanted = lists.flatten().to_numpy()
-            place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            open_leaf = np.zeros((len(q), len(known)), bool)
-            hit = known[place] == wanted
-            open_leaf[owner[hit], place[hit]] = True
-            for b in range(0, len(q), 512):
-                i, j, score = best(q_ids[b : b + 512], q[b : b + 512], ids, x, open_leaf[b : b + 512][:, at], k)
-                out["query_id"].append(q_ids[b : b + 512][i])
-                out["vec_id"].append(ids[j])
-                out["score"].append(score)
-        kind = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: np.concatenate(v) if v else np.empty(0, kind[c]) for c, v in out.items()})
-
-    found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
-        .applyInArrow(nearest, "query_id bigint, vec_id bigint, score double")
-    )
+    queries = stored(queries.mapInArrow(visited, "part bigint, home bigint, vec_id bigint, vec array<double>, leaves array<bigint>"), "ann-queries")
+    homes = counted(queries.select("home", "vec_id").distinct(), "home", index.tree.leaves)
+    places = boxes_table(queries, *dealt(homes, s.block_queries)).withColumnRenamed("leaf", "home")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")
+    left = queries.join(places, "home").select(block.alias("block"), "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("leaf"), "vec_id", "vec", "leaves")
+    # The blocks that visit a part: a row per block and part at most.
+    asked = F.broadcast(left.select("block", "part").distinct())
+    none = F.lit(None).cast("array<bigint>")
+    right = index.rows.join(asked, "part").select("block", "part", F.lit(1).alias("kind"), "leaf", "vec_id", "vec", none.alias("leaves"))
+    blocks = int(-(-homes.sum() // s.block_queries))
+    together = left.unionByName(right).repartition(max(1, blocks) * s.parts, "block", "part").sortWithinPartitions("block", "part", "kind", "leaf")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting, state = None, [], None
+        for (block, part, kind, leaf), piece in pieces(batches, ["block", "part", "kind", "leaf"]):
+            if (block, part) != group:
+                if state is not None:
+                    yield state.result()
+                group, waiting, state = (block, part), [], None
+            if not kind:
+                waiting.append(piece)
+                continue
+            if state is None:
+                state = Block(waiting, dim, k)
+            state.feed(leaf, piece.column("vec_id").to_numpy(), matrix(piece.column("vec"), dim))
+        if state is not None:
+            yield state.result()
+
+    found = together.mapInArrow(nearest, "query_id bigint, vec_id bigint, score double")
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

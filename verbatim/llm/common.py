@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def words(text: Column) -> Column:
 def crc_mod(key: Column, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; null keys count as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def pieces(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Sorted batches cut where any of the integer ``columns`` changes: (values, rows) of each piece, in order."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+        cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            yield tuple(keys[:, start].tolist()), batch.slice(start, stop - start)

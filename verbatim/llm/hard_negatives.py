@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatim.llm.common import stored
+from verbatim.llm.common import pieces, stored
 
 
 @dataclass(frozen=True)
@@ -217,22 +217,16 @@ def scan(batches: Iterator[pa.RecordBatch], make, settings: Mining) -> Iterator[
             waiting.clear()
         return state
 
-    for batch in batches:
-        keys = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor_block", "part", "kind")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        for start, stop in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            if start == stop:
-                continue
-            *now, kind = keys[:, start].tolist()
-            if now != group:
-                state = fed(state)
-                if state is not None:
-                    yield state.result()
-                group, state = now, None
-                anchors.clear()
-            (waiting if kind else anchors).append(batch.slice(start, stop - start))
-            if sum(p.num_rows for p in waiting) >= settings.rows_per_block:
-                state = fed(state)
+    for (block, part, kind), piece in pieces(batches, ["anchor_block", "part", "kind"]):
+        if (block, part) != group:
+            state = fed(state)
+            if state is not None:
+                yield state.result()
+            group, state = (block, part), None
+            anchors.clear()
+        (waiting if kind else anchors).append(piece)
+        if sum(p.num_rows for p in waiting) >= settings.rows_per_block:
+            state = fed(state)
     state = fed(state)
     if state is not None:
         yield state.result()
