@@ -177,10 +177,9 @@ _TERMS = sorted({k for k, _ in INDEX.entries()})
     + 'SELECT a."ID", a."TextColumn", h.keyword FROM answers a JOIN hit h USING (text)',
 )
 def jn3(spark, d):
-    terms = F.array(*[F.lit(t) for t in _TERMS])
     staged = answers(spark, d).withColumn("n", match_normalise(F.col("text")))
-    hits = F.filter(terms, lambda k: fuzzy.contains_keyword(F.col("n"), k))
-    return staged.select("ID", "TextColumn", F.explode(hits).alias("keyword"))
+    hits = fuzzy.held_rows(staged, ["ID", "TextColumn"], "n", _TERMS)
+    return hits.select("ID", "TextColumn", F.get(F.array(*[F.lit(t) for t in _TERMS]), F.col("term")).alias("keyword"))
 
 
 _PAIRS = [t for t in _TERMS if " " in t]
@@ -206,8 +205,8 @@ def jn4(spark, d):
     """Best fuzzy match of each keyword list, before scoring."""
     slots = [fuzzy.FuzzySlot(i, s.phrase_terms) for i, s in enumerate(INDEX.subthemes)]
     staged = raw_answers(spark, d).withColumn("t", F.when(F.col("is_meaningful"), F.col("text")))
-    found = fuzzy.fuzzy_matches(F.col("t"), F.array().cast("array<int>"), slots, 0.78)
-    return staged.select("ID", "TextColumn", F.explode(found).alias("m")).select(
+    found = fuzzy.add_fuzzy_matches(staged, "t", slots, 0.78, "found")
+    return found.select("ID", "TextColumn", F.explode("found").alias("m")).select(
         "ID", "TextColumn", F.col("m.slot").alias("subtheme_pos"), F.round("m.score", 6).alias("score"), "m.evidence"
     )
 

@@ -1,44 +1,49 @@
-"""Fuzzy keyword matching, for the (text, subtheme) slots without an exact hit.
-
-The similarity is the Ratcliff-Obershelp ratio, which Spark has no expression for, so this is an Arrow UDF. Three exact
-prunings keep the ratio off the hot path: each distinct text of a batch is scored once; a word window is compared only
-if a character-count bound, computed for all windows and keywords at once, reaches the lowest score that can matter;
-and scattered-word tests are bit masks built once per distinct word.
+"""Fuzzy keyword matching as joins of word windows and keywords.
+
+A keyword of a list (a slot) matches a text fuzzily if the text holds it as a substring (1.0), if a window of as many words
+reaches the Ratcliff-Obershelp ratio ``threshold`` (the first such window counts), if each of its words contains or is contained
+in some word of the text (0.80), or if the best window is at most 0.05 below the threshold. Each distinct text is matched once:
+
+* Windows become rows and meet the keywords of as many words on their length. The join condition compares letter counts, kept
+  as bit masks: a ratio cannot exceed what the letters two strings share allow. That bound is exact and a few machine
+  instructions per pair; of random pairs it leaves one or two in a hundred.
+* For these pairs the longest common subsequence, a tighter bound, is computed for a batch at once, and the ratio itself only
+  where that reaches the floor.
+* Substrings and related words come from one pass of an automaton over the text, whose cost does not grow with the number of
+  keywords; related words then meet the keywords by a join and a count.
+
+Texts are dealt once, by the hash of the normalised text; everything up to the best match per slot happens there. Matches go back to the
+rows by that hash. As texts are collapsed first, this does not run on a stream; micro-batches are matched one by one.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import compute_all, explode_rows
+from verbatim.functions.text import match_normalise
 from verbatim.session import ship_package
 
 FUZZY_SCHEMA = "array<struct<slot: int, score: double, evidence: string>>"
-
-_ARROW_TYPE = pa.list_(
-    pa.struct([("slot", pa.int32()), ("score", pa.float64()), ("evidence", pa.string())])
-)
-_BUCKETS = 48
-_SPACE = ord(" ") % _BUCKETS
-_MAX_COMPARED = 1_000_000
-_SPACES = re.compile(r"\s+")
-_CACHE_LIMIT = 200_000
-
-
-def normalise_for_match(text: str) -> str:
-    return _SPACES.sub(" ", text.lower().strip())
-
-
-def _char_counts(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) % _BUCKETS
-    return np.bincount(codes, minlength=_BUCKETS).astype(np.int16)
+SCATTERED_SCORE = 0.80
+#: How far below the threshold the best window still counts.
+SLACK = 0.05
+#: Keywords in one broadcast table; a larger library is dealt into lots that are joined by shuffle.
+BROADCAST_KEYWORDS = 50_000
+#: Characters of the terms in one automaton; a larger library takes several passes, one after the other.
+AUTOMATON_CHARS = 4_000_000
+#: Letters counted on their own in the bound; all other characters count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz "
+_CAP = 4
 
 
 @dataclass(frozen=True)
@@ -49,174 +54,322 @@ class FuzzySlot:
     keywords: tuple[str, ...]
 
 
-class FuzzyScorer:
-    """Best fuzzy match per slot for one text. Small per-task helper; Spark distributes the texts."""
-
-    def __init__(self, slots: list[FuzzySlot], threshold: float):
-        self.threshold = threshold
-        self.floor = threshold - 0.05
-        self.raw = sorted({k for s in slots for k in s.keywords})
-        self.norm = [normalise_for_match(k) for k in self.raw]
-        index = {k: i for i, k in enumerate(self.raw)}
-        self.slots = [(s.slot, [index[k] for k in s.keywords]) for s in slots]
-        self.n_words = [len(n.split()) for n in self.norm]
-        vocabulary = sorted({w for n in self.norm for w in n.split()})
-        self.vocabulary = vocabulary
-        bit = {w: 1 << i for i, w in enumerate(vocabulary)}
-        self.masks = [self._mask(n.split(), bit) for n in self.norm]
-        self.word_masks: dict[str, int] = {}
-        self.word_counts: dict[str, np.ndarray] = {}
-        self.by_length: dict[int, tuple[list[int], np.ndarray, np.ndarray]] = {}
-        for width in sorted({n for n in self.n_words if n > 1}):
-            ids = [i for i, n in enumerate(self.n_words) if n == width]
-            counts = np.stack([_char_counts(self.norm[i]) for i in ids])
-            self.by_length[width] = (ids, counts, np.array([len(self.norm[i]) for i in ids]))
-
-    @staticmethod
-    def _mask(words: list[str], bit: dict[str, int]) -> int:
-        mask = 0
-        for w in words:
-            mask |= bit[w]
-        return mask
-
-    def _word_mask(self, word: str) -> int:
-        """Which keyword words contain this word or are contained in it."""
-        mask = self.word_masks.get(word)
-        if mask is None:
-            if len(self.word_masks) >= _CACHE_LIMIT:
-                self.word_masks.clear()
-            mask = 0
-            for i, v in enumerate(self.vocabulary):
-                if v in word or word in v:
-                    mask |= 1 << i
-            self.word_masks[word] = mask
-        return mask
-
-    def _word_counts(self, word: str) -> np.ndarray:
-        counts = self.word_counts.get(word)
-        if counts is None:
-            if len(self.word_counts) >= _CACHE_LIMIT:
-                self.word_counts.clear()
-            counts = self.word_counts[word] = _char_counts(word)
-        return counts
-
-    def _windows(self, words: list[str]) -> dict[int, list[str]]:
-        """Windows worth comparing per multi-word keyword, in text order."""
-        worth: dict[int, list[str]] = {}
-        if not self.by_length:
-            return worth
-        per_word = np.stack([self._word_counts(w) for w in words])
-        sums = np.concatenate([np.zeros((1, _BUCKETS), np.int32), np.cumsum(per_word, axis=0, dtype=np.int32)])
-        chars = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        for width, (ids, counts, lengths) in self.by_length.items():
-            if len(words) < width:
-                continue
-            window_counts = sums[width:] - sums[:-width]
-            window_counts[:, _SPACE] += width - 1
-            window_chars = chars[width:] - chars[:-width] + width - 1
-            block = max(1, _MAX_COMPARED // (len(ids) * _BUCKETS))
-            for start in range(0, len(window_chars), block):
-                part = window_counts[start:start + block].astype(np.int16)
-                common = np.minimum(part[:, None, :], counts[None, :, :]).sum(axis=2, dtype=np.int32)
-                bound = 2.0 * common / (window_chars[start:start + block, None] + lengths[None, :])
-                for at, j in zip(*np.nonzero(bound >= self.floor), strict=True):
-                    first = start + at
-                    worth.setdefault(ids[j], []).append(" ".join(words[first:first + width]))
-        return worth
-
-    def _match(self, kw: int, text: str, text_mask: int, windows: list[str]) -> tuple[float, str] | None:
-        norm = self.norm[kw]
-        if not norm:
-            return None
-        if norm in text:
-            return 1.0, self.raw[kw]
-        if self.n_words[kw] < 2:
-            return None
-        best, best_window = 0.0, ""
-        for window in windows:
-            ratio = SequenceMatcher(None, norm, window).ratio()
-            if ratio >= self.threshold:
-                return ratio, window
-            if ratio > best:
-                best, best_window = ratio, window
-        if self.masks[kw] & text_mask == self.masks[kw]:
-            return 0.80, "scattered:" + " ".join(norm.split())
-        if best > 0.0 and best >= self.floor:
-            return best, best_window
-        return None
-
-    def score(self, text: str, wanted: Callable[[int], bool]) -> list[dict]:
-        norm_text = normalise_for_match(text)
-        if not norm_text:
-            return []
-        words = norm_text.split()
-        text_mask = 0
-        for w in set(words):
-            text_mask |= self._word_mask(w)
-        windows = self._windows(words)
-        memo: dict[int, tuple[float, str] | None] = {}
-        out = []
-        for slot, keywords in self.slots:
-            if not wanted(slot):
-                continue
-            best_score, best_evidence = 0.0, ""
-            for kw in keywords:
-                if kw not in memo:
-                    memo[kw] = self._match(kw, norm_text, text_mask, windows.get(kw, []))
-                found = memo[kw]
-                if found is not None and found[0] > best_score:
-                    best_score, best_evidence = found[0], found[1] or self.raw[kw]
-            if best_score > 0.0:
-                out.append({"slot": slot, "score": best_score, "evidence": best_evidence})
-        return out
-
-
-def fuzzy_matches(text: Column, skip_slots: Column, slots: list[FuzzySlot], threshold: float) -> Column:
-    """Best fuzzy match of each slot not listed in ``skip_slots``; -1 there skips all even slots.
-
-    A null text costs nothing and gives null.
+# ---- substrings and related words ----------------------------------------------------------------------------------
+
+
+class Automaton:
+    """All terms that occur in a text as substrings, found in one pass over it (Aho and Corasick)."""
+
+    def __init__(self, terms: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        ends: list[list[int]] = [[]]
+        for i, term in enumerate(terms):
+            node = 0
+            for ch in term:
+                if ch not in self.next[node]:
+                    self.next[node][ch] = len(self.next)
+                    self.next.append({})
+                    ends.append([])
+                node = self.next[node][ch]
+            if node:
+                ends[node].append(i)
+        self.fail = [0] * len(self.next)
+        #: The terms that end at a node, and the nearest shorter suffix at which others do.
+        self.ends, self.shorter = ends, [0] * len(self.next)
+        queue = deque(self.next[0].values())
+        while queue:
+            node = queue.popleft()
+            for ch, child in self.next[node].items():
+                queue.append(child)
+                back = self.fail[node]
+                while back and ch not in self.next[back]:
+                    back = self.fail[back]
+                self.fail[child] = back = self.next[back].get(ch, 0)
+                self.shorter[child] = back if ends[back] else self.shorter[back]
+
+    def found(self, text: str) -> list[int]:
+        """Numbers of the terms in the text, each once, ascending."""
+        step, fail, ends, shorter = self.next, self.fail, self.ends, self.shorter
+        seen, node = set(), 0
+        for ch in text:
+            while node and ch not in step[node]:
+                node = fail[node]
+            node = step[node].get(ch, 0)
+            at = node if ends[node] else shorter[node]
+            # A node that was met before has brought its shorter ones along.
+            while at and at not in seen:
+                seen.add(at)
+                at = shorter[at]
+        return sorted(i for at in seen for i in ends[at])
+
+
+def term_parts(terms: list[str], chars: int = AUTOMATON_CHARS) -> list[range]:
+    """Runs of terms that fit one automaton each."""
+    cuts, size = [0], 0
+    for i, term in enumerate(terms):
+        if size and size + len(term) > chars:
+            cuts.append(i)
+            size = 0
+        size += len(term)
+    return [range(a, b) for a, b in zip(cuts, [*cuts[1:], len(terms)], strict=True) if a < b]
+
+
+@lru_cache(maxsize=1)
+def _automaton(terms: tuple[str, ...]) -> Automaton:
+    """One per Python worker: the part in use."""
+    return Automaton(list(terms))
+
+
+def held_terms(text: Column, terms: list[str], first: int = 0) -> Column:
+    """Numbers, from ``first``, of the terms that a normalised text contains; array<int>."""
+    spark = SparkSession.active()
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(tuple(terms))
+
+    @F.arrow_udf("array<int>")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = _automaton(shared.value)
+        for texts in batches:
+            lists = [[first + i for i in automaton.found(t)] if t else [] for t in texts.to_pylist()]
+            yield pa.array(lists, pa.list_(pa.int32()))
+
+    return held(text)
+
+
+def held_rows(texts: DataFrame, keep: list[str], text: str, terms: list[str], name: str = "term") -> DataFrame:
+    """A row per text and term that it contains: ``keep`` and the term's number. Large libraries take a pass a part."""
+    parts = term_parts(terms)
+    if not parts:
+        return texts.select(*keep, F.lit(0).alias(name)).filter(F.lit(False))
+    found = None
+    for part in parts:
+        hits = texts.select(*keep, held_terms(F.col(text), [terms[i] for i in part], part.start).alias("_held"))
+        rows = explode_rows(hits, keep, F.col("_held"), name)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def containing_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
+    """(word, term): every substring of every term, to find the words that a term contains."""
+    rows = spark.createDataFrame(list(enumerate(terms)), "term int, t string")
+    size = F.length("t")
+    starts = F.sequence(F.lit(1), size)
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring("t", i, n))))
+    return rows.filter("t <> ''").select("term", F.explode(F.array_distinct(parts)).alias("word"))
+
+
+# ---- window ratios -------------------------------------------------------------------------------------------------
+
+
+def letter_masks(text: Column) -> dict[str, Column]:
+    """``m1``, ``m2``: per letter as many bits as it occurs, four at most; ``over``: occurrences beyond; ``len``.
+
+    The letters two strings share are at most the common bits plus the smaller ``over``.
+    """
+    length = F.length(text)
+    counts = [length - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
+    rest = length
+    for c in counts:
+        rest = rest - c
+    masks, over = [F.lit(0).cast("long"), F.lit(0).cast("long")], length
+    for i, count in enumerate([*counts, rest]):
+        capped = F.least(count, F.lit(_CAP))
+        over = over - capped
+        unary = F.call_function("shiftleft", F.lit(1).cast("long"), capped) - 1
+        half = i // 14
+        masks[half] = masks[half].bitwiseOR(F.shiftleft(unary, _CAP * (i % 14)))
+    return {"m1": masks[0], "m2": masks[1], "over": over, "len": length}
+
+
+def common_subsequence(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of pairs of strings, rows of characters filled up with 0; ``a`` has 64 columns at most.
+
+    Bit-parallel: a zero bit marks a place of ``a`` up to which the subsequence has grown by one.
     """
+    width = a.shape[1]
+    state = np.full(len(a), ~np.uint64(0))
+    for j in range(b.shape[1]):
+        at = np.zeros(len(a), np.uint64)
+        for i in range(width):
+            at |= (a[:, i] == b[:, j]).astype(np.uint64) << np.uint64(i)
+        at[j >= b_size] = 0
+        met = state & at
+        state = (state + met) | (state - met)
+    low = np.where(a_size >= 64, ~np.uint64(0), (np.uint64(1) << a_size.astype(np.uint64) % np.uint64(64)) - np.uint64(1))
+    return a_size - np.bitwise_count(state & low).astype(np.int64)
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros((len(texts), int(sizes.max(initial=0))), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def ratios(keywords: list[str], windows: list[str], floor: float) -> list[float | None]:
+    """The ratio of each pair, None where it is below ``floor``."""
+    out: list[float | None] = [None] * len(keywords)
+    order = sorted(range(len(keywords)), key=lambda i: len(windows[i]))
+    for at in range(0, len(order), 8192):
+        part = [i for i in order[at : at + 8192] if keywords[i] and windows[i]]
+        short = [i for i in part if len(keywords[i]) <= 64]
+        worth = [i for i in part if len(keywords[i]) > 64]
+        if short:
+            a, a_size = _characters([keywords[i] for i in short])
+            b, b_size = _characters([windows[i] for i in short])
+            common = common_subsequence(a, b, a_size, b_size)
+            worth += np.array(short)[2 * common >= floor * (a_size + b_size) - 1e-9].tolist()
+        for i in worth:
+            ratio = SequenceMatcher(None, keywords[i], windows[i]).ratio()
+            if ratio >= floor:
+                out[i] = ratio
+    return out
+
+
+def sequence_ratio(a: Column, b: Column, floor: float = 0.0) -> Column:
+    """Ratcliff-Obershelp similarity of two strings, null below ``floor``; equal pairs of a batch are compared once."""
     ship_package(SparkSession.active())
 
-    @F.arrow_udf(FUZZY_SCHEMA)
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        scorer = FuzzyScorer(slots, threshold)
-        for texts, skips in batches:
-            memo: dict[tuple, list[dict]] = {}
-            out = []
-            for t, s in zip(texts.to_pylist(), skips.to_pylist(), strict=True):
-                if t is None:
-                    out.append(None)
-                    continue
-                key = (t, tuple(s or ()))
-                if key not in memo:
-                    skip = frozenset(key[1])
-                    no_even = -1 in skip
-                    memo[key] = scorer.score(
-                        t, lambda slot, skip=skip, no_even=no_even: slot not in skip and not (no_even and slot % 2 == 0)
-                    )
-                out.append(memo[key])
-            yield pa.array(out, type=_ARROW_TYPE)
-
-    return run(text, skip_slots)
-
-
-def sequence_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two strings."""
-
     @F.arrow_udf("double")
     def ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-        memo: dict[tuple, float | None] = {}
-        out = []
-        for pair in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            if pair not in memo:
-                memo[pair] = None if None in pair else SequenceMatcher(None, *pair).ratio()
-            out.append(memo[pair])
-        return pa.array(out, type=pa.float64())
+        pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
+        distinct = [p for p in dict.fromkeys(pairs) if None not in p]
+        if floor > 0:
+            found = dict(zip(distinct, ratios([p[0] for p in distinct], [p[1] for p in distinct], floor), strict=True))
+        else:
+            found = {p: SequenceMatcher(None, *p).ratio() for p in distinct}
+        return pa.array([found.get(p) for p in pairs], pa.float64())
 
     return ratio(a, b)
 
 
+def word_windows(texts: DataFrame, keep: list[str], words: str, widths: list[int]) -> DataFrame:
+    """A row per window of as many words: ``keep``, width, pos, win."""
+
+    def of(width: int) -> Column:
+        starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width))
+        windows = F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.array_join(F.slice(words, i + 1, F.lit(width)), " ").alias("win")),
+        )
+        return windows
+
+    return explode_rows(texts, keep, F.concat(*[of(n) for n in widths]), "_w").select(*keep, "_w.width", "_w.pos", "_w.win")
+
+
+def close_windows(windows: DataFrame, keywords: DataFrame, n_keywords: int, floor: float) -> DataFrame:
+    """Windows that reach ``floor`` with a keyword (kw, norm, width) of as many words, with ``kw`` and ``ratio``."""
+    lots = -(-n_keywords // BROADCAST_KEYWORDS)
+    terms = keywords.select("kw", "norm", "width", *[c.alias(f"k_{n}") for n, c in letter_masks(F.col("norm")).items()])
+    # The lengths that two strings of this ratio can have.
+    low = F.ceil(F.col("k_len") * F.lit(floor / (2 - floor)) - 1e-9)
+    high = F.floor(F.col("k_len") * F.lit((2 - floor) / floor) + 1e-9)
+    terms = terms.withColumn("lot", F.pmod(F.xxhash64("norm"), F.lit(lots))).withColumn("len", F.explode(F.sequence(low, high).cast("array<int>")))
+    masked = compute_all(windows, letter_masks(F.col("win")))
+    if lots > 1:
+        masked = masked.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    on = ["width", "len", "lot"] if lots > 1 else ["width", "len"]
+    terms = terms if lots > 1 else F.broadcast(terms.drop("lot"))
+    met = masked.join(terms, on)
+    bits = lambda m: F.bit_count(F.col(m).bitwiseAND(F.col(f"k_{m}")))
+    common = bits("m1") + bits("m2") + F.least("over", "k_over")
+    met = met.filter(2 * common >= F.lit(floor) * (F.col("len") + F.col("k_len")) - 1e-9)
+    met = met.select(*windows.columns, "kw", sequence_ratio(F.col("norm"), F.col("win"), floor).alias("ratio"))
+    return met.filter(F.col("ratio").isNotNull())
+
+
+# ---- matching ------------------------------------------------------------------------------------------------------
+
+ID = ["t1", "t2"]
+
+
+def text_id(text: Column) -> list[Column]:
+    """128 bits that stand for a normalised text; null for null and empty ones."""
+    there = text != ""
+    return [F.when(there, F.xxhash64(text)), F.when(there, F.xxhash64(F.lit("text"), text))]
+
+
+def scattered_keywords(texts: DataFrame, words: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(t1, t2, kw) where every word of the keyword has a related one in the text; ``words``: kw, word_no, n_words."""
+    spark = texts.sparkSession
+    inside = held_rows(texts, ID, "n", vocabulary, "word_no")
+    each = explode_rows(texts, ID, F.array_distinct("w"), "word")
+    around = each.join(F.broadcast(containing_terms(spark, vocabulary)), "word").select(*ID, F.col("term").alias("word_no"))
+    related = inside.unionByName(around).distinct()
+    met = related.join(F.broadcast(words), "word_no").groupBy(*ID, "kw").agg(F.count("*").alias("met"), F.first("n_words").alias("n_words"))
+    return met.filter(F.col("met") == F.col("n_words")).select(*ID, "kw")
+
+
+def fuzzy_table(texts: DataFrame, slots: list[FuzzySlot], threshold: float, text: str = "text") -> DataFrame:
+    """(t1, t2, found): the best fuzzy match of every slot for each distinct normalised text that has one."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    raws = sorted({k for s in slots for k in s.keywords})
+    number = {k: i for i, k in enumerate(raws)}
+    # A keyword that a list repeats counts at its first place.
+    places = [(s.slot, place, number[k]) for s in slots for k, place in {k: i for i, k in reversed(list(enumerate(s.keywords)))}.items()]
+    listed = spark.createDataFrame(places, "slot int, place int, kw int")
+    norms = [normalise_for_match(k) for k in raws]
+    split = [n.split() for n in norms]
+    many = [i for i, words in enumerate(split) if len(words) > 1]
+    floor = threshold - SLACK
+
+    base = texts.select(match_normalise(F.col(text)).alias("n"))
+    base = base.select(*[c.alias(i) for i, c in zip(ID, text_id(F.col("n")), strict=True)], "n").filter("t1 IS NOT NULL")
+    base = base.groupBy(*ID).agg(F.first("n").alias("n"))
+    base = compute_all(base, {"w": F.split("n", " ")})
+
+    contained = held_rows(base, ID, "n", norms, "kw").withColumn("kind", F.lit(0))
+    parts = [contained.select(*ID, "kw", "kind", F.lit(0).alias("pos"), F.lit(1.0).alias("ratio"), F.lit("").alias("win"))]
+    if many:
+        vocabulary = sorted({w for i in many for w in split[i]})
+        word_no = {w: k for k, w in enumerate(vocabulary)}
+        words = spark.createDataFrame([(i, word_no[w], len(set(split[i]))) for i in many for w in set(split[i])], "kw int, word_no int, n_words int")
+        scattered = scattered_keywords(base, words, vocabulary)
+        parts.append(scattered.select(*ID, "kw", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.lit(SCATTERED_SCORE).alias("ratio"), F.lit("").alias("win")))
+        keywords = spark.createDataFrame([(i, norms[i], len(split[i])) for i in many], "kw int, norm string, width int")
+        windows = word_windows(base, ID, "w", sorted({len(split[i]) for i in many}))
+        close = close_windows(windows, keywords, len(many), floor)
+        parts.append(close.select(*ID, "kw", F.lit(2).alias("kind"), "pos", "ratio", "win"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+
+    window = F.struct("pos", "ratio", "win")
+    per_keyword = rows.groupBy(*ID, "kw").agg(
+        F.max(F.col("kind") == 0).alias("contained"),
+        F.max(F.col("kind") == 1).alias("scattered"),
+        F.min(F.when((F.col("kind") == 2) & (F.col("ratio") >= threshold), window)).alias("first"),
+        F.min(F.when(F.col("kind") == 2, F.struct((-F.col("ratio")).alias("neg"), "pos", "win"))).alias("best"),
+    )
+    names = F.broadcast(spark.createDataFrame([(i, raw, "scattered:" + " ".join(split[i])) for i, raw in enumerate(raws)], "kw int, raw string, words string"))
+    per_keyword = per_keyword.join(names, "kw")
+    score = F.when(F.col("contained"), 1.0).when(F.col("first").isNotNull(), F.col("first.ratio"))
+    score = score.when(F.col("scattered"), SCATTERED_SCORE).otherwise(-F.col("best.neg"))
+    evidence = F.when(F.col("contained"), F.col("raw")).when(F.col("first").isNotNull(), F.col("first.win"))
+    evidence = evidence.when(F.col("scattered"), F.col("words")).otherwise(F.col("best.win"))
+    scored = per_keyword.select(*ID, "kw", score.alias("score"), evidence.alias("evidence")).join(F.broadcast(listed), "kw")
+    best = scored.groupBy(*ID, "slot").agg(F.min(F.struct((-F.col("score")).alias("neg"), "place", "evidence")).alias("m"))
+    match = F.struct("slot", (-F.col("m.neg")).alias("score"), F.col("m.evidence").alias("evidence"))
+    return best.groupBy(*ID).agg(F.sort_array(F.collect_list(match)).cast(FUZZY_SCHEMA).alias("found"))
+
+
+def normalise_for_match(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def add_fuzzy_matches(df: DataFrame, text: str, slots: list[FuzzySlot], threshold: float, name: str = "_fuzzy") -> DataFrame:
+    """``df`` with the best fuzzy match of every slot, an array; null where the text is null or has no match."""
+    if df.isStreaming:
+        raise ValueError("fuzzy matching collapses equal texts: match a stream batch by batch (streaming.run.append_batches)")
+    table = fuzzy_table(df.select(text).filter(F.col(text).isNotNull()), slots, threshold, text)
+    table = table.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("found").alias(name))
+    a, b = text_id(match_normalise(F.col(text)))
+    there = F.col(text).isNotNull()
+    keyed = df.withColumns({"_t1": F.when(there, a), "_t2": F.when(there, b)})
+    return keyed.join(table, ["_t1", "_t2"], "left").select(*df.columns, name)
+
+
 def contains_keyword(text: Column, keyword: Column) -> Column:
     """Substring containment of the normalised keyword in the normalised text."""
     return (text != "") & (keyword != "") & F.contains(text, keyword)

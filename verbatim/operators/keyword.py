@@ -25,7 +25,7 @@ from verbatim.functions.patterns import word_bounded
 from verbatim.functions.quality import is_dismissive_short
 from verbatim.functions.text import strip
 from verbatim.operators import assignments as out
-from verbatim.operators.fuzzy import FuzzySlot, fuzzy_matches
+from verbatim.operators.fuzzy import FuzzySlot, add_fuzzy_matches
 from verbatim.session import ship_package
 from verbatim.settings import KeywordSettings
 
@@ -308,6 +308,11 @@ def _skip_slots(hits: Column, short: Column, cfg: KeywordSettings) -> Column:
     return F.array_sort(F.array_distinct(F.concat(phrase_slot, token_slot)))
 
 
+def _settled(slot: Column, skip: Column) -> Column:
+    """-1 among the skipped slots stands for all token lists, which have even numbers."""
+    return F.array_contains(skip, slot) | (F.array_contains(skip, F.lit(-1)) & (slot % 2 == TOKEN))
+
+
 def _fuzzy_candidates(found: Column, cfg: KeywordSettings) -> Column:
     token_rank, phrase_rank = (1, 3) if cfg.phrase_first else (3, 1)
 
@@ -386,12 +391,10 @@ def add_matches(
     staged = staged.withColumn("_short", F.coalesce(short, F.lit(False)))
     candidates = _exact_candidates(hits, F.col("_short"), settings)
     if settings.use_fuzzy:
-        slots = _fuzzy_slots(index, settings)
-        found = fuzzy_matches(
-            F.col("_text"), _skip_slots(hits, F.col("_short"), settings), slots, settings.fuzzy_threshold
-        )
-        staged = staged.withColumn("_fuzzy", found)
-        candidates = F.concat(candidates, _fuzzy_candidates(F.col("_fuzzy"), settings))
+        staged = staged.withColumn("_skip", _skip_slots(hits, F.col("_short"), settings))
+        staged = add_fuzzy_matches(staged, "_text", _fuzzy_slots(index, settings), settings.fuzzy_threshold)
+        open_slots = F.filter("_fuzzy", lambda m: ~_settled(m["slot"], F.col("_skip")))
+        candidates = F.concat(candidates, _fuzzy_candidates(open_slots, settings))
     first_per_subtheme = bind(F.array_sort(candidates), _first_per_subtheme)
     staged = compute_once(staged, "matches", _scored(first_per_subtheme, F.col("TextColumn"), index, settings))
     return staged.select(*before, "matches")
