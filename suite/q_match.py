@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import fixture as fx
+from suite import fuzzysql
 from suite import sqltext as q
 from suite.registry import query
 from verbatim.functions import plugins, vectors
@@ -200,7 +201,14 @@ def jn5(spark, d):
     return staged.select("ID", "TextColumn", F.explode(hits).alias("keyword"))
 
 
-@query("jn4_fuzzy_windows")
+_SLOTS = [(i, s.phrase_terms) for i, s in enumerate(INDEX.subthemes)]
+
+
+@query(
+    "jn4_fuzzy_windows",
+    q.with_(q.answers(processed=False), "active AS (SELECT * FROM answers WHERE is_meaningful)", fuzzysql.lists("active", _SLOTS, 0.78))
+    + 'SELECT a."ID", a."TextColumn", f.slot AS subtheme_pos, round(f.score, 6) AS score, f.evidence FROM active a JOIN fuzzy f USING (text)',
+)
 def jn4(spark, d):
     """Best fuzzy match of each keyword list, before scoring."""
     slots = [fuzzy.FuzzySlot(i, s.phrase_terms) for i, s in enumerate(INDEX.subthemes)]
@@ -211,19 +219,16 @@ def jn4(spark, d):
     )
 
 
-@query("jn6_fuzzy_dispatch")
+@query("jn6_fuzzy_dispatch", _survey_matches(FUZZY))
 def jn6(spark, d):
     return _exploded_matches(answers(spark, d), FUZZY)
 
 
-@query("jn6_fuzzy_documents")
-def jn6_documents(spark, d):
-    """Fuzzy matching over whole documents."""
-    docs = fx.documents_long(spark, d)
-    return rounded(keyword.assign_keyword(docs, DOCS, FUZZY), "rule_score")
-
-
-@query("ud6_sequence_ratio")
+@query(
+    "ud6_sequence_ratio",
+    q.with_(q.survey(), 'ab AS (SELECT "ID", lower("Free_Text_1") AS a, lower("Free_Text_2") AS b FROM survey)', fuzzysql.ratio("ab"))
+    + 'SELECT "ID", round(ratio, 6) AS ratio FROM ab LEFT JOIN ratio USING (a, b)',
+)
 def ud6(spark, d):
     pairs = fx.survey(spark, d).select("ID", F.lower("Free_Text_1").alias("a"), F.lower("Free_Text_2").alias("b"))
     return pairs.select("ID", F.round(fuzzy.sequence_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
@@ -268,7 +273,18 @@ def cp1_documents(spark, d):
     return rounded(keyword.assign_keyword(docs, DOCS, EXACT), "rule_score")
 
 
-@query("cp1_keyword_fuzzy")
+@query(
+    "jn6_fuzzy_documents",
+    q.with_(_DOC_FLAGS, q.matches("docs", DOCS, FUZZY))
+    + q.assignment_select('s."ID", s."TextColumn", s.is_meaningful', "docs", "FALSE", "''", "''"),
+)
+def jn6_documents(spark, d):
+    """Fuzzy matching over whole documents."""
+    docs = fx.documents_long(spark, d)
+    return rounded(keyword.assign_keyword(docs, DOCS, FUZZY), "rule_score")
+
+
+@query("cp1_keyword_fuzzy", q.with_(q.keyword_assignments(FUZZY)) + f"SELECT {ASSIGNMENT} FROM assignments")
 def cp1_fuzzy(spark, d):
     return rounded(keyword.assign_keyword(answers(spark, d), INDEX, FUZZY), "rule_score")
 

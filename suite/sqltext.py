@@ -52,7 +52,7 @@ class Raw(str):
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c for c in ctes if c) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(c for c in ctes if c) + "\n"
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -314,16 +314,39 @@ def library_ctes(index: KeywordIndex) -> str:
     )
 
 
+def fuzzy_rows(index: KeywordIndex, s: KeywordSettings) -> str:
+    """CTEs up to ``fuzzy_ranked``: the fuzzy match of each keyword list, with the rank at which it counts."""
+    from suite import fuzzysql
+
+    phrases = [(2 * pos + 1, t.phrase_terms if s.phrase_first else t.phrase_terms + t.token_terms) for pos, t in enumerate(index.subthemes)]
+    tokens_ = [(2 * pos, t.token_terms) for pos, t in enumerate(index.subthemes) if s.allow_token_fallback and s.phrase_first]
+    rank = "CASE WHEN slot % 2 = 0 THEN 1 ELSE 3 END" if s.phrase_first else "1"
+    return ",\n".join(
+        [
+            fuzzysql.lists("texts_in", [p for p in tokens_ + phrases if p[1]], s.fuzzy_threshold),
+            f"fuzzy_ranked AS (SELECT i.\"TextColumn\", i.text, (slot // 2)::INTEGER AS pos, {rank} AS rank, 0 AS ord, score AS base, "
+            "CASE WHEN slot % 2 = 0 THEN 'fuzzy_token' ELSE 'fuzzy' END AS method, evidence "
+            "FROM marked_in i JOIN fuzzy f ON f.text = i.text WHERE slot % 2 = 1 OR i.short)",
+        ]
+    )
+
+
 def matches(source: str, index: KeywordIndex, s: KeywordSettings, text: str = "text") -> str:
-    """CTEs up to ``best``: the accepted matches per distinct (TextColumn, text) with their rank ``rn``; no fuzzy."""
+    """CTEs up to ``best``: the accepted matches per distinct (TextColumn, text) with their rank ``rn``."""
     short = f"length({strip('text')}) <= {s.max_token_match_length}" if s.allow_token_fallback else "FALSE"
     if s.phrase_first:
         candidate = "CASE WHEN kind = 0 AND short THEN 0 WHEN kind = 1 THEN 2 END"
-        ordering = "kw"
+        ordering, is_token = "kw", "rank = 0"
     else:
         candidate = "0"
-        ordering = "kw + CASE WHEN kind = 0 THEN 500000 ELSE 0 END"
+        ordering, is_token = "kw + CASE WHEN kind = 0 THEN 500000 ELSE 0 END", "FALSE"
     mismatch = 999.0 if s.strict_columns else s.column_penalty
+    exact = (
+        'SELECT "TextColumn", text, pos, rank, ord, '
+        f"CASE WHEN {is_token} THEN 0.95 ELSE 1.0 END::DOUBLE AS base, "
+        f"CASE WHEN {is_token} THEN 'token_short_text' ELSE 'exact' END AS method, evidence FROM ranked WHERE rank IS NOT NULL"
+    )
+    rows = f"({exact} UNION ALL SELECT * FROM fuzzy_ranked)" if s.use_fuzzy else f"({exact})"
     return ",\n".join(
         [
             library_ctes(index),
@@ -332,12 +355,9 @@ def matches(source: str, index: KeywordIndex, s: KeywordSettings, text: str = "t
             'hits AS (SELECT i."TextColumn", i.text, i.short, t.pos, t.kind, t.kw, t.evidence '
             "FROM marked_in i, terms t WHERE contains(i.m, t.marked))",
             f"ranked AS (SELECT *, {candidate} AS rank, {ordering} AS ord FROM hits)",
-            'firsts AS (SELECT * FROM ranked WHERE rank IS NOT NULL QUALIFY row_number() OVER '
-            '(PARTITION BY "TextColumn", text, pos ORDER BY rank, ord) = 1)',
-            "scored AS (SELECT f.\"TextColumn\", f.text, f.pos, f.evidence, m.theme, m.subtheme, m.parent_theme, "
-            "m.polarity, CASE WHEN rank = 0 AND " + ("TRUE" if s.phrase_first else "FALSE")
-            + " THEN 'token_short_text' ELSE 'exact' END AS method, "
-            "(CASE WHEN rank = 0 AND " + ("TRUE" if s.phrase_first else "FALSE") + " THEN 0.95 ELSE 1.0 END)::DOUBLE "
+            fuzzy_rows(index, s) if s.use_fuzzy else "no_fuzzy AS (SELECT 1)",
+            f'firsts AS (SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY "TextColumn", text, pos ORDER BY rank, ord) = 1)',
+            "scored AS (SELECT f.\"TextColumn\", f.text, f.pos, f.evidence, m.theme, m.subtheme, m.parent_theme, m.polarity, f.method, f.base "
             f"+ CASE WHEN len(m.cols) > 0 AND list_contains(m.cols, f.\"TextColumn\") THEN {s.column_bonus} ELSE 0.0 "
             "END::DOUBLE "
             f"- CASE WHEN len(m.cols) > 0 AND NOT list_contains(m.cols, f.\"TextColumn\") THEN {mismatch} ELSE 0.0 "
@@ -380,7 +400,7 @@ def assignment_select(keys: str, source: str, dismissed: str, detail: str, reaso
 
 
 def keyword_assignments(s: KeywordSettings, index: KeywordIndex | None = None) -> str:
-    """CTEs up to ``assignments``: the survey's keyword assignment table without fuzzy matching."""
+    """CTEs up to ``assignments``: the survey's keyword assignment table."""
     body = assignment_select(
         's."ID", s."TextColumn", s.is_meaningful', "flagged_answers",
         "(s.is_meaningful = FALSE AND s.response_detail <> '')", "s.response_detail",

@@ -12,8 +12,7 @@ in some word of the text (0.80), or if the best window is at most 0.05 below the
 * Substrings and related words come from one pass of an automaton over the text, whose cost does not grow with the number of
   keywords; related words then meet the keywords by a join and a count.
 
-Texts are dealt once, by the hash of the normalised text; everything up to the best match per slot happens there. Matches go back to the
-rows by that hash. As texts are collapsed first, this does not run on a stream; micro-batches are matched one by one.
+Texts are dealt once, by their hash; everything up to the best match per slot happens there. Matches go back to the rows by that hash. As texts are collapsed first, this does not run on a stream; micro-batches are matched one by one.
 """
 
 from __future__ import annotations
@@ -26,12 +25,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatim.functions.expr import compute_all, explode_rows
 from verbatim.functions.text import match_normalise
-from verbatim.session import ship_package
+from verbatim.session import ensure_checkpoint_dir, ship_package
 
 FUZZY_SCHEMA = "array<struct<slot: int, score: double, evidence: string>>"
 SCATTERED_SCORE = 0.80
@@ -43,7 +43,12 @@ BROADCAST_KEYWORDS = 50_000
 AUTOMATON_CHARS = 4_000_000
 #: Letters counted on their own in the bound; all other characters count together.
 LETTERS = "abcdefghijklmnopqrstuvwxyz "
-_CAP = 4
+_SPACE, _CLASSES, _HALF, _CAP = LETTERS.index(" "), len(LETTERS) + 1, 14, 4
+#: The class of each byte of UTF-8; bytes that continue a character belong to none.
+_BYTE_CLASS = np.array([LETTERS.find(chr(b)) if chr(b) in LETTERS else _CLASSES if 128 <= b < 192 else _CLASSES - 1 for b in range(256)])
+_WINDOW_FIELDS = [("width", pa.int32()), ("pos", pa.int32()), ("win", pa.string()), ("m1", pa.int64()), ("m2", pa.int64()), ("over", pa.int32()), ("len", pa.int32())]
+_WINDOW_TYPE = pa.list_(pa.struct(_WINDOW_FIELDS))
+_WINDOW_SCHEMA = "array<struct<width: int, pos: int, win: string, m1: bigint, m2: bigint, over: int, len: int>>"
 
 
 @dataclass(frozen=True)
@@ -161,51 +166,96 @@ def containing_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
 # ---- window ratios -------------------------------------------------------------------------------------------------
 
 
-def letter_masks(text: Column) -> dict[str, Column]:
-    """``m1``, ``m2``: per letter as many bits as it occurs, four at most; ``over``: occurrences beyond; ``len``.
+def letter_masks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``m1``, ``m2``: per class of letters as many bits as it occurs, four at most; ``over``: occurrences beyond.
 
     The letters two strings share are at most the common bits plus the smaller ``over``.
     """
-    length = F.length(text)
-    counts = [length - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in LETTERS]
-    rest = length
-    for c in counts:
-        rest = rest - c
-    masks, over = [F.lit(0).cast("long"), F.lit(0).cast("long")], length
-    for i, count in enumerate([*counts, rest]):
-        capped = F.least(count, F.lit(_CAP))
-        over = over - capped
-        unary = F.call_function("shiftleft", F.lit(1).cast("long"), capped) - 1
-        half = i // 14
-        masks[half] = masks[half].bitwiseOR(F.shiftleft(unary, _CAP * (i % 14)))
-    return {"m1": masks[0], "m2": masks[1], "over": over, "len": length}
-
-
-def common_subsequence(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of pairs of strings, rows of characters filled up with 0; ``a`` has 64 columns at most.
-
-    Bit-parallel: a zero bit marks a place of ``a`` up to which the subsequence has grown by one.
+    capped = np.minimum(counts, _CAP)
+    unary = np.array([0, 1, 3, 7, 15], np.int64)[capped]
+    shifts = _CAP * np.arange(_HALF)
+    halves = [(unary[:, at : at + _HALF] << shifts[: unary[:, at : at + _HALF].shape[1]]).sum(axis=1) for at in (0, _HALF)]
+    return halves[0], halves[1], (counts.sum(axis=1) - capped.sum(axis=1)).astype(np.int32)
+
+
+def letter_counts(words: pa.Array) -> np.ndarray:
+    """Per word its characters by class: each of ``LETTERS``, and all others together."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    kinds = _BYTE_CLASS[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data is not None else np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(words)), np.diff(ends))
+    counts = np.bincount(owner * (_CLASSES + 1) + kinds, minlength=len(words) * (_CLASSES + 1))
+    return counts.reshape(len(words), _CLASSES + 1)[:, :_CLASSES]
+
+
+def windows_of(words: pa.ListArray, widths: list[int]) -> pa.ListArray:
+    """The windows of each text's words, with their letter masks."""
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten()
+    row = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    counts = letter_counts(flat) if len(flat) else np.zeros((0, _CLASSES), np.int64)
+    rows, columns = [], []
+    for width in widths:
+        n = len(flat) - width + 1
+        if n < 1:
+            continue
+        whole = np.flatnonzero(row[:n] == row[width - 1 :])
+        windows, sums = flat.slice(0, n), counts[:n].copy()
+        for i in range(1, width):
+            windows = pc.binary_join_element_wise(windows, flat.slice(i, n), " ")
+            sums += counts[i : i + n]
+        sums[:, _SPACE] += width - 1
+        sums = sums[whole]
+        rows.append(row[whole])
+        columns.append((np.full(len(whole), width, np.int32), place[whole].astype(np.int32), windows.take(pa.array(whole)), *letter_masks(sums), sums.sum(axis=1).astype(np.int32)))
+    if not rows:
+        return pa.array([[] for _ in range(len(words))], _WINDOW_TYPE)
+    owner = np.concatenate(rows)
+    order = np.argsort(owner, kind="stable")
+    parts = [pa.concat_arrays([pa.array(c[i]) if isinstance(c[i], np.ndarray) else c[i] for c in columns]).take(pa.array(order)) for i in range(len(columns[0]))]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, fields=list(_WINDOW_TYPE.value_type)))
+
+
+def common_subsequence(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of pairs of strings, the first of ``sizes`` characters, 64 at most.
+
+    ``places``: a row per pair and a column per character of the second string; bit i says that the first string has that
+    character at i. A bit of the state turns to zero at each place up to which the subsequence has grown by one.
     """
-    width = a.shape[1]
-    state = np.full(len(a), ~np.uint64(0))
-    for j in range(b.shape[1]):
-        at = np.zeros(len(a), np.uint64)
-        for i in range(width):
-            at |= (a[:, i] == b[:, j]).astype(np.uint64) << np.uint64(i)
-        at[j >= b_size] = 0
+    state = np.full(len(places), ~np.uint64(0))
+    for at in places.T:
         met = state & at
         state = (state + met) | (state - met)
-    low = np.where(a_size >= 64, ~np.uint64(0), (np.uint64(1) << a_size.astype(np.uint64) % np.uint64(64)) - np.uint64(1))
-    return a_size - np.bitwise_count(state & low).astype(np.int64)
+    low = np.where(sizes >= 64, ~np.uint64(0), (np.uint64(1) << (sizes % 64).astype(np.uint64)) - np.uint64(1))
+    return sizes - np.bitwise_count(state & low).astype(np.int64)
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of characters per text, filled up with zeros, and the sizes."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.zeros((len(texts), int(sizes.max(initial=0))), np.uint32)
     out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return out, sizes
 
 
+def _common(keywords: list[str], windows: list[str]) -> np.ndarray:
+    number = {k: i for i, k in enumerate(dict.fromkeys(keywords))}
+    a, a_size = _characters(list(number))
+    b, _ = _characters(windows)
+    alphabet, codes = np.unique(b, return_inverse=True)
+    codes = codes.reshape(b.shape)
+    # Bit i of table[k, c]: keyword k has character c at i. The filling is no character of a keyword.
+    table = np.zeros((len(a), len(alphabet)), np.uint64)
+    for i in range(a.shape[1]):
+        at = np.minimum(np.searchsorted(alphabet, a[:, i]), len(alphabet) - 1)
+        here = (alphabet[at] == a[:, i]) & (a[:, i] != 0)
+        table[np.flatnonzero(here), at[here]] |= np.uint64(1) << np.uint64(i)
+    which = np.fromiter(map(number.__getitem__, keywords), np.int64, len(keywords))
+    return common_subsequence(table[which[:, None], codes], a_size[which])
+
+
 def ratios(keywords: list[str], windows: list[str], floor: float) -> list[float | None]:
     """The ratio of each pair, None where it is below ``floor``."""
     out: list[float | None] = [None] * len(keywords)
@@ -215,10 +265,9 @@ def ratios(keywords: list[str], windows: list[str], floor: float) -> list[float
         short = [i for i in part if len(keywords[i]) <= 64]
         worth = [i for i in part if len(keywords[i]) > 64]
         if short:
-            a, a_size = _characters([keywords[i] for i in short])
-            b, b_size = _characters([windows[i] for i in short])
-            common = common_subsequence(a, b, a_size, b_size)
-            worth += np.array(short)[2 * common >= floor * (a_size + b_size) - 1e-9].tolist()
+            common = _common([keywords[i] for i in short], [windows[i] for i in short])
+            sizes = np.array([len(keywords[i]) + len(windows[i]) for i in short])
+            worth += np.array(short)[2 * common >= floor * sizes - 1e-9].tolist()
         for i in worth:
             ratio = SequenceMatcher(None, keywords[i], windows[i]).ratio()
             if ratio >= floor:
@@ -243,39 +292,39 @@ def sequence_ratio(a: Column, b: Column, floor: float = 0.0) -> Column:
     return ratio(a, b)
 
 
-def word_windows(texts: DataFrame, keep: list[str], words: str, widths: list[int]) -> DataFrame:
-    """A row per window of as many words: ``keep``, width, pos, win."""
+def word_windows(words: Column, widths: list[int]) -> Column:
+    """The windows of as many words, with their letter masks; an array."""
 
-    def of(width: int) -> Column:
-        starts = F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width))
-        windows = F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(F.lit(width).alias("width"), i.alias("pos"), F.array_join(F.slice(words, i + 1, F.lit(width)), " ").alias("win")),
-        )
-        return windows
+    @F.arrow_udf(_WINDOW_SCHEMA)
+    def windows(lists: pa.Array) -> pa.Array:
+        return windows_of(lists, widths)
 
-    return explode_rows(texts, keep, F.concat(*[of(n) for n in widths]), "_w").select(*keep, "_w.width", "_w.pos", "_w.win")
+    return windows(words)
 
 
-def close_windows(windows: DataFrame, keywords: DataFrame, n_keywords: int, floor: float) -> DataFrame:
-    """Windows that reach ``floor`` with a keyword (kw, norm, width) of as many words, with ``kw`` and ``ratio``."""
-    lots = -(-n_keywords // BROADCAST_KEYWORDS)
-    terms = keywords.select("kw", "norm", "width", *[c.alias(f"k_{n}") for n, c in letter_masks(F.col("norm")).items()])
+def close_windows(texts: DataFrame, keep: list[str], words: str, keywords: list[tuple[int, str]], floor: float) -> DataFrame:
+    """``keep``, kw, pos, win, ratio: the windows that reach ``floor`` with a keyword (kw, normalised) of as many words."""
+    spark = texts.sparkSession
+    lots = -(-len(keywords) // BROADCAST_KEYWORDS)
+    widths = sorted({len(norm.split()) for _, norm in keywords})
+    terms = spark.createDataFrame(keywords, "kw int, norm string").withColumn("words", F.split("norm", " "))
+    own = F.filter(word_windows(F.col("words"), widths), lambda w: w["width"] == F.size("words"))
+    terms = compute_all(terms, {"own": own}).select("kw", "norm", F.col("own")[0].alias("k"))
     # The lengths that two strings of this ratio can have.
-    low = F.ceil(F.col("k_len") * F.lit(floor / (2 - floor)) - 1e-9)
-    high = F.floor(F.col("k_len") * F.lit((2 - floor) / floor) + 1e-9)
-    terms = terms.withColumn("lot", F.pmod(F.xxhash64("norm"), F.lit(lots))).withColumn("len", F.explode(F.sequence(low, high).cast("array<int>")))
-    masked = compute_all(windows, letter_masks(F.col("win")))
+    low = F.ceil(F.col("k.len") * F.lit(floor / (2 - floor)) - 1e-9)
+    high = F.floor(F.col("k.len") * F.lit((2 - floor) / floor) + 1e-9)
+    terms = terms.select("kw", "norm", "k.width", *[F.col(f"k.{n}").alias(f"k_{n}") for n in ("m1", "m2", "over", "len")], F.pmod(F.xxhash64("norm"), F.lit(lots)).cast("int").alias("lot"), F.explode(F.sequence(low, high).cast("array<int>")).alias("len"))
+    met = explode_rows(texts.select(*keep, word_windows(F.col(words), widths).alias("_all")), keep, F.col("_all"), "_w").select(*keep, "_w.*")
     if lots > 1:
-        masked = masked.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
-    on = ["width", "len", "lot"] if lots > 1 else ["width", "len"]
-    terms = terms if lots > 1 else F.broadcast(terms.drop("lot"))
-    met = masked.join(terms, on)
+        met = met.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).join(terms, ["width", "len", "lot"])
+    else:
+        met = met.join(F.broadcast(terms.drop("lot")), ["width", "len"])
     bits = lambda m: F.bit_count(F.col(m).bitwiseAND(F.col(f"k_{m}")))
     common = bits("m1") + bits("m2") + F.least("over", "k_over")
     met = met.filter(2 * common >= F.lit(floor) * (F.col("len") + F.col("k_len")) - 1e-9)
-    met = met.select(*windows.columns, "kw", sequence_ratio(F.col("norm"), F.col("win"), floor).alias("ratio"))
-    return met.filter(F.col("ratio").isNotNull())
+    # Behind a generator the filter does not ask for the ratio a second time.
+    ratio = F.array(F.struct(sequence_ratio(F.col("norm"), F.col("win"), floor).alias("ratio")))
+    return met.select(*keep, "kw", "pos", "win", F.inline(ratio)).filter(F.col("ratio").isNotNull())
 
 
 # ---- matching ------------------------------------------------------------------------------------------------------
@@ -284,24 +333,12 @@ ID = ["t1", "t2"]
 
 
 def text_id(text: Column) -> list[Column]:
-    """128 bits that stand for a normalised text; null for null and empty ones."""
-    there = text != ""
-    return [F.when(there, F.xxhash64(text)), F.when(there, F.xxhash64(F.lit("text"), text))]
-
-
-def scattered_keywords(texts: DataFrame, words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(t1, t2, kw) where every word of the keyword has a related one in the text; ``words``: kw, word_no, n_words."""
-    spark = texts.sparkSession
-    inside = held_rows(texts, ID, "n", vocabulary, "word_no")
-    each = explode_rows(texts, ID, F.array_distinct("w"), "word")
-    around = each.join(F.broadcast(containing_terms(spark, vocabulary)), "word").select(*ID, F.col("term").alias("word_no"))
-    related = inside.unionByName(around).distinct()
-    met = related.join(F.broadcast(words), "word_no").groupBy(*ID, "kw").agg(F.count("*").alias("met"), F.first("n_words").alias("n_words"))
-    return met.filter(F.col("met") == F.col("n_words")).select(*ID, "kw")
+    """128 bits that stand for a text; null for null."""
+    return [F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit("text"), text))]
 
 
 def fuzzy_table(texts: DataFrame, slots: list[FuzzySlot], threshold: float, text: str = "text") -> DataFrame:
-    """(t1, t2, found): the best fuzzy match of every slot for each distinct normalised text that has one."""
+    """(t1, t2, found): the best fuzzy match of every slot for each distinct text that has one."""
     spark = texts.sparkSession
     ship_package(spark)
     raws = sorted({k for s in slots for k in s.keywords})
@@ -314,40 +351,47 @@ def fuzzy_table(texts: DataFrame, slots: list[FuzzySlot], threshold: float, text
     many = [i for i, words in enumerate(split) if len(words) > 1]
     floor = threshold - SLACK
 
-    base = texts.select(match_normalise(F.col(text)).alias("n"))
-    base = base.select(*[c.alias(i) for i, c in zip(ID, text_id(F.col("n")), strict=True)], "n").filter("t1 IS NOT NULL")
-    base = base.groupBy(*ID).agg(F.first("n").alias("n"))
-    base = compute_all(base, {"w": F.split("n", " ")})
-
-    contained = held_rows(base, ID, "n", norms, "kw").withColumn("kind", F.lit(0))
-    parts = [contained.select(*ID, "kw", "kind", F.lit(0).alias("pos"), F.lit(1.0).alias("ratio"), F.lit("").alias("win"))]
+    base = texts.select(*[c.alias(i) for i, c in zip(ID, text_id(F.col(text)), strict=True)], F.col(text).alias("text"))
+    base = base.filter("t1 IS NOT NULL").groupBy(*ID).agg(F.first("text").alias("text"))
+    base = compute_all(base, {"n": match_normalise(F.col("text"))}).filter("n <> ''").select(*ID, "n")
+    # Three passes read the texts; without the cut each would run the plan that makes them.
+    ensure_checkpoint_dir(spark)
+    base = compute_all(base.checkpoint(), {"w": F.split("n", " ")})
+
+    # What a term that a text holds says: keyword ``kw`` is contained, or has a related word in the text, its ``word_no``-th.
+    vocabulary = sorted({w for i in many for w in split[i]})
+    word_no = {w: k for k, w in enumerate(vocabulary)}
+    related = [(len(raws) + word_no[w], i, word_no[w]) for i in many for w in set(split[i])]
+    says = spark.createDataFrame([(i, i, None) for i in range(len(raws))] + related, "term int, kw int, word_no int")
+    held = held_rows(base, ID, "n", norms + vocabulary).join(F.broadcast(says), "term").select(*ID, "kw", "word_no")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("win", "string"), ("ratio", "double"))]
+    rows = held.select("*", *nothing)
     if many:
-        vocabulary = sorted({w for i in many for w in split[i]})
-        word_no = {w: k for k, w in enumerate(vocabulary)}
-        words = spark.createDataFrame([(i, word_no[w], len(set(split[i]))) for i in many for w in set(split[i])], "kw int, word_no int, n_words int")
-        scattered = scattered_keywords(base, words, vocabulary)
-        parts.append(scattered.select(*ID, "kw", F.lit(1).alias("kind"), F.lit(0).alias("pos"), F.lit(SCATTERED_SCORE).alias("ratio"), F.lit("").alias("win")))
-        keywords = spark.createDataFrame([(i, norms[i], len(split[i])) for i in many], "kw int, norm string, width int")
-        windows = word_windows(base, ID, "w", sorted({len(split[i]) for i in many}))
-        close = close_windows(windows, keywords, len(many), floor)
-        parts.append(close.select(*ID, "kw", F.lit(2).alias("kind"), "pos", "ratio", "win"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-
-    window = F.struct("pos", "ratio", "win")
+        inside = containing_terms(spark, vocabulary).withColumn("term", F.col("term") + len(raws)).join(F.broadcast(says), "term")
+        inside = inside.select("word", "kw", "word_no")
+        each = explode_rows(base, ID, F.array_distinct("w"), "word")
+        around = each.join(F.broadcast(inside) if len(many) <= BROADCAST_KEYWORDS else inside, "word")
+        rows = rows.unionByName(around.select(*ID, "kw", "word_no", *nothing))
+        close = close_windows(base, ID, "w", [(i, norms[i]) for i in many], floor)
+        rows = rows.unionByName(close.select(*ID, "kw", F.lit(-1).alias("word_no"), "pos", "win", "ratio"))
+
+    ratio = F.col("ratio")
     per_keyword = rows.groupBy(*ID, "kw").agg(
-        F.max(F.col("kind") == 0).alias("contained"),
-        F.max(F.col("kind") == 1).alias("scattered"),
-        F.min(F.when((F.col("kind") == 2) & (F.col("ratio") >= threshold), window)).alias("first"),
-        F.min(F.when(F.col("kind") == 2, F.struct((-F.col("ratio")).alias("neg"), "pos", "win"))).alias("best"),
+        F.max(F.col("word_no").isNull()).alias("contained"),
+        F.size(F.collect_set(F.when(F.col("word_no") >= 0, F.col("word_no")))).alias("words_met"),
+        F.min(F.when(ratio >= threshold, F.struct("pos", "ratio", "win"))).alias("first"),
+        F.min(F.when(ratio.isNotNull(), F.struct((-ratio).alias("neg"), "pos", "win"))).alias("best"),
     )
-    names = F.broadcast(spark.createDataFrame([(i, raw, "scattered:" + " ".join(split[i])) for i, raw in enumerate(raws)], "kw int, raw string, words string"))
+    names = [(i, raw, " ".join(words), len(set(words)) if len(words) > 1 else None) for i, (raw, words) in enumerate(zip(raws, split, strict=True))]
+    names = F.broadcast(spark.createDataFrame(names, "kw int, raw string, words string, n_words int"))
     per_keyword = per_keyword.join(names, "kw")
+    scattered = F.col("words_met") == F.col("n_words")
+    known = F.col("contained") | F.col("first").isNotNull() | scattered | F.col("best").isNotNull()
     score = F.when(F.col("contained"), 1.0).when(F.col("first").isNotNull(), F.col("first.ratio"))
-    score = score.when(F.col("scattered"), SCATTERED_SCORE).otherwise(-F.col("best.neg"))
+    score = score.when(scattered, SCATTERED_SCORE).otherwise(-F.col("best.neg"))
     evidence = F.when(F.col("contained"), F.col("raw")).when(F.col("first").isNotNull(), F.col("first.win"))
-    evidence = evidence.when(F.col("scattered"), F.col("words")).otherwise(F.col("best.win"))
+    evidence = evidence.when(scattered, F.concat(F.lit("scattered:"), "words")).otherwise(F.col("best.win"))
+    per_keyword = per_keyword.filter(known)
     scored = per_keyword.select(*ID, "kw", score.alias("score"), evidence.alias("evidence")).join(F.broadcast(listed), "kw")
     best = scored.groupBy(*ID, "slot").agg(F.min(F.struct((-F.col("score")).alias("neg"), "place", "evidence")).alias("m"))
     match = F.struct("slot", (-F.col("m.neg")).alias("score"), F.col("m.evidence").alias("evidence"))
@@ -362,11 +406,9 @@ def add_fuzzy_matches(df: DataFrame, text: str, slots: list[FuzzySlot], threshol
     """``df`` with the best fuzzy match of every slot, an array; null where the text is null or has no match."""
     if df.isStreaming:
         raise ValueError("fuzzy matching collapses equal texts: match a stream batch by batch (streaming.run.append_batches)")
-    table = fuzzy_table(df.select(text).filter(F.col(text).isNotNull()), slots, threshold, text)
+    table = fuzzy_table(df.select(text), slots, threshold, text)
     table = table.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("found").alias(name))
-    a, b = text_id(match_normalise(F.col(text)))
-    there = F.col(text).isNotNull()
-    keyed = df.withColumns({"_t1": F.when(there, a), "_t2": F.when(there, b)})
+    keyed = df.withColumns(dict(zip(("_t1", "_t2"), text_id(F.col(text)), strict=True)))
     return keyed.join(table, ["_t1", "_t2"], "left").select(*df.columns, name)
 
 
