@@ -133,6 +133,17 @@ def io1_documents(spark, d):
     return survey_io.read_survey_csv(spark, path, "doc_id long, lang string, text string")
 
 
+@query(
+    "io1_read_documents_csv_split",
+    f"SELECT doc_id, lang, CASE WHEN text NOT IN {_NA} THEN text END AS text FROM documents",
+)
+def io1_documents_split(spark, d):
+    """The same by blocks, records found by the parity of quotes."""
+    path = scratch_folder(spark) + "/documents"
+    results.write_table(fx.table(spark, d, "documents").select("doc_id", "lang", "text"), [path])
+    return survey_io.read_large_survey_csv(spark, path, "doc_id long, lang string, text string")
+
+
 @query(
     "io2_rename_headers",
     q.with_(q.survey())
@@ -275,6 +286,15 @@ def rs6(spark, d):
     return df.select("ID", row_fingerprint(df, ["ID", "Free_Text_2", "score"]).alias("fingerprint"))
 
 
-@query("rs6_table_fingerprint")
+def _digest(at: int) -> str:
+    return f"CAST(coalesce(sum(('0x' || substr(h, {at}, 13))::BIGINT::HUGEINT), 0) % {2**61 - 1} AS BIGINT)"
+
+
+@query(
+    "rs6_table_fingerprint",
+    "WITH d AS (SELECT md5("
+    + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "lang", "n_chars", "source", "text"))
+    + f") AS h FROM documents) SELECT count(*) AS n_rows, {_digest(1)} AS digest_a, {_digest(14)} AS digest_b FROM d",
+)
 def rs6_table(spark, d):
     return table_fingerprint(fx.table(spark, d, "documents"))

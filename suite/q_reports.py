@@ -390,12 +390,6 @@ def full_job(fuzzy: bool = True, outputs: OutputSettings = ALL_OUTPUTS) -> Surve
     )
 
 
-@query("cp10_full_job")
-def cp10(spark, d):
-    """Every output of the job, written and read back: rows per output."""
-    return _written_rows(spark, fx.survey(spark, d), fuzzy=True)
-
-
 def _written_rows(spark, survey: DataFrame, fuzzy: bool) -> DataFrame:
     folder = scratch_folder(spark)
     names = full_job(fuzzy).write(survey, [folder], "parquet")
@@ -412,28 +406,33 @@ def _count(sql: str, table: str) -> str:
     return f"({sql} SELECT count(*) FROM {table})"
 
 
-_SEGMENT_JOB = q.with_(qs.KEYWORD_SEGMENTS, qs.SUMMARY)
-_JOB_COUNTS = {
-    "data_audit": "3",
-    "null_text_report": _count(
-        q.with_(q.answers(), 'r AS (SELECT DISTINCT "TextColumn", response_detail FROM answers)'), "r"
-    ),
-    "null_text_details": _count(q.with_(q.answers()), "answers WHERE NOT is_meaningful"),
-    "taxonomy_matched_keyword": _count(q.with_(ASSIGNED), "assignments WHERE reason = 'matched'"),
-    "taxonomy_unmatched_keyword": _count(q.with_(ASSIGNED), "assignments WHERE reason <> 'matched'"),
-    "assignments_keyword": _count(q.with_(ASSIGNED), "assignments"),
-    "sentiment_by_id": "(SELECT count(*) FROM orders)",
-    "segments_detailed": _count(_SEGMENT_JOB, "seg_out"),
-    "segmented_analysis": _count(_SEGMENT_JOB, "seg_out"),
-    "segment_sentiment_summary": _count(_SEGMENT_JOB, "sums"),
-    "absa_segment_sentiment": _count(_SEGMENT_JOB, "seg_out WHERE trim(theme) <> '' OR trim(subtheme) <> ''"),
-}
-
-
-@query(
-    "cp10_full_job_exact",
-    " UNION ALL ".join(f"SELECT '{n}' AS output, {c}::BIGINT AS rows" for n, c in _JOB_COUNTS.items()),
-)
+def _job_counts(settings: KeywordSettings) -> str:
+    assigned = q.keyword_assignments(settings)
+    job = q.with_(qs.keyword_segments_sql(settings), qs.SUMMARY)
+    report = q.with_(q.answers(), 'r AS (SELECT DISTINCT "TextColumn", response_detail FROM answers)')
+    counts = {
+        "data_audit": "3",
+        "null_text_report": _count(report, "r"),
+        "null_text_details": _count(q.with_(q.answers()), "answers WHERE NOT is_meaningful"),
+        "taxonomy_matched_keyword": _count(q.with_(assigned), "assignments WHERE reason = 'matched'"),
+        "taxonomy_unmatched_keyword": _count(q.with_(assigned), "assignments WHERE reason <> 'matched'"),
+        "assignments_keyword": _count(q.with_(assigned), "assignments"),
+        "sentiment_by_id": "(SELECT count(*) FROM orders)",
+        "segments_detailed": _count(job, "seg_out"),
+        "segmented_analysis": _count(job, "seg_out"),
+        "segment_sentiment_summary": _count(job, "sums"),
+        "absa_segment_sentiment": _count(job, "seg_out WHERE trim(theme) <> '' OR trim(subtheme) <> ''"),
+    }
+    return " UNION ALL ".join(f"SELECT '{n}' AS output, {c}::BIGINT AS rows" for n, c in counts.items())
+
+
+@query("cp10_full_job_exact", _job_counts(KeywordSettings(use_fuzzy=False)))
 def cp10_exact(spark, d):
     """The same without fuzzy matching."""
     return _written_rows(spark, fx.survey(spark, d), fuzzy=False)
+
+
+@query("cp10_full_job", _job_counts(qm.FUZZY))
+def cp10(spark, d):
+    """Every output of the job, written and read back: rows per output."""
+    return _written_rows(spark, fx.survey(spark, d), fuzzy=True)

@@ -39,7 +39,10 @@ def ud1(spark, d):
 
 @query(
     "ud1_model_scorer",
-    q.with_(q.survey()) + 'SELECT "ID", length("Free_Text_2")::DOUBLE / 100.0 AS score FROM survey',
+    q.with_(q.survey())
+    + 'SELECT "ID", '
+    + ", ".join(f'length("{c}")::DOUBLE / 100.0 AS "score_{c}"' for c in fx.TEXT_COLUMNS)
+    + " FROM survey",
 )
 def ud1_model(spark, d):
     """A stand-in batch model (text length) behind the model adapter."""
@@ -47,7 +50,8 @@ def ud1_model(spark, d):
     def load():
         return lambda texts: [len(t) / 100.0 for t in texts]
 
-    return fx.survey(spark, d).select("ID", plugins.model_scorer(load)(F.col("Free_Text_2")).alias("score"))
+    scorer = plugins.model_scorer(load)
+    return fx.survey(spark, d).select("ID", *[scorer(F.col(c)).alias(f"score_{c}") for c in fx.TEXT_COLUMNS])
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -161,6 +165,30 @@ def ag11(spark, d):
     return fx.all_texts(spark, d).select("key", F.round(sentiment.clause_compound(F.col("text")), 6).alias("compound"))
 
 
+_CLAUSE_LENGTHS = q.with_(
+    q.survey(), q.all_texts(),
+    f"cl AS (SELECT key, text, {q.clauses('text')} AS cl FROM texts)",
+    "ex AS (SELECT key, len(cl) AS n, i, cl[i] AS clause FROM cl, unnest(range(1, len(cl) + 1)) AS u(i) "
+    "WHERE text IS NOT NULL AND text <> '')",
+    "sc AS (SELECT key, 0.2::DOUBLE + 0.6::DOUBLE * (i - 1) / greatest(n - 1, 1) AS w, length(clause) / 100.0::DOUBLE AS s FROM ex)",
+    "agg AS (SELECT key, sum(w * s) / sum(w) AS compound FROM sc GROUP BY key)",
+)
+
+
+@query(
+    "ag11_clause_weighted_model",
+    _CLAUSE_LENGTHS + "SELECT key, round(coalesce(compound, 0.0), 6) AS compound FROM texts LEFT JOIN agg USING (key)",
+)
+def ag11_model(spark, d):
+    """A stand-in batch model (clause length) over the clauses of many texts at once."""
+
+    def load():
+        return lambda texts: [len(t) / 100.0 for t in texts]
+
+    score = sentiment.clause_compound(F.col("text"), list_scorer=plugins.model_list_scorer(load))
+    return fx.all_texts(spark, d).select("key", F.round(score, 6).alias("compound"))
+
+
 @query(
     "ag15_sentiment_distribution",
     q.with_(SENTIMENT) + "SELECT sentiment_label, count(*) AS count FROM sentiment GROUP BY ALL",
@@ -244,17 +272,22 @@ def dx13(spark, d):
     )
 
 
-KEYWORD_SEGMENTS = ",\n".join(
-    [
-        SEGMENTS,
-        "seg_src AS (SELECT *, segment_text AS text, is_meaningful AS active FROM segs)",
-        q.matches("seg_src", qm.INDEX, qm.EXACT),
-        "seg_out AS ("
-        + q.assignment_select("s.*", "seg_src", "NOT s.is_meaningful", "coalesce(nullif(s.response_detail, ''), 'No')",
-                              "'dismissed'")
-        + ")",
-    ]
-)
+def keyword_segments_sql(settings) -> str:
+    return ",\n".join(
+        [
+            SEGMENTS,
+            "seg_src AS (SELECT *, segment_text AS text, is_meaningful AS active FROM segs)",
+            q.matches("seg_src", qm.INDEX, settings),
+            "seg_out AS ("
+            + q.assignment_select(
+                "s.*", "seg_src", "NOT s.is_meaningful", "coalesce(nullif(s.response_detail, ''), 'No')", "'dismissed'"
+            )
+            + ")",
+        ]
+    )
+
+
+KEYWORD_SEGMENTS = keyword_segments_sql(qm.EXACT)
 _SEGMENT_ROW = (
     'SELECT "ID", "TextColumn", segment_index, segment_text, is_meaningful, round(compound, 6) AS compound, '
     "sentiment_label, theme, subtheme, parent_theme, rule_score, expected_polarity, match_method, evidence, reason"

@@ -65,6 +65,28 @@ def model_scorer(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_s
     return lambda c: F.when(c.isNotNull(), predict(F.coalesce(c, F.lit(""))))
 
 
+def model_list_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[float]]], batch_size: int = 64) -> Scorer:
+    """A batch model over arrays of texts, such as the clauses of an answer: array of texts -> array of scores.
+
+    All texts of an Arrow batch are scored together, equal ones once, and dealt back to their rows by the arrays' offsets.
+    """
+
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load()
+        for lists in batches:
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().fill_null("").dictionary_encode()
+            texts, scores = coded.dictionary.to_pylist(), []
+            for start in range(0, len(texts), batch_size):
+                scores.extend(float(x) for x in model(texts[start:start + batch_size]))
+            dealt = pa.array(scores, pa.float64()).take(coded.indices)
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), dealt, mask=lists.is_null())
+
+    return lambda texts: score(texts)
+
+
 def model_encoder(load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 128) -> Encoder:
     """A batch model as an encoder. ``load`` returns ``texts -> matrix``."""
 

@@ -78,11 +78,30 @@ def row_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Colu
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One order-independent fingerprint row per table, usable as a result-cache key."""
+    """One order-independent fingerprint row per table, usable as a result-cache key.
+
+    Each row's values, as text with their lengths, go through MD5; two 52-bit parts of the digests are summed. Sums add up, so
+    the fingerprint of a table is that of its parts (``combined_fingerprint``), and any engine with MD5 gets the same.
+    """
     names = sorted(columns or df.columns)
-    digest = F.xxhash64(*[F.col(n) for n in names])
-    return df.select(digest.alias("h")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(F.pmod(F.col("h"), F.lit(1_000_003))), F.lit(0)).alias("sum_hash"),
+    texts = [F.col(f"`{n}`").cast("string") for n in names]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.md5(F.concat_ws("|", *marked).cast("binary"))
+    parts = [F.conv(F.substring(digest, at, 13), 16, 10).cast("decimal(38,0)") for at in (1, 14)]
+    return df.select(parts[0].alias("a"), parts[1].alias("b")).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[_modulo(F.sum(c)).alias(f"digest_{c}") for c in ("a", "b")]
     )
+
+
+#: Digests are sums modulo this prime.
+DIGEST_MODULUS = 2**61 - 1
+
+
+def _modulo(total: Column) -> Column:
+    return F.coalesce(total % F.lit(DIGEST_MODULUS), F.lit(0)).cast("bigint")
+
+
+def combined_fingerprint(parts: DataFrame) -> DataFrame:
+    """The fingerprint of a table from those of its parts."""
+    total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    return parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *[_modulo(total(c)).alias(c) for c in ("digest_a", "digest_b")])

@@ -114,20 +114,32 @@ def insight(net: Column, dominant: Column, base: Column, settings: SummarySettin
     return F.concat_ws(" ", F.lit("Users are"), mood, base)
 
 
-def segment_summary(segment_results: DataFrame, settings: SummarySettings = SummarySettings()) -> DataFrame:
-    """Sentiment counts, shares and an insight per (text column, theme, subtheme).
+SUMMARY_KEYS = ("TextColumn", "theme", "subtheme")
 
-    Dismissed clauses and clauses without a theme do not count, and ``No sentiment`` is in no total. Counts aggregate
-    before the shuffle, so a theme with a third of all clauses is as cheap as a rare one.
-    """
+
+def segment_counts(segment_results: DataFrame) -> DataFrame:
+    """Positive, negative and neutral clauses per (text column, theme, subtheme); counts of parts of a table add up."""
     theme = F.coalesce(F.col("theme"), F.lit(""))
     rows = segment_results.filter(F.coalesce(F.col("is_meaningful"), F.lit(True)) & (strip(theme) != ""))
     label = F.col("sentiment_label")
-    counts = rows.groupBy("TextColumn", "theme", "subtheme").agg(
+    return rows.groupBy(*SUMMARY_KEYS).agg(
         F.count_if(label == "Positive").alias("pos_count"),
         F.count_if(label == "Negative").alias("neg_count"),
         F.count_if(label == "Neutral").alias("neutral_count"),
     )
+
+
+def segment_summary(segment_results: DataFrame, settings: SummarySettings = SummarySettings()) -> DataFrame:
+    """Sentiment counts, shares and an insight per (text column, theme, subtheme).
+
+    Dismissed clauses and clauses without a theme do not count, and ``No sentiment`` is in no total. Counts aggregate
+    before the shuffle, so a theme with a third of all clauses is as cheap as a rare one.
+    """
+    return summary_of_counts(segment_counts(segment_results), settings)
+
+
+def summary_of_counts(counts: DataFrame, settings: SummarySettings = SummarySettings()) -> DataFrame:
+    """The summary's shares and insights for the counts of ``segment_counts``, added up over batches where there are several."""
     total = F.col("pos_count") + F.col("neg_count") + F.col("neutral_count")
 
     def share(n: Column) -> Column:

@@ -92,15 +92,20 @@ def aggregate_by_id(
     )
 
 
-def clause_compound(text: Column, scorer: Scorer | None = None) -> Column:
+def clause_compound(text: Column, scorer: Scorer | None = None, list_scorer: Scorer | None = None) -> Column:
     """Clause-aware score of a text: later clauses weigh more; an empty text scores 0.
 
-    Expression scorers only; model scorers score exploded clauses (see ``segments``) and combine with
-    ``clause_weighted``.
+    ``scorer`` is an expression over one clause. A model, which cannot run inside a lambda, comes as ``list_scorer``
+    (``plugins.model_list_scorer``) and sees the clauses of many rows at once; nothing is exploded or shuffled.
     """
-    score = scorer or lexicon_scorer()
     clauses = split_on_contrast(text)
-    return F.when(text.isNull() | (text == ""), 0.0).otherwise(clause_weighted(F.transform(clauses, score)))
+    empty = text.isNull() | (text == "")
+    if list_scorer is not None:
+        # The model runs outside of the condition, and on no clause of an empty text.
+        scores = list_scorer(F.when(~empty, clauses))
+    else:
+        scores = F.transform(clauses, scorer or lexicon_scorer())
+    return F.when(empty, 0.0).otherwise(clause_weighted(scores))
 
 
 def sentiment_by_id(df: DataFrame, text_columns: Sequence[str]) -> DataFrame:
