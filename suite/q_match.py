@@ -195,10 +195,37 @@ _PAIRS = [t for t in _TERMS if " " in t]
     + 'SELECT a."ID", a."TextColumn", h.keyword FROM answers a JOIN hit h USING (text)',
 )
 def jn5(spark, d):
-    pairs = F.array(*[F.lit(t) for t in _PAIRS])
-    staged = answers(spark, d).withColumn("w", tokens(match_normalise(F.col("text"))))
-    hits = F.filter(pairs, lambda k: fuzzy.scattered_match(F.col("w"), F.split(k, " ")))
-    return staged.select("ID", "TextColumn", F.explode(hits).alias("keyword"))
+    staged = answers(spark, d).withColumn("n", match_normalise(F.col("text")))
+    hits = fuzzy.scattered_rows(staged, ["ID", "TextColumn"], "n", _PAIRS)
+    return hits.select("ID", "TextColumn", F.get(F.array(*[F.lit(t) for t in _PAIRS]), F.col("kw")).alias("keyword"))
+
+
+_MANY_TERMS = 8_000
+_MANY_SQL = q.with_(
+    f"n AS (SELECT doc_id, {q.collapse(q.strip('lower(text)'))} AS t FROM documents)",
+    "w AS (SELECT unnest(string_split(t, ' ')) AS word FROM n WHERE t <> '')",
+    f"terms AS (SELECT word FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT {_MANY_TERMS})",
+)
+
+
+def many_terms(spark, d) -> list[str]:
+    """The most frequent words of the documents: a stated number of terms, in the order of their text."""
+    n = fx.table(spark, d, "documents").select(match_normalise(F.col("text")).alias("n")).filter("n <> ''")
+    counts = explode_rows(n, [], F.split("n", " "), "word").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    return sorted(r["word"] for r in counts.orderBy(F.desc("c"), "word").limit(_MANY_TERMS).collect())
+
+
+@query(
+    "jn3_containment_many_terms",
+    _MANY_SQL + "SELECT doc_id, count(*) AS terms, min(word) AS first FROM n, terms WHERE contains(t, word) GROUP BY doc_id",
+)
+def jn3_many(spark, d):
+    """Thousands of terms in whole documents, one pass over each text."""
+    terms = many_terms(spark, d)
+    n = fx.spread(fx.table(spark, d, "documents")).select("doc_id", match_normalise(F.col("text")).alias("n"))
+    names = spark.createDataFrame(list(enumerate(terms)), "term int, word string")
+    hits = fuzzy.held_rows(n, ["doc_id"], "n", terms).join(F.broadcast(names), "term")
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.min("word").alias("first"))
 
 
 _SLOTS = [(i, s.phrase_terms) for i, s in enumerate(INDEX.subthemes)]

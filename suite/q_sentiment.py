@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from suite import fixture as fx
 from suite import q_match as qm
 from suite import sqltext as q
-from suite.registry import query
+from suite.registry import query, scratch_folder
 from verbatim.functions import plugins, vectors
 from verbatim.functions.sentiment import lexicon_probs, lexicon_scorer
 from verbatim.operators import aspects, segments, sentiment
 from verbatim.operators import quality as quality_ops
 from verbatim.settings import AspectSettings, SegmentSettings, SentimentSettings, SummarySettings
+from verbatim.streaming import run
 
 WEIGHTS = fx.SENTIMENT_WEIGHTS
 SETTINGS = SentimentSettings(column_weights=WEIGHTS)
@@ -84,11 +85,15 @@ SCORES = ",\n".join(
 SENTIMENT = ",\n".join([q.survey(), q.survey_long(), SCORES])
 
 
-def scored_survey(spark, d) -> DataFrame:
-    flagged = quality_ops.add_quality_flags(fx.survey(spark, d), fx.TEXT_COLUMNS)
+def scored(survey: DataFrame) -> DataFrame:
+    flagged = quality_ops.add_quality_flags(survey, fx.TEXT_COLUMNS)
     return sentiment.add_sentiment(flagged, fx.TEXT_COLUMNS, SETTINGS)
 
 
+def scored_survey(spark, d) -> DataFrame:
+    return scored(fx.survey(spark, d))
+
+
 _SENTIMENT_SELECT = (
     'SELECT "ID", round(compound, 6) AS compound, sentiment_label, coping_flag, '
     + ", ".join(f'round(s{k}, 6) AS "compound_{c}"' for k, c in enumerate(fx.TEXT_COLUMNS, 1))
@@ -390,3 +395,55 @@ def ud4(spark, d):
         keyword_segments(spark, d), AspectSettings(use_subtheme=False, input_mode="prompt")
     )
     return qm.rounded(out.select("ID", "TextColumn", "segment_index", "aspect", "absa_label", "absa_score"), "absa_score")
+
+
+# --------------------------------------------------------------------------------------------------------------
+# Streams: the survey arrives in files, with repeated responses; counts of micro-batches add up to the batch result
+# --------------------------------------------------------------------------------------------------------------
+
+
+def _replayed(spark, d, tables) -> str:
+    """The folder with what ``tables`` makes of each micro-batch of the survey, responses sent twice counted once."""
+    folder = scratch_folder(spark)
+    days = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("ID"), F.col("o_orderdate").cast("timestamp").alias("sent"))
+    sent = fx.survey(spark, d).join(days, "ID")
+    for part in range(4):
+        again = sent.filter((F.col("ID") % 4 == (part + 1) % 4) & (F.col("ID") % 5 == 0))
+        sent.filter(F.col("ID") % 4 == part).unionByName(again).write.mode("append").parquet(f"{folder}/in")
+    stream = run.read_responses(spark, f"{folder}/in", sent.schema, files_per_batch=8)
+    once = run.distinct_responses(stream, "sent", "4000 days")
+    run.append_batches(once, tables, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+def _stream_counts(spark, d, count, keys) -> DataFrame:
+    out = _replayed(spark, d, lambda batch: {"counts": count(batch)})
+    return run.added_up(run.batch_results(spark, out, "counts"), keys)
+
+
+@query(
+    "ag1_quality_report_stream",
+    q.with_(q.survey(), q.survey_long(), f"flagged AS (SELECT \"TextColumn\", {q.response_detail('text')} AS detail FROM long)")
+    + 'SELECT "TextColumn" AS "column", detail AS response_detail, count(*) AS count FROM flagged GROUP BY ALL',
+)
+def ag1_stream(spark, d):
+    return _stream_counts(spark, d, lambda b: quality_ops.quality_report(b, fx.TEXT_COLUMNS), ["column", "response_detail"])
+
+
+@query("ag7_segment_summary_stream", q.with_(KEYWORD_SEGMENTS, SUMMARY) + _SUMMARY_SELECT)
+def ag7_stream(spark, d):
+    def count(batch: DataFrame) -> DataFrame:
+        pre = quality_ops.preprocess_columns(batch, fx.TEXT_COLUMNS, fx.dictionary())
+        parts = segments.build_segments(quality_ops.add_quality_flags(pre, fx.TEXT_COLUMNS), fx.TEXT_COLUMNS)
+        return segments.segment_counts(segments.add_segment_keywords(segments.add_segment_sentiment(parts), qm.INDEX, qm.EXACT))
+
+    counts = _stream_counts(spark, d, count, segments.SUMMARY_KEYS)
+    return segments.summary_of_counts(counts, SummarySettings(min_majority_pct=0.51))
+
+
+@query(
+    "ag15_sentiment_distribution_stream",
+    q.with_(SENTIMENT) + "SELECT sentiment_label, count(*) AS count FROM sentiment GROUP BY ALL",
+)
+def ag15_stream(spark, d):
+    return _stream_counts(spark, d, lambda b: sentiment.sentiment_distribution(scored(b)), ["sentiment_label"])

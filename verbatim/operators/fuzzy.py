@@ -337,6 +337,42 @@ def text_id(text: Column) -> list[Column]:
     return [F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit("text"), text))]
 
 
+def keyword_evidence(texts: DataFrame, keep: list[str], text: str, norms: list[str]) -> DataFrame:
+    """``keep``, kw, word_no: what speaks for the keywords, numbered as in ``norms``, in normalised texts.
+
+    A null ``word_no`` says that the text contains the keyword; a number, that the keyword's word of that number contains
+    or is contained in some word of the text (keywords of several words only).
+    """
+    spark = texts.sparkSession
+    split = [n.split() for n in norms]
+    many = [i for i, words in enumerate(split) if len(words) > 1]
+    vocabulary = sorted({w for i in many for w in split[i]})
+    number = {w: k for k, w in enumerate(vocabulary)}
+    related = [(len(norms) + number[w], i, number[w]) for i in many for w in set(split[i])]
+    says = spark.createDataFrame([(i, i, None) for i in range(len(norms))] + related, "term int, kw int, word_no int")
+    small = F.broadcast if len(norms) <= BROADCAST_KEYWORDS else lambda df: df
+    rows = held_rows(texts, keep, text, norms + vocabulary).join(small(says), "term").select(*keep, "kw", "word_no")
+    if many:
+        inside = containing_terms(spark, vocabulary).withColumn("term", F.col("term") + len(norms)).join(small(says), "term")
+        words = compute_all(texts.select(*keep, F.col(text).alias("_n")), {"_words": F.array_distinct(F.split("_n", " "))})
+        each = explode_rows(words, keep, F.col("_words"), "word").filter("word <> ''")
+        rows = rows.unionByName(each.join(small(inside), "word").select(*keep, "kw", "word_no"))
+    return rows
+
+
+def scattered_rows(texts: DataFrame, keep: list[str], text: str, norms: list[str]) -> DataFrame:
+    """``keep``, kw: the keywords of several words each of which is related to a word of the normalised text.
+
+    ``keep`` must tell the texts apart.
+    """
+    sizes = [(i, len(set(n.split()))) for i, n in enumerate(norms)]
+    rows = keyword_evidence(texts, keep, text, norms).filter(F.col("word_no").isNotNull())
+    met = rows.groupBy(*keep, "kw").agg(F.size(F.collect_set("word_no")).alias("met"))
+    wanted = texts.sparkSession.createDataFrame(sizes, "kw int, met int")
+    wanted = F.broadcast(wanted) if len(norms) <= BROADCAST_KEYWORDS else wanted
+    return met.join(wanted, ["kw", "met"]).select(*keep, "kw")
+
+
 def fuzzy_table(texts: DataFrame, slots: list[FuzzySlot], threshold: float, text: str = "text") -> DataFrame:
     """(t1, t2, found): the best fuzzy match of every slot for each distinct text that has one."""
     spark = texts.sparkSession
@@ -358,20 +394,10 @@ def fuzzy_table(texts: DataFrame, slots: list[FuzzySlot], threshold: float, text
     ensure_checkpoint_dir(spark)
     base = compute_all(base.checkpoint(), {"w": F.split("n", " ")})
 
-    # What a term that a text holds says: keyword ``kw`` is contained, or has a related word in the text, its ``word_no``-th.
-    vocabulary = sorted({w for i in many for w in split[i]})
-    word_no = {w: k for k, w in enumerate(vocabulary)}
-    related = [(len(raws) + word_no[w], i, word_no[w]) for i in many for w in set(split[i])]
-    says = spark.createDataFrame([(i, i, None) for i in range(len(raws))] + related, "term int, kw int, word_no int")
-    held = held_rows(base, ID, "n", norms + vocabulary).join(F.broadcast(says), "term").select(*ID, "kw", "word_no")
+    rows = keyword_evidence(base, ID, "n", norms)
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("win", "string"), ("ratio", "double"))]
-    rows = held.select("*", *nothing)
+    rows = rows.select("*", *nothing)
     if many:
-        inside = containing_terms(spark, vocabulary).withColumn("term", F.col("term") + len(raws)).join(F.broadcast(says), "term")
-        inside = inside.select("word", "kw", "word_no")
-        each = explode_rows(base, ID, F.array_distinct("w"), "word")
-        around = each.join(F.broadcast(inside) if len(many) <= BROADCAST_KEYWORDS else inside, "word")
-        rows = rows.unionByName(around.select(*ID, "kw", "word_no", *nothing))
         close = close_windows(base, ID, "w", [(i, norms[i]) for i in many], floor)
         rows = rows.unionByName(close.select(*ID, "kw", F.lit(-1).alias("word_no"), "pos", "win", "ratio"))
 
