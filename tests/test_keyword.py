@@ -213,3 +213,52 @@ def test_single_label_and_order(spark):
 
 def test_index_table_round_trip(spark):
     assert kw.KeywordIndex.from_df(INDEX.to_df(spark)) == INDEX
+
+
+def test_automaton_finds_every_term():
+    from verbatim.operators.fuzzy import Automaton, term_parts
+
+    rng = random.Random(3)
+    for _ in range(300):
+        terms = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 12))]
+        text = "".join(rng.choice("abc é") for _ in range(rng.randint(0, 40)))
+        assert Automaton(terms).found(text) == [i for i, t in enumerate(terms) if t and t in text]
+    assert [list(r) for r in term_parts(["aa", "b", "ccccc", "d"], 3)] == [[0, 1], [2], [3]]
+
+
+def test_bounds_never_exclude_a_ratio():
+    """The letter masks and the common subsequence bound the matching characters from above."""
+    import numpy as np
+    import pyarrow as pa
+
+    from verbatim.operators import fuzzy
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aabcdeé日 ") for _ in range(rng.randint(1, 30))).strip() or "x"
+    pairs = [(word(), word()) for _ in range(600)] + [("aaaaaaa bbbbbb", "aaaaaab bbbbba")]
+    matched = np.array([round(SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)) / 2) for a, b in pairs])
+    masks = []
+    for side in (0, 1):
+        counts = fuzzy.letter_counts(pa.array([p[side] for p in pairs]))
+        assert counts.sum(axis=1).tolist() == [len(p[side]) for p in pairs]
+        masks.append(fuzzy.letter_masks(counts))
+    shared = sum(np.bitwise_count(masks[0][i] & masks[1][i]).astype(int) for i in (0, 1)) + np.minimum(masks[0][2], masks[1][2])
+    longest = fuzzy._common([a for a, _ in pairs], [b for _, b in pairs])
+    assert (matched <= longest).all() and (longest <= shared).all()
+    for floor in (0.3, 0.6, 0.73):
+        want = [r if (r := SequenceMatcher(None, a, b).ratio()) >= floor else None for a, b in pairs]
+        assert fuzzy.ratios([a for a, _ in pairs], [b for _, b in pairs], floor) == want
+
+
+def test_large_libraries_match_alike(spark, monkeypatch):
+    """Several automata and keywords dealt into lots give the same matches."""
+    from verbatim.operators import fuzzy
+
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS[:60])], "ID int, t string")
+    slots = [fuzzy.FuzzySlot(i, s.phrase_terms + s.token_terms) for i, s in enumerate(INDEX.subthemes)]
+    run = lambda: sorted(map(str, fuzzy.add_fuzzy_matches(texts, "t", slots, 0.78, "m").collect()))
+    want = run()
+    monkeypatch.setattr(fuzzy, "BROADCAST_KEYWORDS", 7)
+    monkeypatch.setattr(fuzzy, "held_rows", lambda *a, f=fuzzy.held_rows, **k: f(*a, **k))
+    monkeypatch.setattr(fuzzy.term_parts, "__defaults__", (60,))
+    assert run() == want and any("Row(slot" in r for r in want)

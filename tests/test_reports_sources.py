@@ -129,3 +129,41 @@ def test_exact_quantiles(spark):
         got = exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.75, 0.9, 1.0], buckets=8)
         assert np.allclose(got, np.quantile(data, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]), rtol=0, atol=1e-15)
     assert exact_quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_split_csv_reader_equals_the_whole_file_reader(spark, tmp_path):
+    """Quoted line breaks on every block border: one file read by many tasks gives what one task reads."""
+    import random
+
+    from verbatim.sources.survey import read_large_survey_csv, read_survey_csv
+
+    rng = random.Random(1)
+    answer = lambda: "".join(rng.choice(['a', ' ', '\n', '""', ',', 'é', 'word ', '\n\n']) for _ in range(rng.randint(0, 60)))
+    body = "".join(f'{i},"{answer()}",{"plain" if i % 3 else ""}\n' for i in range(4000))
+    for name, text in (("one", 'ID,"long\nheader",c\n' + body), ("two", 'ID,b,c\n9,"x\ny",z'), ("empty", "ID,b,c\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    schema = "ID int, b string, c string"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for path in (str(tmp_path), str(tmp_path / "one.csv"), str(tmp_path / "empty.csv")):
+            got = read_large_survey_csv(spark, path, schema)
+            want = read_survey_csv(spark, path, schema)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        lines = spark.read.text(str(tmp_path / "one.csv"))
+        assert lines.rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fingerprints_of_parts_add_up(spark):
+    from verbatim.operators.reshape import combined_fingerprint, table_fingerprint
+
+    rows = [(i, None if i % 5 == 0 else f"t{i}|{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "b int, a string")
+    whole = table_fingerprint(df).first()
+    parts = table_fingerprint(df.filter("b < 30")).unionByName(table_fingerprint(df.filter("b >= 30")))
+    assert combined_fingerprint(parts).first() == whole == table_fingerprint(df.orderBy("a")).first()
+    changed = df.withColumn("a", F.when(F.col("b") == 7, "x").otherwise(F.col("a")))
+    assert table_fingerprint(changed).first() != whole
+    assert table_fingerprint(df.filter("b < 0")).first()[:] == (0, 0, 0)

@@ -108,3 +108,18 @@ def test_aspects(spark):
     )
     got = [(r["aspect"], r["absa_label"]) for r in aspects.aspect_sentiment(df).collect()]
     assert got == [("Taste", "Neutral"), ("Time", "Neutral"), ("T", "Negative")] or len(got) == 3
+
+
+def test_a_model_scores_clauses_of_many_rows_together(spark):
+    from verbatim.functions import plugins
+    from verbatim.operators import sentiment
+
+    texts = ["good but bad", None, "", "one although two however three", "good but bad", "single"]
+    model = plugins.model_list_scorer(lambda: lambda xs: [len(x) / 10 for x in xs], batch_size=2)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    score = sentiment.clause_compound(F.col("t"), list_scorer=model)
+    plain = sentiment.clause_compound(F.col("t"), scorer=lambda c: F.length(c) / 10)
+    rows = df.select("i", score.alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and rows[1].a == rows[2].a == 0.0 and len({r.a for r in rows}) == 4
+    plan = df.select(score)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
