@@ -560,10 +560,10 @@ _JACCARD = (
 )
 
 
-def _scored_pairs(template: str) -> str:
+def _scored_pairs(template: str, **source: str) -> str:
     return ",\n".join(
         [
-            _text_candidates(0.20, 15),
+            _text_candidates(0.20, 15, **source),
             f"worded AS (SELECT *, list_distinct({q.tokens('lower(text)')}) AS wa, "
             f"list_distinct({q.tokens(f'lower({template})')}) AS wb FROM cands)",
             f"scored AS (SELECT * EXCLUDE (wa, wb), {_JACCARD} AS ce_score FROM worded)",
@@ -571,6 +571,18 @@ def _scored_pairs(template: str) -> str:
     )
 
 
+@query(
+    "jn11_candidate_table",
+    q.with_(_text_candidates(0.20, 15))
+    + 'SELECT a."ID", a."TextColumn", a.text, s.rn::INTEGER AS rank, s.theme, s.subtheme, s.parent_theme, s.phrase AS matched_phrase, '
+    "s.polarity, round(s.score, 6) AS score FROM answers a JOIN cands s "
+    'ON a.is_meaningful AND a."TextColumn" = s."TextColumn" AND a.text = s.text',
+)
+def jn11_table(spark, d):
+    table = rerank.candidate_table(answers(spark, d), encoded_library(spark), vectors.hashed_encoder(DIM))
+    return rounded(table, "score")
+
+
 RERANK = SemanticSettings(pair_template="{theme}: {phrase}")
 _PAIR_SQL = "theme || ': ' || phrase"
 

@@ -10,8 +10,8 @@ from suite import q_match as qm
 from suite import q_sentiment as qs
 from suite import sqltext as q
 from suite.q_text import FREQUENCY, frequency_token_filter
-from suite.registry import query, scratch_folder
-from verbatim.functions import vectors
+from suite.registry import TWINS, query, scratch_folder
+from verbatim.functions import plugins, vectors
 from verbatim.operators import frequency, keyword, quality, reports, semantic
 from verbatim.operators.reshape import response_long
 from verbatim.plans.job import SurveyJob
@@ -436,3 +436,47 @@ def cp10_exact(spark, d):
 def cp10(spark, d):
     """Every output of the job, written and read back: rows per output."""
     return _written_rows(spark, fx.survey(spark, d), fuzzy=True)
+
+
+# --------------------------------------------------------------------------------------------------------------
+# The job by similarity, and with re-ranking: what it writes, read back
+# --------------------------------------------------------------------------------------------------------------
+
+_JOB_COLUMNS = ["ID", "TextColumn", "segment_index", "theme", "subtheme", "rule_score", "expected_polarity", "match_method", "evidence", "reason"]
+
+
+def _similarity_job(spark, d, pair_scorer=None) -> DataFrame:
+    """Assignments and clauses that the job writes; clauses carry their sentiment, answers none."""
+    job = SurveyJob(
+        fx.TEXT_COLUMNS, dictionary=_D, mode="semantic", library=qm.encoded_library(spark),
+        encoder=vectors.hashed_encoder(qm.DIM), pair_scorer=pair_scorer, semantic=qm.RERANK,
+        outputs=OutputSettings(assignments=True, taxonomy_reports=False, sentiment=False, quality_report=False, null_text_details=False,
+                               audit=False, segments=True, segmented_analysis=False, segment_summary=False, aspects=False),
+    )
+    folder = scratch_folder(spark)
+    job.write(fx.survey(spark, d), [folder], "parquet")
+    whole = spark.read.parquet(f"{folder}/assignments_semantic").withColumn("segment_index", F.lit(-1))
+    parts = spark.read.parquet(f"{folder}/segments_detailed")
+    return qm.rounded(whole.select(*_JOB_COLUMNS).unionByName(parts.select(*_JOB_COLUMNS)), "rule_score")
+
+
+def _twin(name: str) -> str:
+    return TWINS[name]
+
+
+def _job_sql(answers_sql: str, segments_sql: str) -> str:
+    names = ", ".join(f'"{c}"' for c in _JOB_COLUMNS if c != "segment_index")
+    return (
+        f"SELECT {names}, segment_index FROM (SELECT *, -1 AS segment_index FROM ({answers_sql})) UNION ALL "
+        f"SELECT {names}, segment_index FROM ({segments_sql} SELECT * FROM seg_out)"
+    )
+
+
+@query("cp10_semantic_job", _job_sql(_twin("cp2_semantic_assignments"), q.with_(qs.semantic_segments_sql())))
+def cp10_semantic(spark, d):
+    return _similarity_job(spark, d)
+
+
+@query("cp10_reranked_job", _job_sql(_twin("cp3_reranked_assignments"), q.with_(qs.reranked_segments_sql())))
+def cp10_reranked(spark, d):
+    return _similarity_job(spark, d, plugins.overlap_pair_scorer())

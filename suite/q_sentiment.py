@@ -308,21 +308,42 @@ def cp7(spark, d):
     return qm.rounded(keyword_segments(spark, d).select(*_SEGMENT_COLUMNS), "compound", "rule_score")
 
 
-_SEMANTIC_SEGMENTS = ",\n".join(
-    [
-        qm._text_candidates(
-            0.35, 3, before=SEGMENTS, source="segs", text="segment_text", mood="sentiment_label"
-        ),
-        qm._collapse_text("score", "semantic_similarity"),
-        "seg_src AS (SELECT *, segment_text AS text, is_meaningful AS active FROM segs)",
-        "seg_out AS ("
-        + q.assignment_select("s.*", "seg_src", "NOT s.is_meaningful", "coalesce(nullif(s.response_detail, ''), 'No')",
-                              "'dismissed'", "'below_threshold'")
-        + ")",
-    ]
+_SEG_OUT = (
+    "seg_src AS (SELECT *, segment_text AS text, is_meaningful AS active FROM segs),\n"
+    "seg_out AS ("
+    + q.assignment_select("s.*", "seg_src", "NOT s.is_meaningful", "coalesce(nullif(s.response_detail, ''), 'No')",
+                          "'dismissed'", "'below_threshold'")
+    + ")"
 )
 
 
+def _segment_candidates(mood: str) -> dict[str, str]:
+    return {"before": SEGMENTS, "source": "segs", "text": "segment_text", "mood": mood}
+
+
+def semantic_segments_sql(mood: str = "sentiment_label") -> str:
+    return ",\n".join(
+        [qm._text_candidates(0.35, 3, **_segment_candidates(mood)), qm._collapse_text("score", "semantic_similarity"), _SEG_OUT]
+    )
+
+
+def reranked_segments_sql(mood: str = "sentiment_label") -> str:
+    collapsed = qm._collapse_text("ce_score", "semantic_cross_encoder").replace("FROM cands", "FROM ranked")
+    return ",\n".join([qm._scored_pairs(qm._PAIR_SQL, **_segment_candidates(mood)), qm._RERANKED, collapsed, _SEG_OUT])
+
+
+_SEMANTIC_SEGMENTS = semantic_segments_sql()
+
+
+@query("cp7_segment_reranked", q.with_(reranked_segments_sql()) + _SEGMENT_ROW + " FROM seg_out")
+def cp7_reranked(spark, d):
+    found = segments.add_segment_semantic(
+        scored_segments(spark, d), qm.encoded_library(spark), vectors.hashed_encoder(qm.DIM), qm.RERANK,
+        plugins.overlap_pair_scorer(),
+    )
+    return qm.rounded(found.select(*_SEGMENT_COLUMNS), "compound", "rule_score")
+
+
 @query("cp7_segment_semantic", q.with_(_SEMANTIC_SEGMENTS) + _SEGMENT_ROW + " FROM seg_out")
 def cp7_semantic(spark, d):
     found = segments.add_segment_semantic(

@@ -15,6 +15,7 @@ from verbatim.functions.patterns import WORD
 from verbatim.operators import curation, taxonomy
 from verbatim.operators.keyword import KeywordIndex
 from verbatim.operators.reshape import union_all
+from verbatim.plans.taxonomy import TaxonomyBuild
 from verbatim.sources import taxonomy as taxonomy_io
 from verbatim.sources.survey import spread
 
@@ -168,6 +169,29 @@ def ag19(spark, d):
     )
 
 
+def _built(spark, d) -> str:
+    """The folder that the build job wrote, library and themes by tasks."""
+    folder = scratch_folder(spark)
+    TaxonomyBuild().run(part_library(spark, d), folder, F.col("p_partkey"))
+    return folder
+
+
+@query("io11_built_library", q.with_(LIBRARY, _SUBTHEMES) + _SUBTHEME_SELECT)
+def io11_library(spark, d):
+    rows = taxonomy_io.read_library_rows(spark, _built(spark, d) + "/enriched")
+    return rows.select(
+        "column", "parent", "theme", "subtheme", F.array_join("keywords_phrases", "¦").alias("phrases"), "default_polarity"
+    )
+
+
+@query("io11_built_themes", q.with_(LIBRARY, *_THEMES) + "SELECT * FROM themes")
+def io11_themes(spark, d):
+    return taxonomy_io.read_theme_rows(spark, _built(spark, d) + "/themes").select(
+        "theme", "subtheme", "parent_theme", "default_polarity", F.array_join("keywords_phrases", "¦").alias("phrases"),
+        F.array_join("likely_columns", "¦").alias("columns"),
+    )
+
+
 @query(
     "io7_keyword_index",
     q.with_(LIBRARY, *_THEMES,

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verbatim.functions.expr import compute_once
+from verbatim.functions.expr import compute_once, explode_rows
 from verbatim.functions.plugins import Encoder, PairScorer
 from verbatim.operators import assignments as out
 from verbatim.operators.semantic import add_candidates, label_candidates, with_vectors
@@ -67,6 +67,20 @@ def add_scored_candidates(
     return add_pair_scores(matched, scorer, settings.pair_template)
 
 
+def candidate_table(
+    long: DataFrame, library: DataFrame, encoder: Encoder | None = None, settings: SemanticSettings = SemanticSettings()
+) -> DataFrame:
+    """The candidates before re-ranking, best first: one row per answer and candidate; dismissed answers have none."""
+    found = add_candidates(
+        with_vectors(long, encoder), library, settings.bi_threshold, settings.bi_top_k, settings.sentiment_weight
+    ).filter(F.coalesce(F.col("is_meaningful"), F.lit(True)))
+    each = explode_rows(found, ["ID", "TextColumn", "text"], F.col("candidates"), "c", "p")
+    return each.select(
+        "ID", "TextColumn", "text", (F.col("p") + 1).alias("rank"), "c.theme", "c.subtheme", "c.parent_theme",
+        "c.matched_phrase", F.col("c.polarity").alias("polarity"), F.col("c.score").alias("score"),
+    )
+
+
 def candidate_scores(scored: DataFrame) -> DataFrame:
     """One row per candidate with its similarity and pair score; dismissed answers have none."""
     return (

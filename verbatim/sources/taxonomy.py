@@ -60,6 +60,46 @@ def write_enriched_library(nested: DataFrame, path: str) -> None:
     write_text(json.dumps(enriched_document(nested), indent=2, ensure_ascii=False), path)
 
 
+LIBRARY_ROWS = (
+    "column string, parent string, theme string, "
+    "subthemes array<struct<name: string, keywords_phrases: array<string>, default_polarity: string>>"
+)
+THEME_ROWS = (
+    "theme string, parent_theme string, subthemes array<struct<name: string, keywords_phrases: array<string>, "
+    "likely_columns: array<string>, default_polarity: string>>"
+)
+
+
+def write_library_rows(subthemes: DataFrame, path: str) -> None:
+    """Write the enriched library as JSON lines, a row per (column, parent, theme): written by tasks, at any size."""
+    one = F.struct(F.col("subtheme").alias("name"), "keywords_phrases", "default_polarity")
+    rows = subthemes.groupBy("column", "parent", "theme").agg(F.array_sort(F.collect_list(one)).alias("subthemes"))
+    rows.write.mode("overwrite").json(path)
+
+
+def read_library_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_library_rows``, one per subtheme."""
+    rows = spark.read.schema(LIBRARY_ROWS).json(path)
+    return rows.select("column", "parent", "theme", F.explode("subthemes").alias("s")).select(
+        "column", "parent", "theme", F.col("s.name").alias("subtheme"), "s.keywords_phrases", "s.default_polarity"
+    )
+
+
+def write_theme_rows(themes: DataFrame, path: str) -> None:
+    """Write the keyword themes as JSON lines, a row per theme."""
+    one = F.struct(F.col("subtheme").alias("name"), "keywords_phrases", "likely_columns", "default_polarity")
+    rows = themes.groupBy("theme", "parent_theme").agg(F.array_sort(F.collect_list(one)).alias("subthemes"))
+    rows.write.mode("overwrite").json(path)
+
+
+def read_theme_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_theme_rows``, one per (theme, subtheme)."""
+    rows = spark.read.schema(THEME_ROWS).json(path)
+    return rows.select("theme", "parent_theme", F.explode("subthemes").alias("s")).select(
+        "theme", F.col("s.name").alias("subtheme"), "parent_theme", "s.keywords_phrases", "s.likely_columns", "s.default_polarity"
+    )
+
+
 def write_themes(themes: DataFrame, path: str) -> None:
     write_yaml(themes_document(themes), path)
 
