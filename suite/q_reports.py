@@ -439,23 +439,23 @@ def cp10(spark, d):
 
 
 # --------------------------------------------------------------------------------------------------------------
-# The job by similarity, and with re-ranking: what it writes, read back
+# The job in each mode: what it writes, read back
 # --------------------------------------------------------------------------------------------------------------
 
 _JOB_COLUMNS = ["ID", "TextColumn", "segment_index", "theme", "subtheme", "rule_score", "expected_polarity", "match_method", "evidence", "reason"]
 
 
-def _similarity_job(spark, d, pair_scorer=None) -> DataFrame:
+def _written_job(spark, d, mode: str = "semantic", pair_scorer=None) -> DataFrame:
     """Assignments and clauses that the job writes; clauses carry their sentiment, answers none."""
     job = SurveyJob(
-        fx.TEXT_COLUMNS, dictionary=_D, mode="semantic", library=qm.encoded_library(spark),
+        fx.TEXT_COLUMNS, dictionary=_D, mode=mode, index=qm.INDEX, keyword=qm.FUZZY, library=qm.encoded_library(spark),
         encoder=vectors.hashed_encoder(qm.DIM), pair_scorer=pair_scorer, semantic=qm.RERANK,
         outputs=OutputSettings(assignments=True, taxonomy_reports=False, sentiment=False, quality_report=False, null_text_details=False,
                                audit=False, segments=True, segmented_analysis=False, segment_summary=False, aspects=False),
     )
     folder = scratch_folder(spark)
     job.write(fx.survey(spark, d), [folder], "parquet")
-    whole = spark.read.parquet(f"{folder}/assignments_semantic").withColumn("segment_index", F.lit(-1))
+    whole = spark.read.parquet(f"{folder}/assignments_{mode}").withColumn("segment_index", F.lit(-1))
     parts = spark.read.parquet(f"{folder}/segments_detailed")
     return qm.rounded(whole.select(*_JOB_COLUMNS).unionByName(parts.select(*_JOB_COLUMNS)), "rule_score")
 
@@ -474,9 +474,15 @@ def _job_sql(answers_sql: str, segments_sql: str) -> str:
 
 @query("cp10_semantic_job", _job_sql(_twin("cp2_semantic_assignments"), q.with_(qs.semantic_segments_sql())))
 def cp10_semantic(spark, d):
-    return _similarity_job(spark, d)
+    return _written_job(spark, d)
 
 
 @query("cp10_reranked_job", _job_sql(_twin("cp3_reranked_assignments"), q.with_(qs.reranked_segments_sql())))
 def cp10_reranked(spark, d):
-    return _similarity_job(spark, d, plugins.overlap_pair_scorer())
+    return _written_job(spark, d, pair_scorer=plugins.overlap_pair_scorer())
+
+
+@query("cp10_keyword_job", _job_sql(_twin("cp1_keyword_fuzzy"), q.with_(qs.keyword_segments_sql(qm.FUZZY))))
+def cp10_keyword(spark, d):
+    """The job by keywords, fuzzy ones included: contents, where cp10_full_job compares the rows of every output."""
+    return _written_job(spark, d, "keyword")

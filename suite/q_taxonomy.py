@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suite import fixture as fx
+from suite import q_text as qt
 from suite import sqltext as q
 from suite.q_quality import LIBRARY
 from suite.registry import query, scratch_folder
@@ -291,13 +292,49 @@ def jn15(spark, d):
     )
 
 
-@query("jn15_greedy_dedupe")
+def _greedy_sql(source: str, columns: str) -> str:
+    """CTEs up to ``kept``(grp, ord, phrase) of ``source``(grp, ord, phrase): a set of words goes if an earlier kept one is similar.
+
+    Candidates share one of their rarest words; a list that grows along the order holds the sets that are gone.
+    """
+    canonical, generic = qt.canonical("phrase"), qt.GENERIC
+    return q.with_(
+        source,
+        f"cn AS (SELECT grp, ord, {canonical} AS phrase FROM src)",
+        f"cl AS (SELECT * FROM cn WHERE phrase <> '' AND NOT coalesce({generic}, FALSE))",
+        f"se AS (SELECT grp, list_sort(list_distinct({q.tokens('lower(phrase)')})) AS s, min(ord) AS id FROM cl GROUP BY ALL HAVING len(s) > 0)",
+        "wo AS (SELECT grp, id, len(s) AS n, unnest(s) AS word FROM se)",
+        "fr AS (SELECT grp, word, count(*) AS df FROM wo GROUP BY ALL)",
+        "od AS (SELECT grp, id, n, list(word ORDER BY df, word) AS ws FROM wo JOIN fr USING (grp, word) GROUP BY grp, id, n)",
+        "px AS (SELECT grp, id, n, unnest(ws[1:n - ceil(round(n * 0.65, 6))::INTEGER + 1]) AS word FROM od)",
+        "ca AS (SELECT DISTINCT a.grp, a.id AS a, b.id AS b FROM px a JOIN px b ON a.grp = b.grp AND a.word = b.word AND a.id < b.id "
+        "AND a.n >= b.n * 0.65 - 1e-9 AND b.n >= a.n * 0.65 - 1e-9)",
+        "pr AS (SELECT ca.grp, a, b FROM ca JOIN od x ON x.grp = ca.grp AND x.id = a JOIN od y ON y.grp = ca.grp AND y.id = b "
+        "WHERE len(list_intersect(x.ws, y.ws)) / (x.n + y.n - len(list_intersect(x.ws, y.ws))) >= 0.65)",
+        "nd AS (SELECT grp, list({'id': b, 'e': e} ORDER BY b) AS nodes FROM (SELECT grp, b, list(a) AS e FROM pr GROUP BY grp, b) GROUP BY grp)",
+        "go AS (SELECT grp, unnest(list_reduce(nodes, lambda gone, x: CASE WHEN len(list_filter(x.e, lambda a: NOT list_contains(gone, a))) > 0 "
+        "THEN list_append(gone, x.id) ELSE gone END, []::BIGINT[])) AS id FROM nd)",
+        "kept AS (SELECT c.* FROM cl c JOIN se ON se.grp = c.grp AND se.id = c.ord LEFT JOIN go ON go.grp = c.grp AND go.id = c.ord WHERE go.id IS NULL)",
+    ) + columns
+
+
+_SENTENCES = (
+    f"src AS (SELECT lang AS grp, doc_id * 1000000 + i - 1 AS ord, trim(regexp_replace(lower(parts[i]), '[^{q.WORD}]+', ' ', 'g')) AS phrase "
+    "FROM (SELECT doc_id, lang, string_split_regex(text, '[.!?\\n]+') AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS u(i))"
+)
+_PARTS = LIBRARY + ",\nsrc AS (SELECT \"column\" || '|' || parent || '|' || theme AS grp, p_partkey AS ord, phrase FROM library)"
+
+
+@query("jn15_greedy_dedupe", _greedy_sql(_SENTENCES, "SELECT * FROM kept WHERE phrase <> ''"))
 def jn15_greedy(spark, d):
     """Greedy near-duplicate removal over every sentence of every document, per language."""
     return curation.dedupe_phrases(sentences(spark, d, "documents", "doc_id", "lang"), ["grp"], "ord")
 
 
-@query("jn15_greedy_dedupe_parts")
+@query(
+    "jn15_greedy_dedupe_parts",
+    _greedy_sql(_PARTS, f'SELECT {KEYS}, polarity, k.phrase, p_partkey FROM kept k JOIN library l ON l.p_partkey = k.ord'),
+)
 def jn15_parts(spark, d):
     lib = part_library(spark, d)
     return curation.dedupe_phrases(lib, ["column", "parent", "theme"], "p_partkey")
