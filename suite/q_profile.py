@@ -177,21 +177,71 @@ def dx9(spark, d):
     return qm.rounded(surface, "entropy", "diversity_pct")
 
 
-@query("dx9_topic_clusters")
+def _clusters_sql(points: str, k: int, rounds: int = 20) -> str:
+    """CTEs up to ``clustered``(id, cluster) of ``points``(id, v): the rounds as a recursion over the list of centres."""
+    nearest = "list_position(gaps, list_min(gaps))"
+    gaps = "list_transform(cs, lambda c: list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+    return ",\n".join(
+        [
+            points,
+            f"c0 AS (SELECT list(v ORDER BY id) AS cs FROM (SELECT id, v FROM points ORDER BY id LIMIT {k}))",
+            "km(round, cs) AS (SELECT 0, cs FROM c0 UNION ALL SELECT any_value(round) + 1, list_transform(range(1, len(any_value(cs)) + 1), "
+            "lambda i: coalesce(list_filter(list({'c': c, 'm': m}), lambda g: g.c = i)[1].m, any_value(cs)[i])) FROM ("
+            "SELECT any_value(round) AS round, any_value(cs) AS cs, c, list(x ORDER BY i) AS m FROM ("
+            "SELECT any_value(round) AS round, any_value(cs) AS cs, c, i, avg(x) AS x FROM ("
+            f"SELECT round, cs, {nearest} AS c, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM ("
+            f"SELECT round, cs, v, {gaps} AS gaps FROM km, points WHERE round < {rounds})) GROUP BY c, i) GROUP BY c) HAVING count(*) > 0)",
+            f"clustered AS (SELECT id, {nearest} - 1 AS cluster FROM (SELECT id, {gaps} AS gaps FROM points, (SELECT cs FROM km ORDER BY round DESC LIMIT 1)))",
+        ]
+    )
+
+
+_VECTOR_POINTS = "points AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+@query(
+    "dx9_topic_clusters",
+    q.with_(_clusters_sql(_VECTOR_POINTS, 10), "cnt AS (SELECT cluster, count(*) AS n FROM clustered GROUP BY cluster)",
+            "p AS (SELECT n / sum(n) OVER () AS p FROM cnt)")
+    + "SELECT count(*) AS topics, round(-sum(p * ln(p)), 6) AS entropy, round(-sum(p * ln(p)) / ln(count(*)) * 100, 6) "
+    "AS diversity_pct FROM p",
+)
 def dx9_clusters(spark, d):
     """Clusters of the supplied vectors, their sizes and entropy."""
-    clustered = profile.cluster_vectors(fx.table(spark, d, "embeddings"), 10, "embedding")
-    return profile.topic_surface(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("count")))
+    clustered = profile.cluster_vectors(fx.table(spark, d, "embeddings"), 10, "embedding", "vec_id")
+    surface = profile.topic_surface(clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("count")))
+    return qm.rounded(surface, "entropy", "diversity_pct")
+
+
+_DOC_POINTS = (
+    f"points AS (SELECT id, {q.unit('h')} AS v FROM (SELECT doc_id AS id, {q.hashed_vector('text', 32)} AS h FROM documents))"
+)
 
 
-@query("dx10_cluster_discovery")
+@query(
+    "dx10_cluster_discovery",
+    q.with_(
+        _clusters_sql(_DOC_POINTS, 6),
+        f"docs AS (SELECT c.cluster, d.text, {q.sentiment_label('s')} AS label FROM (SELECT doc_id, text, {q.lexicon_score('text')} AS s "
+        "FROM documents) d JOIN clustered c ON c.id = d.doc_id)",
+        f"ws AS (SELECT cluster, list_filter(string_split_regex(lower(text), '[^{q.WORD}]+'), lambda w: w <> '' AND w NOT IN "
+        f"{q.in_list(sorted(set(lx.BASE_STOPWORDS)))}) AS w FROM docs)",
+        "ph AS (SELECT cluster, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM ws)",
+        "tops AS (SELECT cluster, phrase, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, phrase) AS rn FROM ph "
+        "GROUP BY cluster, phrase QUALIFY rn <= 3)",
+        "named AS (SELECT cluster, string_agg(phrase, ' | ' ORDER BY rn) AS top_phrases FROM tops GROUP BY cluster)",
+        "sized AS (SELECT cluster, count(*) AS size, count(*) FILTER (label = 'Positive') AS pos_count, "
+        "count(*) FILTER (label = 'Negative') AS neg_count, count(*) FILTER (label = 'Neutral') AS neutral_count FROM docs GROUP BY cluster)",
+    )
+    + "SELECT cluster::INTEGER AS cluster, size, pos_count, neg_count, neutral_count, top_phrases FROM sized LEFT JOIN named USING (cluster)",
+)
 def dx10(spark, d):
     """Clusters of all documents by their hashed vectors, with top word pairs and sentiment mix."""
     docs = spread(fx.table(spark, d, "documents")).select(
         "doc_id", "text", vectors.hashed_encoder(32)(F.col("text")).alias("vector"),
         sentiment_label(lexicon_scorer()(F.col("text"))).alias("sentiment_label"),
     )
-    return profile.describe_clusters(profile.cluster_vectors(docs, 6))
+    return profile.describe_clusters(profile.cluster_vectors(docs, 6, order="doc_id"))
 
 
 @query(

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from verbatim.functions.plugins import PairScorer
 from verbatim.functions.text import split_multi, strip, token_count, tokens
 from verbatim.operators.assignments import join_field
 from verbatim.operators.rerank import format_template
+from verbatim.session import ensure_checkpoint_dir, ship_package
 
 
 def _share(condition: Column) -> Column:
@@ -145,16 +148,63 @@ def topic_surface(counts: DataFrame, count: str = "count") -> DataFrame:
     return staged.withColumn("diversity_pct", diversity)
 
 
-def cluster_vectors(df: DataFrame, k: int, vector: str = "vector", seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Add ``cluster`` by k-means over an array column."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
-    features = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="cluster").fit(
-        features.select("_features")
-    )
-    return model.transform(features).drop("_features")
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the first of equally near ones."""
+    gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    return gaps.argmin(axis=1)
+
+
+def cluster_vectors(df: DataFrame, k: int, vector: str = "vector", order: str = "id", rounds: int = 20) -> DataFrame:
+    """Add ``cluster`` by k-means over an array column.
+
+    The first ``k`` vectors by ``order`` are the first centres, so the result does not depend on how rows are dealt. A round
+    sums the vectors per nearest centre, batch by batch in the tasks; ``k`` centres are all that comes to the driver. It
+    ends when no centre moves. A centre without vectors stays where it is; a null vector has no cluster.
+    """
+    vectors = df.filter(F.col(vector).isNotNull()).select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    first = vectors.orderBy("o").limit(k).collect()
+    if not first:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    ship_package(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
+    vectors = vectors.select("v").checkpoint()
+    centres = np.array([r["v"] for r in first])
+    for _ in range(rounds):
+        now = centres
+
+        def sums(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(0))
+                    own = _nearest(x, now)
+                    met = np.unique(own)
+                    total = pa.array([x[own == c].sum(axis=0) for c in met], pa.list_(pa.float64()))
+                    size = pa.array([int((own == c).sum()) for c in met], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), size, total], ["cluster", "n", "total"])
+
+        parts = vectors.mapInArrow(sums, "cluster int, n bigint, total array<double>")
+        each = parts.select("cluster", "n", F.posexplode("total").alias("i", "x"))
+        moved = each.groupBy("cluster", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        centres = now.copy()
+        for r in moved.collect():
+            centres[r["cluster"], r["i"]] = r["x"]
+        if np.allclose(centres, now, rtol=0, atol=1e-12):
+            break
+    found = centres
+
+    @F.arrow_udf("int")
+    def cluster(lists: pa.Array) -> pa.Array:
+        there = lists.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(lists), np.int32)
+        if there.any():
+            out[there] = _nearest(_matrix(lists.filter(pa.array(there))), found)
+        return pa.array(out, mask=~there)
+
+    return df.withColumn("cluster", cluster(F.col(vector).cast("array<double>")))
 
 
 def describe_clusters(
