@@ -12,7 +12,7 @@ from suite import sqltext as q
 from suite.q_text import FREQUENCY, frequency_token_filter
 from suite.registry import TWINS, query, scratch_folder
 from verbatim.functions import plugins, vectors
-from verbatim.operators import frequency, keyword, quality, reports, semantic
+from verbatim.operators import frequency, keyword, quality, reports, semantic, sketches
 from verbatim.operators.reshape import response_long
 from verbatim.plans.job import SurveyJob
 from verbatim.settings import FrequencySettings, KeywordSettings, OutputSettings, SemanticSettings, SentimentSettings
@@ -362,6 +362,40 @@ def rk6(spark, d):
     return frequency.top_tokens(counts, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "rk6_frequent_tokens",
+    q.with_('docs AS (SELECT lang AS "TextColumn", text FROM documents)', _frequency_ctes("docs", False))
+    + 'SELECT "TextColumn", token, count, row_number() OVER (PARTITION BY "TextColumn" ORDER BY count DESC, token) '
+    "AS rank FROM freq QUALIFY rank <= 10",
+)
+def rk6_frequent(spark, d):
+    """The same with counters of a bounded number per task."""
+    docs = spread(fx.table(spark, d, "documents")).select(F.col("lang").alias("TextColumn"), "text")
+    top = frequency.frequent_tokens(docs, _D, 10, FrequencySettings(keep_phrases_only=False), capacity=2_000)
+    return top.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "ag14_view_metrics_sketch",
+    q.with_(VIEW)
+    + 'SELECT "TextColumn", count(*) AS rows, TRUE AS ids_close, TRUE AS median_close FROM view_ GROUP BY ALL',
+)
+def ag14_sketch(spark, d):
+    """Sketches per facet, merged per text column; held against the exact numbers within the stated errors."""
+    table = view(spark, d)
+    merged = sketches.merged_metrics(sketches.facet_sketches(table, ["TextColumn", "match_method"], "ID", "rule_score"), ["TextColumn"])
+    exact = table.groupBy("TextColumn").agg(F.count_distinct("ID").alias("ids"))
+    ranks = table.join(merged.select("TextColumn", F.col("quantiles")[1].alias("median")), "TextColumn").groupBy("TextColumn").agg(
+        F.avg((F.col("rule_score") < F.col("median")).cast("int")).alias("below"),
+        F.avg((F.col("rule_score") <= F.col("median")).cast("int")).alias("up_to"),
+    )
+    error = sketches.RANK_ERROR
+    return merged.join(exact, "TextColumn").join(ranks, "TextColumn").select(
+        "TextColumn", "rows", (F.abs(F.col("unique_ids") - F.col("ids")) <= sketches.DISTINCT_ERROR * F.col("ids")).alias("ids_close"),
+        ((F.col("below") <= 0.5 + error) & (F.col("up_to") >= 0.5 - error)).alias("median_close"),
+    )
+
+
 @query(
     "rk6_most_common_order",
     q.with_('docs AS (SELECT lang AS "TextColumn", text FROM documents)', _frequency_ctes("docs", True))

@@ -167,3 +167,59 @@ def test_fingerprints_of_parts_add_up(spark):
     changed = df.withColumn("a", F.when(F.col("b") == 7, "x").otherwise(F.col("a")))
     assert table_fingerprint(changed).first() != whole
     assert table_fingerprint(df.filter("b < 0")).first()[:] == (0, 0, 0)
+
+
+def test_frequent_tokens_are_exact_with_few_counters(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(400)]
+    texts = [(lang, " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(400)], k=60))) for lang in ("a", "b") for _ in range(120)]
+    df = spark.createDataFrame(texts, "TextColumn string, text string").repartition(6)
+    settings = FrequencySettings(keep_phrases_only=False, min_freq=1)
+    d = TextDictionary.from_config({})
+    want = sorted(map(tuple, frequency.top_tokens(frequency.token_frequencies(df, d, settings), 5).select("TextColumn", "token", "count").collect()))
+    for capacity in (3, 40, 120, 10_000):
+        got = frequency.frequent_tokens(df, d, 5, settings, capacity)
+        assert sorted(map(tuple, got.select("TextColumn", "token", "count").collect())) == want, capacity
+    assert frequency.frequent_tokens(df.filter("text is null"), d, 5, settings).count() == 0
+
+
+def test_sketches_merge_within_their_errors(spark):
+    from verbatim.operators import sketches
+
+    df = spark.range(40_000).select(
+        (F.col("id") % 7_000).alias("ID"), (F.col("id") % 4).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"),
+        F.when(F.col("id") % 10 != 0, F.rand(3)).alias("v"),
+    ).cache()
+    stored = sketches.facet_sketches(df, ["a", "b"], "ID", "v")
+    assert stored.count() == 12
+    for condition in ("true", "a = '1'", "a = '1' and b <> '2'", "a = 'x'"):
+        part = df.filter(condition)
+        row = sketches.merged_metrics(stored.filter(condition)).first()
+        ids = part.select("ID").distinct().count()
+        assert row.rows == part.count() and abs(row.unique_ids - ids) <= sketches.DISTINCT_ERROR * ids
+        for rank, value in zip(sketches.QUANTILES, row.quantiles, strict=True):
+            if ids:
+                below = part.filter(F.col("v") < value).count() / part.filter("v is not null").count()
+                assert abs(below - rank) <= sketches.RANK_ERROR
+            else:
+                assert value is None
+
+
+def test_taxonomy_build_stops_on_errors(spark, tmp_path):
+    from verbatim.plans.taxonomy import TaxonomyBuild, TaxonomyErrors
+    from verbatim.sources.taxonomy import read_library_rows, read_theme_rows
+
+    columns = "`column` string, parent string, theme string, subtheme string, polarity string, phrase string"
+    good = [("c", "p", "t", "s", "Either", "one two"), ("c", "p", "t", "s", "Positive", "three")]
+    library = spark.createDataFrame(good + [("c", None, "t", "s", "Either", "x")], columns)
+    with pytest.raises(TaxonomyErrors, match="parent"):
+        TaxonomyBuild().run(library, str(tmp_path / "x"))
+    assert not (tmp_path / "x").exists()
+    issues = TaxonomyBuild(allow_errors=True).run(library, str(tmp_path / "y"))
+    assert any(i[0] == "error" for i in issues)
+    row = read_library_rows(spark, str(tmp_path / "y" / "enriched")).first()
+    assert (row.subtheme, row.keywords_phrases) == ("s", ["one two", "three"])
+    assert read_theme_rows(spark, str(tmp_path / "y" / "themes")).count() == 1
+    assert TaxonomyBuild(validate_only=True).run(spark.createDataFrame(good, columns), str(tmp_path / "z")) == [] and not (tmp_path / "z").exists()
