@@ -79,3 +79,36 @@ def test_four_thousand_documents_of_a_class_are_learned_from(spark):
     rows = toxicity.training_sample(docs, labels, toxicity.Settings(), "doc_id", "text", "toxic")
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     assert all(3800 < sizes[y] < 4200 for y in (0, 1))
+
+
+def test_scores_against_windows_one_by_one():
+    """The score of whole texts against softmax over each window, its words' n-gram vectors averaged by hand."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    s = toxicity.Settings(buckets=257, dim=3)
+    gen = np.random.default_rng(2)
+    model = toxicity.Model(gen.normal(size=(s.buckets, s.dim)).astype(np.float32), gen.normal(size=(2, s.dim)).astype(np.float32), gen.normal(size=2).astype(np.float32))
+    texts = [" ".join(rng.choice(["Good", "bad", "baaad", "é日", "x", "word"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(0, 40))) for _ in range(100)]
+
+    def brute(text):
+        words = toxicity.words_of(text)
+        if not words:
+            return 0.0
+        starts = list(range(0, max(len(words) - s.window, 0) + 1, s.window))
+        best = -np.inf
+        for a, b in zip(starts, [*starts[1:], len(words)], strict=True):
+            window = words[a:b]
+            mean = np.zeros(s.dim)
+            for w in set(window):
+                flat, _ = toxicity.subwords([w], s)
+                mean += model.vectors[flat].astype(np.float64).mean(axis=0) / len(window)
+            odds = mean @ (model.weights[1] - model.weights[0]) + model.bias[1] - model.bias[0]
+            best = max(best, float(odds))
+        return 1 / (1 + np.exp(-best))
+
+    slopes = model.slopes()
+    got = toxicity.score_texts(texts, slopes, model.offset(), s, toxicity.WordOdds(slopes, s))
+    assert np.allclose(got, [brute(t) for t in texts], atol=1e-5)
