@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from suite import fixture as fx
 from suite import fuzzysql
 from suite import sqltext as q
-from suite.registry import query
+from suite.registry import query, scratch_folder
 from verbatim.functions import plugins, vectors
 from verbatim.functions.expr import explode_rows
 from verbatim.functions.text import match_normalise, tokens
-from verbatim.operators import fuzzy, keyword, rerank, semantic
+from verbatim.operators import encoded, fuzzy, keyword, rerank, semantic
 from verbatim.operators import quality as quality_ops
 from verbatim.operators.reshape import matching_long
 from verbatim.settings import KeywordSettings, SemanticSettings
@@ -647,6 +647,24 @@ def ud2(spark, d):
     return encoded.select("doc_id", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
+@query(
+    "ud2_encode_once",
+    q.with_(q.survey(), q.survey_long(),
+            f"h AS (SELECT text, {q.hashed_vector('text', DIM)} AS h FROM (SELECT DISTINCT coalesce(text, '') AS text FROM long))",
+            f"u AS (SELECT text, {q.unit('h')} AS v FROM h)")
+    + 'SELECT l."ID", l."TextColumn", round(list_max(u.v), 6) AS largest, len(list_filter(u.v, lambda x: x > 0))::INTEGER AS filled '
+    "FROM long l JOIN u ON u.text = coalesce(l.text, '')",
+)
+def ud2_once(spark, d):
+    """Vectors of all answers through a store by content, filled from a half of them first."""
+    store = scratch_folder(spark) + "/vectors"
+    long = raw_answers(spark, d).select("ID", "TextColumn", "text")
+    encoded.add_vectors(long.filter("ID % 2 = 0"), vectors.hashed_encoder(DIM), store)
+    out = encoded.add_vectors(long, vectors.hashed_encoder(DIM), store)
+    filled = F.size(F.filter("vector", lambda x: x > 0))
+    return out.select("ID", "TextColumn", F.round(F.array_max("vector"), 6).alias("largest"), filled.alias("filled"))
+
+
 @query(
     "ud3_overlap_pair_scorer",
     q.with_(q.survey(),

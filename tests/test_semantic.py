@@ -90,3 +90,29 @@ def test_model_encoder(spark):
     enc = plugins.model_encoder(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
     df = spark.createDataFrame([("abc",), (None,)], "t string")
     assert [r["v"] for r in df.select(enc(F.col("t")).alias("v")).collect()] == [[3.0, 1.0], None]
+
+
+def test_each_distinct_text_is_encoded_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from verbatim.functions import vectors
+    from verbatim.operators import encoded
+
+    path, seen = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counting(text):
+        seen.add(1)
+        return text
+
+    encoder = lambda c: vectors.hashed_encoder(8)(counting(c))
+    rows = [(1, "one two"), (2, "one two"), (3, None), (4, ""), (5, "three")]
+    df = spark.createDataFrame(rows, "ID int, text string").repartition(3)
+    first = sorted(map(str, encoded.add_vectors(df, encoder, path).collect()))
+    assert seen.value == 3
+    assert sorted(map(str, encoded.add_vectors(df, encoder, path).collect())) == first and seen.value == 3
+    more = df.unionByName(spark.createDataFrame([(6, "four"), (7, "three")], "ID int, text string"))
+    out = {r.ID: r.vector for r in encoded.add_vectors(more, encoder, path).collect()}
+    assert seen.value == 4 and out[7] == out[5] and out[3] is None and out[1] == out[2]
+    want = {r.ID: r.v for r in more.select("ID", vectors.hashed_encoder(8)(F.col("text")).alias("v")).collect()}
+    assert out == want

@@ -436,15 +436,3 @@ def add_fuzzy_matches(df: DataFrame, text: str, slots: list[FuzzySlot], threshol
     table = table.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("found").alias(name))
     keyed = df.withColumns(dict(zip(("_t1", "_t2"), text_id(F.col(text)), strict=True)))
     return keyed.join(table, ["_t1", "_t2"], "left").select(*df.columns, name)
-
-
-def contains_keyword(text: Column, keyword: Column) -> Column:
-    """Substring containment of the normalised keyword in the normalised text."""
-    return (text != "") & (keyword != "") & F.contains(text, keyword)
-
-
-def scattered_match(text_words: Column, keyword_words: Column) -> Column:
-    """Every keyword word contains, or is contained in, some word of the text; multi-word keywords only."""
-    return (F.size(keyword_words) > 1) & F.forall(
-        keyword_words, lambda k: F.exists(text_words, lambda w: F.contains(w, k) | F.contains(k, w))
-    )

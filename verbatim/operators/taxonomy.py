@@ -7,6 +7,7 @@ they are built from distinct phrases.
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,8 +81,11 @@ def enriched_subthemes(
     )
 
 
-def nest_library(subthemes: DataFrame) -> DataFrame:
-    """One row per column: ``(column, description, parents[...])``, all levels in name order."""
+def nest_library(subthemes: DataFrame, descriptions: Mapping[str, str] = lx.COLUMN_DESCRIPTIONS) -> DataFrame:
+    """One row per column: ``(column, description, parents[...])``, all levels in name order.
+
+    A column that ``descriptions`` does not name gets a general one.
+    """
     themes = subthemes.groupBy("column", "parent", "theme").agg(
         F.array_sort(
             F.collect_list(F.struct(F.col("subtheme").alias("name"), "keywords_phrases", "default_polarity"))
@@ -94,7 +98,7 @@ def nest_library(subthemes: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("parent").alias("parent_name"), "themes"))).alias("parents")
     )
     known = F.lit(None).cast("string")
-    for name, text in lx.COLUMN_DESCRIPTIONS.items():
+    for name, text in descriptions.items():
         known = F.when(F.col("column") == name, text).otherwise(known)
     description = F.coalesce(known, F.concat(F.lit("Themes for "), F.col("column")))
     return columns.select("column", description.alias("description"), "parents")
