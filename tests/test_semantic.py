@@ -116,3 +116,62 @@ def test_each_distinct_text_is_encoded_once(spark, tmp_path):
     assert seen.value == 4 and out[7] == out[5] and out[3] is None and out[1] == out[2]
     want = {r.ID: r.v for r in more.select("ID", vectors.hashed_encoder(8)(F.col("text")).alias("v")).collect()}
     assert out == want
+
+
+def test_best_columns_order_and_ties():
+    from verbatim.operators.blocked import best_columns
+
+    rng = np.random.default_rng(3)
+    for width, k in [(1, 3), (5, 5), (40, 3), (40, 39)]:
+        scores = np.round(rng.normal(size=(50, width)), 1)
+        scores[0] = 0.5
+        scores[1, 0] = np.nan
+        filled = np.where(np.isnan(scores), -np.inf, scores)
+        assert (best_columns(scores, k) == np.argsort(-filled, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_cell_bounds_hold():
+    from verbatim.operators.blocked import cell_bounds, nearest_centres
+
+    rng = np.random.default_rng(4)
+    unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(axis=1, keepdims=True))
+    phrases, answers = unit(rng.normal(size=(300, 5))), unit(rng.normal(size=(80, 5)))
+    phrases[3], answers[7] = 0.0, 0.0
+    centres = phrases[:12]
+    centre, angle = nearest_centres(phrases, centres)
+    radii = np.array([angle[centre == c].max(initial=0.0) for c in range(12)])
+    bounds = cell_bounds(answers, centres, radii)
+    for c in range(12):
+        assert (answers @ phrases[centre == c].T <= bounds[:, [c]]).all()
+
+
+def test_blocked_library_equals_broadcast(spark, monkeypatch):
+    """Clustered phrases, ties, copies of an answer, rows without vector or column: the same candidates both ways."""
+    from verbatim.operators import blocked
+
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(10, 8)) * 4
+    near = lambda: (middles[rng.integers(10)] + rng.normal(size=8) * 0.3).tolist()
+    lib = [(i, f"c{i % 2}", "p", f"t{i}", f"s{i}", ["Either", "Positive", "Negative"][i % 3], f"phrase {i}", near()) for i in range(400)]
+    lib += [(400 + i, *lib[i][1:]) for i in range(40)]
+    lib.append((440, "c0", "p", "t", "zero", "Either", "zero", [0.0] * 8))
+    hot = near()
+    rows = [
+        (i, None if i == 5 else f"c{i % 3}", "x", True, None, ["Positive", "Negative", None][i % 3], None if i == 9 else hot if i % 2 else near())
+        for i in range(150)
+    ]
+    library = spark.createDataFrame(lib, LIB)
+    df = spark.createDataFrame(rows, ROWS).withColumns({"column": F.lit("mine"), "k1": F.lit(1), "a.b": F.col("ID")})
+    counted = []
+    plain = blocked._visits
+    monkeypatch.setattr(blocked, "_visits", lambda *a: counted.append(plain(*a)) or counted[-1])
+    brief = lambda d: {r["ID"]: r["candidates"] and [(c["phrase_idx"], round(c["score"], 8), c["subtheme"]) for c in r["candidates"]] for r in d.collect()}
+    want = brief(semantic.add_candidates(df, library, 0.3, 5))
+    found = semantic.add_candidates(df, library, 0.3, 5, max_broadcast_bytes=20 * 8 * 8)
+    assert brief(found) == want and len(want) == 150
+    assert want[9] is None and want[5] == [] and set(df.columns) < set(found.columns)
+    # A column has phrases at nearly all of the 23 centres; bounds leave well below half of these cells to visit.
+    asked = counted[0].select("k1", "k2").distinct().count()
+    assert sum(v.count() for v in counted) < 0.5 * asked * 23
+    nothing = semantic.add_candidates(df.filter("ID < 0"), library, 0.3, 5, max_broadcast_bytes=640)
+    assert nothing.count() == 0

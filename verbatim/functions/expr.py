@@ -35,7 +35,8 @@ def compute_all(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     copied into it. Nothing is pushed below a generator's output, and generating one row costs next to nothing.
     """
     row = F.struct(*[c.alias(n) for n, c in values.items()])
-    return df.select(*[c for c in df.columns if c not in values], F.inline(F.array(row)))
+    others = ["`" + c.replace("`", "``") + "`" for c in df.columns if c not in values]
+    return df.select(*others, F.inline(F.array(row)))
 
 
 def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each answer is compared with every phrase of its own text column. The phrase side is a matrix whose size is checked
 before it is broadcast; one matrix product per Arrow batch gives all similarities of the batch, and only the best few per
-answer leave the Python worker, so the (answer, phrase) pairs are never rows. A library beyond the limit is taken in
-chunks, each broadcast in turn, with the running best candidates kept on the row.
+answer leave the Python worker, so the (answer, phrase) pairs are never rows. A library beyond the limit is not collected: its
+phrases meet the answers block by block, under bounds that rule most blocks out (``operators/blocked.py``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from verbatim.functions.expr import compute_once
 from verbatim.functions.plugins import Encoder
 from verbatim.operators import assignments as out
-from verbatim.session import ensure_checkpoint_dir
+from verbatim.operators.blocked import add_blocked_candidates
 from verbatim.settings import SemanticSettings
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -47,8 +47,10 @@ class PhraseMatrix:
 
     @classmethod
     def collect(cls, library: DataFrame) -> PhraseMatrix:
-        rows = library.select(*PHRASE_COLUMNS).orderBy("phrase_idx").toArrow().to_pylist()
-        vectors = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        table = library.select(*PHRASE_COLUMNS).orderBy("phrase_idx").toArrow().combine_chunks()
+        flat = [np.asarray(c.flatten(), dtype=np.float64) for c in table.column("vector").chunks]
+        vectors = np.concatenate(flat).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
+        rows = table.drop_columns(["vector"]).to_pylist()
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
         labels = {
@@ -129,14 +131,6 @@ def _top_candidates(
     return match(vector, text_column, label)
 
 
-def _merge(a: Column, b: Column, top_k: int) -> Column:
-    """Best of two candidate arrays, by score and then phrase position."""
-    keyed = F.transform(
-        F.concat(a, b), lambda c: F.struct((-c["score"]).alias("neg"), c["phrase_idx"].alias("idx"), c.alias("c"))
-    )
-    return F.transform(F.slice(F.array_sort(keyed), 1, top_k), lambda k: k["c"])
-
-
 def add_candidates(
     df: DataFrame,
     library: DataFrame,
@@ -161,20 +155,12 @@ def add_candidates(
         matrix = spark.sparkContext.broadcast(vars(PhraseMatrix.collect(part)))
         return _top_candidates(F.col(vector), F.col("TextColumn"), mood, matrix, threshold, top_k, sentiment_weight)
 
-    chunk = max(1, max_broadcast_bytes // (dim * 8))
-    if n <= chunk:
+    if n * dim * 8 <= max(max_broadcast_bytes, dim * 8):
         return compute_once(df, "candidates", pick(library))
-    ensure_checkpoint_dir(spark)
-    out_df = df.withColumn("candidates", F.when(F.col(vector).isNotNull(), F.array().cast(CANDIDATE_SCHEMA)))
-    for start in range(0, n, chunk):
-        part = library.filter(F.col("phrase_idx").between(start, start + chunk - 1))
-        out_df = (
-            out_df.withColumn("_more", pick(part))
-            .withColumn("candidates", _merge(F.col("candidates"), F.col("_more"), top_k))
-            .drop("_more")
-            .checkpoint()
-        )
-    return out_df
+    return add_blocked_candidates(
+        df, library, CANDIDATE_SCHEMA, threshold, top_k, sentiment_weight, vector, mood, n, len(known_columns(library)), dim,
+        max_broadcast_bytes,
+    )
 
 
 def collapse_candidates(candidates: Column, method: str, score: str, delimiter: str) -> dict[str, Column]:
