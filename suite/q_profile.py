@@ -14,7 +14,7 @@ from suite.registry import query
 from verbatim import lexicons as lx
 from verbatim.functions import plugins, vectors
 from verbatim.functions.sentiment import lexicon_probs, lexicon_scorer, sentiment_label
-from verbatim.operators import profile, semantic
+from verbatim.operators import labels, profile, semantic
 from verbatim.sources.survey import spread
 
 _MENTIONS = (
@@ -281,6 +281,55 @@ def dx14(spark, d):
     return profile.classify_vectors(vecs, vecs, "embedding").select("vec_id", "label", "predicted")
 
 
+def _labels_sql(rounds: int = 40) -> str:
+    """CTEs up to ``judged``: the rounds as a recursion over weights (label, component), then thresholds and counts."""
+    step = "(4.0 / (SELECT avg(list_sum(list_transform(v, lambda x: x * x))) FROM train) / (SELECT count(*) FROM train))"
+    return ",\n".join(
+        [
+            "marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)",
+            f"hashed AS (SELECT doc_id, lang, {q.unit('h')} AS u FROM (SELECT doc_id, lang, {q.hashed_vector('text', 64)} AS h FROM documents))",
+            "pts AS (SELECT d.doc_id AS id, list_append(u, 1.0::DOUBLE) AS v, list_filter([lang, CASE WHEN quality = 1 THEN 'good' END, "
+            "CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS own, "
+            "('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT % 10 AS fold FROM hashed d LEFT JOIN marks USING (doc_id))",
+            "train AS (SELECT * FROM pts WHERE fold > 3)",
+            "names AS (SELECT DISTINCT unnest(own) AS label FROM train)",
+            "long AS MATERIALIZED (SELECT id, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM train)",
+            "truth AS MATERIALIZED (SELECT id, label, list_contains(own, label)::INT AS y FROM train, names)",
+            f"size AS MATERIALIZED (SELECT {step} AS step)",
+            "w(round, label, i, w) AS (SELECT 0, label, i, 0.0::DOUBLE FROM names, (SELECT DISTINCT i FROM long) UNION ALL "
+            "SELECT w.round + 1, w.label, w.i, w.w - step * g.g FROM w, size, (SELECT e.label, l.i, sum(e.e * l.x) AS g FROM "
+            "(SELECT z.id, z.label, 1 / (1 + exp(-z.z)) - t.y AS e FROM (SELECT l.id, w.label, sum(w.w * l.x) AS z FROM long l "
+            "JOIN w ON w.i = l.i GROUP BY l.id, w.label) z JOIN truth t ON t.id = z.id AND t.label = z.label) e "
+            f"JOIN long l ON l.id = e.id GROUP BY e.label, l.i) g WHERE w.round < {rounds} AND g.label = w.label AND g.i = w.i)",
+            f"model AS (SELECT label, list(w ORDER BY i) AS w FROM w WHERE round = {rounds} GROUP BY label)",
+            "scored AS (SELECT fold < 2 AS held, label, list_contains(own, label) AS y, "
+            "least(floor(20 / (1 + exp(-list_dot_product(v, w)))), 19) AS place FROM pts, model WHERE fold < 4)",
+            "table_ AS (SELECT held, label, step, count(*) FILTER (place >= step AND y) AS tp, count(*) FILTER (place >= step AND NOT y) "
+            "AS fp, count(*) FILTER (place < step AND y) AS fn FROM scored, range(1, 20) r(step) GROUP BY ALL)",
+            "rated AS (SELECT *, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1 FROM table_)",
+            "chosen AS (SELECT label, step FROM rated WHERE NOT held QUALIFY row_number() OVER (PARTITION BY label ORDER BY "
+            "round(coalesce(f1, 0), 12) DESC, abs(step - 10), step) = 1)",
+            "judged AS (SELECT r.* FROM rated r JOIN chosen USING (label, step) WHERE held)",
+        ]
+    )
+
+
+@query(
+    "dx14_label_metrics",
+    q.with_(_labels_sql())
+    + "SELECT label, step / 20 AS threshold, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, "
+    "round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall, round(f1, 6) AS f1 FROM judged",
+)
+def dx14_metrics(spark, d):
+    """Language, quality and toxicity of all documents, learned at once from hashed vectors and judged on held-out documents."""
+    marks = fx.table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = spread(fx.table(spark, d, "documents")).join(marks, "doc_id", "left").select(
+        "doc_id", vectors.hashed_encoder(64)(F.col("text")).alias("vector"),
+        F.array_compact(F.array("lang", F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("labels"),
+    )
+    return qm.rounded(labels.train_and_judge(docs, "doc_id", "vector", "labels")[1], "precision", "recall", "f1")
+
+
 _THEMES = ["late delivery", "high prices", "good quality", "friendly staff", "slow app", "refund"]
 _HYPOTHESES = [f"This response is about {t}" for t in _THEMES]
 
