@@ -68,3 +68,42 @@ def test_pipeline_stages_take_effect(spark):
     texts = kept[4].select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("t")).distinct()
     assert last.join(texts, "doc_id").filter("t = decoded_sha256").count() == sum(ids[4].values())
     assert [n for n, _ in cp.STAGES] == ["toxicity", "quality rules", "MinHash near-dedup", "mixing sources to target weights", "BPE encoding and decoding"]
+
+
+def _tables(spark, path, rows, marks):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, `kept.x` string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, copies, names the stages use themselves: clean texts stay, one of each group of copies."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    words = "river stone market garden letter window winter bridge morning paper music travel history animal forest".split()
+    prose = lambda: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(90))
+    texts = [prose() for _ in range(40)]
+    row = lambda i, t, **k: (i, t, k.get("lang", "en"), k.get("source", "a"), None, 0.5, "x", None)
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    rows += [row(100 + i, texts[i], source=None) for i in range(5)]  # exact copies from elsewhere
+    rows += [row(200, None), row(201, ""), row(202, "too short"), row(203, prose(), lang=None, source=None)]
+    marks = [(i, 1, 0) for i in range(30)] + [(200, None, 0), (201, 1, None)]
+    sf = _tables(spark, tmp_path, rows, marks)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES[:3]:
+        columns = docs.columns
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns, name
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == [*range(40), 203]
+    out = cp.run(spark, sf).collect()
+    assert {r.doc_id for r in out} <= {*range(40), 203} and all(len(r.ids) == r.n_tokens > 0 for r in out)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    assert cp.run(spark, _tables(spark, tmp_path, [], [])).count() == 0
