@@ -9,8 +9,10 @@ from suite import fixture as fx
 from suite import sqltext as q
 from suite.registry import query, scratch_folder
 from verbatim import lexicons as lx
+from verbatim.functions.sentiment import lexicon_scorer, sentiment_label
 from verbatim.operators import quality as ops
 from verbatim.operators.reshape import matching_long, response_long, row_fingerprint, table_fingerprint
+from verbatim.plans.reuse import reused
 from verbatim.sources import results, survey as survey_io, taxonomy as taxonomy_io
 from verbatim.sources.dictionary import TextDictionary, read_dictionary
 from verbatim.sources.files import write_yaml
@@ -298,3 +300,21 @@ def _digest(at: int) -> str:
 )
 def rs6_table(spark, d):
     return table_fingerprint(fx.table(spark, d, "documents"))
+
+
+@query(
+    "rs6_reused_results",
+    f"SELECT doc_id, {q.sentiment_label('s')} AS label, round(s, 6) AS score FROM "
+    f"(SELECT doc_id, {q.lexicon_score('text')} AS s FROM documents)",
+)
+def rs6_reused(spark, d):
+    """Sentiment of all documents through a store that was filled before the texts of one language changed."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "lang", "text")
+    store = scratch_folder(spark) + "/results"
+
+    def scores(rows):
+        score = lexicon_scorer()(F.col("text"))
+        return rows.select("doc_id", sentiment_label(score).alias("label"), F.round(score, 6).alias("score"))
+
+    reused(docs.withColumn("text", F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text"))), scores, store, "doc_id")
+    return reused(docs, scores, store, "doc_id")

@@ -77,8 +77,8 @@ def row_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Colu
     return F.sha2(F.to_json(F.struct(*[F.col(n) for n in names])), 256)
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One order-independent fingerprint row per table, usable as a result-cache key.
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by: dict[str, Column] | None = None) -> DataFrame:
+    """One order-independent fingerprint row per table, or per value of ``by``, usable as a result-cache key.
 
     Each row's values, as text with their lengths, go through MD5; two 52-bit parts of the digests are summed. Sums add up, so
     the fingerprint of a table is that of its parts (``combined_fingerprint``), and any engine with MD5 gets the same.
@@ -88,7 +88,9 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
     digest = F.md5(F.concat_ws("|", *marked).cast("binary"))
     parts = [F.conv(F.substring(digest, at, 13), 16, 10).cast("decimal(38,0)") for at in (1, 14)]
-    return df.select(parts[0].alias("a"), parts[1].alias("b")).agg(
+    groups = by or {}
+    hashed = df.select(*[c.alias(n) for n, c in groups.items()], parts[0].alias("a"), parts[1].alias("b"))
+    return hashed.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"), *[_modulo(F.sum(c)).alias(f"digest_{c}") for c in ("a", "b")]
     )
 
