@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from verbatim.functions.expr import compute_once
 from verbatim.functions.plugins import Encoder
 from verbatim.operators import assignments as out
-from verbatim.operators.blocked import add_blocked_candidates
+from verbatim.operators.blocked import add_blocked_candidates, best_columns
+from verbatim.session import ship_package
 from verbatim.settings import SemanticSettings
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
@@ -105,7 +106,7 @@ def _top_candidates(
                         aligned = (mood != "") & (either[phrases] | (signed[phrases] & (polarity[phrases] == mood)))
                         scores = scores + weight * aligned
                     scores = np.round(scores, _RANK_DECIMALS)
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :top_k]
+                    best = best_columns(scores, top_k)
                     best_scores = np.take_along_axis(scores, best, axis=1)
                     keep = best_scores >= threshold
                     picked_row.append(np.repeat(block, keep.sum(axis=1)))
@@ -151,7 +152,8 @@ def add_candidates(
     mood = F.col(label) if label in df.columns else F.lit(None).cast("string")
 
     def pick(part: DataFrame) -> Column:
-        # Plain arrays: the workers need no copy of this package to read them.
+        # Plain arrays, not the class: cheap to read in every worker.
+        ship_package(spark)
         matrix = spark.sparkContext.broadcast(vars(PhraseMatrix.collect(part)))
         return _top_candidates(F.col(vector), F.col("TextColumn"), mood, matrix, threshold, top_k, sentiment_weight)
 
