@@ -95,3 +95,39 @@ def test_formulas_and_drawings_are_text(forest):
     # A block ends a formula that is not closed.
     page = html_main.parse("<div>a <math><mi>b</mi><p>c</p><p>d</p></div>")
     assert [t for t in page.texts if t] == ["a b", "c", "d"] and page.tags.count("p") == 2
+
+
+def test_text_runs_against_a_walk_of_the_tree():
+    """Random trees and random kept runs: marks at both edges of every block, then split, against the single pass."""
+    rng = np.random.default_rng(9)
+    tags = ["div", "p", "b", "i", "a", "section", "li", "span"]
+
+    def made(depth):
+        out = []
+        for _ in range(int(rng.integers(1, 5))):
+            pick = rng.integers(8)
+            if pick < 4 or depth > 4:
+                out.append(f"{' ' * int(rng.integers(2))}w{rng.integers(99)}{' ' * int(rng.integers(2))}")
+            elif pick == 4:
+                out.append("<br>")
+            else:
+                tag = tags[int(rng.integers(len(tags)))]
+                out.append(f"<{tag}>{made(depth + 1)}</{tag}>")
+        return "".join(out)
+
+    for _ in range(200):
+        page = html_main.parse(f"<html><body>{made(0)}</body></html>")
+        keep = (rng.random(len(page.tags)) < 0.7).tolist()
+        below = {i: [j for j, up in enumerate(page.parents) if up == i] for i in range(-1, len(page.tags))}
+
+        def walk(i):
+            tag = page.tags[i]
+            if tag == "br":
+                return " "
+            if tag == " " or tag == html_main.TEXT:
+                return page.texts[i] if tag == " " or keep[i] else ""
+            inside = "".join(map(walk, below[i]))
+            return f"\0{inside}\0" if tag in html_main.BLOCKS else inside
+
+        runs = [" ".join(r.split()) for r in "".join(map(walk, below[-1])).split("\0")]
+        assert html_main.main_text(page, keep) == "\n\n".join(r for r in runs if r)
