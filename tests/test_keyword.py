@@ -2,9 +2,11 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from suite import fixture as fx
+from verbatim.operators import fuzzy
 from verbatim.operators import keyword as kw
 from verbatim.settings import KeywordSettings
 
@@ -262,3 +264,16 @@ def test_large_libraries_match_alike(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "held_rows", lambda *a, f=fuzzy.held_rows, **k: f(*a, **k))
     monkeypatch.setattr(fuzzy.term_parts, "__defaults__", (60,))
     assert run() == want and any("Row(slot" in r for r in want)
+
+
+def test_windows_of_long_texts_are_made_in_runs(spark, monkeypatch):
+    words = pa.array([["a", "b", "c"], None, [], ["d"] * 7, ["e", "f"], ["g", "h"], ["i"]])
+    parts = list(fuzzy.word_runs(words, 4))
+    assert [len(p) for p in parts] == [3, 1, 2, 1]
+    assert pa.concat_arrays(parts).to_pylist() == words.to_pylist()
+    whole = fuzzy.windows_of(words, [1, 2]).to_pylist()
+    assert [w for p in parts for w in fuzzy.windows_of(p, [1, 2]).to_pylist()] == whole
+    monkeypatch.setattr(fuzzy, "WINDOW_WORDS", 4)
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words.to_pylist())], "i int, w array<string>").coalesce(1)
+    got = df.select("i", fuzzy.word_windows(F.col("w"), [1, 2]).alias("v")).orderBy("i").collect()
+    assert [[w.asDict() for w in r["v"]] for r in got] == whole
