@@ -223,3 +223,17 @@ def test_taxonomy_build_stops_on_errors(spark, tmp_path):
     assert (row.subtheme, row.keywords_phrases) == ("s", ["one two", "three"])
     assert read_theme_rows(spark, str(tmp_path / "y" / "themes")).count() == 1
     assert TaxonomyBuild(validate_only=True).run(spark.createDataFrame(good, columns), str(tmp_path / "z")) == [] and not (tmp_path / "z").exists()
+
+
+def test_spread_tasks_grow_with_the_rows(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert io.spread(rows).rdd.getNumPartitions() == cores
+    many = io.spread(rows, rows_per_task=100)
+    assert many.rdd.getNumPartitions() >= 10 and many.rdd.getNumPartitions() % cores == 0
+    assert max(len(p) for p in many.rdd.glom().collect()) <= 150
+    assert sorted(r["id"] for r in many.collect()) == list(range(1000))
+    assert io.spread(rows.limit(0)).count() == 0
+    split = rows.repartition(cores + 1)
+    assert io.spread(split).rdd.getNumPartitions() == cores + 1
