@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verbatim.functions import plugins, vectors
+from verbatim.functions import phrases, plugins, vectors
 from verbatim.operators import rerank, semantic
 from verbatim.settings import SemanticSettings
 
@@ -175,3 +175,19 @@ def test_blocked_library_equals_broadcast(spark, monkeypatch):
     assert sum(v.count() for v in counted) < 0.5 * asked * 23
     nothing = semantic.add_candidates(df.filter("ID < 0"), library, 0.3, 5, max_broadcast_bytes=640)
     assert nothing.count() == 0
+
+
+def test_overlap_scorer_scores_a_batch_at_once(spark):
+    rows = [
+        (0, "The  late Box", ["late box", "THE late box", "", None, "box box the"]), (1, None, ["a", "b"]), (2, "x", None),
+        (3, "x y", []), (4, " ", ["x"]), (5, "İstanbul ΣΣ", ["İSTANBUL", "σσ"]), (6, "x y", ["y", "x y z"]),
+    ]
+    df = spark.createDataFrame(rows, "i int, t string, c array<string>").coalesce(1)
+    own = phrases.word_set(F.lower("t"))
+    each = F.transform("c", lambda c: phrases.jaccard(own, phrases.word_set(F.lower(c))))
+    scored = df.select("i", plugins.overlap_pair_scorer()(F.col("t"), F.col("c")).alias("got"), each.alias("want"))
+    for r in scored.collect():
+        assert r["got"] == r["want"], r
+    # The sets are made in batches, not by nested lambdas for every pair.
+    plan = scored.select("got")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "array_intersect" not in plan

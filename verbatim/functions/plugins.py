@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from verbatim.functions.expr import bind
-from verbatim.functions.phrases import jaccard, word_set
 from verbatim.functions.sentiment import lexicon_probs
 
 Scorer = Callable[[Column], Column]
@@ -29,15 +28,31 @@ PairScorer = Callable[[Column, Column], Column]
 
 
 def overlap_pair_scorer() -> PairScorer:
-    """Word overlap (Jaccard) of the text with each candidate."""
+    """Word overlap (Jaccard) of the text with each candidate.
 
-    def score(text: Column, candidates: Column) -> Column:
-        return bind(
-            word_set(F.lower(text)),
-            lambda own: F.transform(candidates, lambda c: jaccard(own, word_set(F.lower(c)))),
-        )
+    A batch of rows is scored at once: the word set of a candidate is made once a batch, that of a text once a row.
+    """
 
-    return score
+    @F.arrow_udf("array<double>")
+    def overlap(texts: pa.Array, candidates: pa.Array) -> pa.Array:
+        lengths = candidates.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = candidates.flatten().fill_null("").dictionary_encode()
+        # White space for ``split`` is the class that ``functions.patterns.WS`` spells out.
+        sets = [set(c.split()) for c in coded.dictionary.to_pylist()]
+        places = coded.indices.to_pylist()
+        scores = np.zeros(len(places))
+        at = 0
+        for text, n in zip(texts.to_pylist(), lengths.tolist(), strict=True):
+            own = set((text or "").split()) if n else ()
+            for i in range(at, at + n) if own else ():
+                other = sets[places[i]]
+                if common := len(own & other):
+                    scores[i] = common / (len(own) + len(other) - common)
+            at += n
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(scores), mask=candidates.is_null())
+
+    return lambda text, candidates: overlap(F.lower(text), F.transform(candidates, F.lower))
 
 
 def lexicon_aspect_scorer() -> Callable[[Column, Column], Column]:
