@@ -277,3 +277,21 @@ def test_windows_of_long_texts_are_made_in_runs(spark, monkeypatch):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words.to_pylist())], "i int, w array<string>").coalesce(1)
     got = df.select("i", fuzzy.word_windows(F.col("w"), [1, 2]).alias("v")).orderBy("i").collect()
     assert [[w.asDict() for w in r["v"]] for r in got] == whole
+
+
+def test_rows_without_text_are_dealt_to_all_tasks(spark):
+    rows = spark.range(400).select("id", F.when(F.col("id") < 4, "late delivry again").alias("t"))
+    slots = [fuzzy.FuzzySlot(0, ("late delivery",))]
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = fuzzy.add_fuzzy_matches(rows, "t", slots, 0.78)
+        parts = [[r for r in p if r["t"] is None] for p in out.rdd.glom().collect()]
+        found = {r["id"]: r["_fuzzy"] for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(map(len, parts)) == 396 and max(map(len, parts)) < 200
+    assert len(found) == 400 and all((found[i] is None) == (i >= 4) for i in found)
