@@ -110,8 +110,19 @@ def semantic_assignments(spark, d) -> DataFrame:
     return semantic.assign_semantic(qm.answers(spark, d), qm.encoded_library(spark), vectors.hashed_encoder(qm.DIM))
 
 
+def written(spark, df: DataFrame) -> DataFrame:
+    """``df`` written to the scratch folder and read again, for a table that several parts of a plan read."""
+    path = scratch_folder(spark) + "/table"
+    results.write_table(df, [path], "parquet")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def comparison(spark, d) -> DataFrame:
-    return reports.compare_assignments(assignments(spark, d), semantic_assignments(spark, d))
+    """Both methods on the same answers, which are prepared once."""
+    answers = spread(written(spark, qm.answers(spark, d)))
+    by_keyword = keyword.assign_keyword(answers, qm.INDEX, qm.EXACT)
+    by_vector = semantic.assign_semantic(answers, qm.encoded_library(spark), vectors.hashed_encoder(qm.DIM))
+    return reports.compare_assignments(by_keyword, by_vector)
 
 
 @query("jn12_compare_assignments", q.with_(COMPARISON) + "SELECT * FROM compared")
@@ -382,7 +393,7 @@ def rk6_frequent(spark, d):
 )
 def ag14_sketch(spark, d):
     """Sketches per facet, merged per text column; held against the exact numbers within the stated errors."""
-    table = view(spark, d)
+    table = written(spark, view(spark, d).select("ID", "TextColumn", "match_method", "rule_score"))
     merged = sketches.merged_metrics(sketches.facet_sketches(table, ["TextColumn", "match_method"], "ID", "rule_score"), ["TextColumn"])
     exact = table.groupBy("TextColumn").agg(F.count_distinct("ID").alias("ids"))
     ranks = table.join(merged.select("TextColumn", F.col("quantiles")[1].alias("median")), "TextColumn").groupBy("TextColumn").agg(

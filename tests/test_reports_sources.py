@@ -237,3 +237,13 @@ def test_spread_tasks_grow_with_the_rows(spark, tmp_path):
     assert io.spread(rows.limit(0)).count() == 0
     split = rows.repartition(cores + 1)
     assert io.spread(split).rdd.getNumPartitions() == cores + 1
+
+
+def test_several_readers_of_a_table_compute_it_once(spark):
+    """What the sketches and both sides of the comparison read is written once, with nothing of its making left in the plan."""
+    from suite import q_reports as qr
+
+    made = spark.range(50).select("id", F.col("id").cast("string").alias("name"))
+    kept = qr.written(spark, made)
+    assert kept.schema.names == made.schema.names and sorted(kept.collect()) == sorted(made.collect())
+    assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
