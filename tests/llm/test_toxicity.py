@@ -112,3 +112,16 @@ def test_scores_against_windows_one_by_one():
     slopes = model.slopes()
     got = toxicity.score_texts(texts, slopes, model.offset(), s, toxicity.WordOdds(slopes, s))
     assert np.allclose(got, [brute(t) for t in texts], atol=1e-5)
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    s = toxicity.Settings(buckets=1 << 10)
+    slopes = np.random.default_rng(3).normal(size=s.buckets).astype(np.float32)
+    odds = toxicity.WordOdds(slopes, s)
+    words = [f"word{i}".encode() for i in range(250_000)]
+    for at in range(0, len(words), 50_000):
+        odds.learn(words[at : at + 50_000])
+        assert len(odds) <= 100_000
+    fresh = toxicity.WordOdds(slopes, s)
+    fresh.learn(words[-50_000:])
+    assert {w: odds[w] for w in words[-50_000:]} == dict(fresh)

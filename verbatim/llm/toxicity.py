@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-REMEMBERED = 500_000
+#: Words whose odds a worker keeps, about 160 bytes each: workers outlive a stage, and what they keep stands beside the next one.
+REMEMBERED = 100_000
 #: Parts in which the sampled texts come to the driver.
 SAMPLE_PARTS = 16
 
