@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatim import lexicons as lx
-from verbatim.functions.expr import compute_once
+from verbatim.functions.expr import compute_once, split_at
 from verbatim.functions.patterns import WORD, any_term
 from verbatim.functions.plugins import PairScorer
 from verbatim.functions.text import split_multi, strip, token_count, tokens
@@ -223,7 +223,7 @@ def describe_clusters(
     )
     kept = clustered.select(
         "cluster",
-        F.filter(F.split(F.lower(F.col(text)), f"[^{WORD}]+"), lambda w: (w != "") & ~w.isin(*stop)).alias("w"),
+        F.filter(split_at(F.lower(F.col(text)), f"[^{WORD}]+"), lambda w: (w != "") & ~w.isin(*stop)).alias("w"),
     )
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))
