@@ -8,6 +8,7 @@ from verbatim.functions.expr import among, compute_all, explode_rows, split_at
 from verbatim.functions.patterns import WORD, WS
 from verbatim.functions.text import strip, token_count, tokens
 from verbatim.operators import keyword as kw
+from verbatim.operators import profile
 
 TEXTS = [
     None, "", " ", "a", "  two  words ", "tab\there\n", "late but good", "But first", "ends however", "a\x1fb but c", "but",
@@ -67,3 +68,16 @@ def test_costly_columns_are_projected_before_they_are_generated(spark):
     rows = explode_rows(df, ["_value0"], F.split(F.upper("t"), " "), "w", "at")
     assert [tuple(r) for r in rows.collect()] == [(1, 0, "A"), (1, 1, "B")]
     assert "posexplode(split(" not in optimized(rows)
+
+
+def test_clustering_makes_every_vector_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        made.add(1)
+        return None if i == 3 else [float(i % 2 * 10 + i / 100)]
+
+    clustered = profile.cluster_vectors(spark.range(20).select("id", vector("id").alias("vector")), 2)
+    assert made.value == 20
+    assert {r["id"]: r["cluster"] for r in clustered.collect()} == {i: None if i == 3 else i % 2 for i in range(20)}

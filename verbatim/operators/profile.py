@@ -165,13 +165,15 @@ def cluster_vectors(df: DataFrame, k: int, vector: str = "vector", order: str =
     sums the vectors per nearest centre, batch by batch in the tasks; ``k`` centres are all that comes to the driver. It
     ends when no centre moves. A centre without vectors stays where it is; a null vector has no cluster.
     """
-    vectors = df.filter(F.col(vector).isNotNull()).select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # A vector may be costly to make, so the filter and the first centres read what is computed once.
+    vectors = compute_once(df.select(F.col(order).alias("o"), F.col(vector).alias("v")), "v", F.col("v").cast("array<double>"))
+    vectors = vectors.filter(F.col("v").isNotNull()).checkpoint()
     first = vectors.orderBy("o").limit(k).collect()
     if not first:
         return df.withColumn("cluster", F.lit(None).cast("int"))
     ship_package(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)
-    vectors = vectors.select("v").checkpoint()
+    vectors = vectors.select("v")
     centres = np.array([r["v"] for r in first])
     for _ in range(rounds):
         now = centres
