@@ -12,6 +12,7 @@ from suite.q_quality import LIBRARY
 from suite.registry import query, scratch_folder
 from verbatim import lexicons as lx
 from verbatim.functions import phrases
+from verbatim.functions.expr import compute_once
 from verbatim.functions.patterns import WORD
 from verbatim.operators import curation, taxonomy
 from verbatim.operators.keyword import KeywordIndex
@@ -244,9 +245,8 @@ def sentences(spark, d, name: str, key: str, group: str) -> DataFrame:
         F.posexplode(parts).alias("i", "s"),
     )
     cleaned = F.trim(F.regexp_replace(F.lower("s"), f"[^{WORD}]+", " "))
-    return exploded.select(
-        "grp", (F.col("k") * 1_000_000 + F.col("i")).alias("ord"), cleaned.alias("phrase")
-    ).filter(F.col("phrase") != "")
+    numbered = exploded.select("grp", (F.col("k") * 1_000_000 + F.col("i")).alias("ord"), "s")
+    return compute_once(numbered, "phrase", cleaned).select("grp", "ord", "phrase").filter(F.col("phrase") != "")
 
 
 @query(

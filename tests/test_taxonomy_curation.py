@@ -103,6 +103,22 @@ def test_near_existing_matches_brute_force(spark):
     assert sorted(r["id"] for r in kept.collect()) == want and 0 < len(want) < len(new)
 
 
+def test_near_existing_looks_sets_up_without_a_shuffle_of_the_existing(spark, monkeypatch):
+    new = spark.createDataFrame([("ab"[i % 2], p) for i, p in enumerate(random_phrases(150, 21))] + [(None, "w1 w2"), ("a", "")], "grp string, phrase string")
+    old = spark.createDataFrame([("ab"[i % 2], p) for i, p in enumerate(random_phrases(150, 22) * 2)] + [(None, "w1 w2"), ("a", None), ("c", "w1")], "grp string, phrase string")
+    for threshold in (0.3, 0.65, 0.9):
+        held = curation.near_existing(new, old, ["grp"], threshold=threshold)
+        met = curation.near_existing(new, old, ["grp"], threshold=threshold, held_words=0)
+        rows = lambda df: sorted((r["grp"], tuple(r["words"])) for r in df.collect())
+        sim = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+        sides = [{(r["grp"], tuple(sorted(set((r["phrase"] or "").split())))) for r in df.collect() if r["grp"]} for df in (new, old)]
+        want = sorted({(g, n) for g, n in sides[0] if n and any(g == h and e and sim(n, e) >= threshold for h, e in sides[1])})
+        assert rows(held) == rows(met) == want and want
+    monkeypatch.delattr(curation, "_ordered_sets")
+    assert rows(curation.near_existing(new, old, ["grp"], threshold=0.9)) == want
+    assert curation.near_existing(new.limit(0), old, ["grp"]).count() == 0
+
+
 def test_jaccard(spark):
     df = spark.createDataFrame([("a b", "b c"), ("", "a"), ("a a", "a")], "x string, y string")
     got = [r[0] for r in df.select(jaccard(word_set(F.col("x")), word_set(F.col("y")))).collect()]

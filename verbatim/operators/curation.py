@@ -3,6 +3,7 @@
 Near-duplicates are found by an exact prefix-filtered similarity join. Equal word sets are collapsed first, words are
 ordered from rare to frequent, and two sets can only be similar enough if the rare ends of both share a word. Sets meet by
 word and size class, and only if the places of the word leave enough words behind it; ids meet, words are fetched later.
+Where one side is small, every task holds it and looks its own sets up there (``set_index``).
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatim.functions.phrases import canonical_phrase, is_generic_phrase, phrase_quality, word_set
-from verbatim.session import ensure_checkpoint_dir
+from verbatim.operators.set_index import SetIndex, near_names
+from verbatim.session import ensure_checkpoint_dir, ship_package
+
+#: Words of the new sets, in all, up to which every task holds them.
+HELD_WORDS = 1 << 19
 
 
 def candidates_for_library(df: DataFrame, phrase: str = "phrase") -> DataFrame:
@@ -129,22 +134,52 @@ def dedupe_phrases(
     return clean.join(kept_sets, [*keys, order], "left_semi")
 
 
+def _near_held(new_sets: DataFrame, existing_sets: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """``set_id`` of the new sets near an existing one: each existing set is looked up in its task, which holds the new ones."""
+    spark = new_sets.sparkSession
+    ship_package(spark)
+    groups = new_sets.select(*keys).distinct().withColumn("_g", F.monotonically_increasing_id()).checkpoint()
+    held = new_sets.join(F.broadcast(groups), list(keys)).select(F.col("set_id").alias("name"), F.col("_g").alias("grp"), "words")
+    shared = spark.sparkContext.broadcast(SetIndex.build(held.toArrow(), threshold))
+    rows = existing_sets.join(F.broadcast(groups), list(keys)).select("_g", "words")
+    return rows.mapInArrow(near_names(shared), "set_id string").distinct()
+
+
+def _near_shuffled(new_sets: DataFrame, existing_sets: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """``set_id`` of the new sets near an existing one: both sides meet in a shuffle by word."""
+    distinct = existing_sets.filter(F.size("words") > 0).withColumn("words", F.array_sort("words")).distinct()
+    names = F.concat(F.lit("e"), F.sha1(F.array_join("words", "\x01").cast("binary")))
+    both = new_sets.unionByName(distinct.withColumn("set_id", names))
+    ordered = _ordered_sets(both, keys).checkpoint()
+    left, right = (ordered.filter(F.col("set_id").startswith(side)) for side in "ne")
+    return _similar(left, right, keys, threshold, same=False).select(*keys, F.col("id_a").alias("set_id")).distinct()
+
+
 def near_existing(
-    new: DataFrame, existing: DataFrame, group: Sequence[str], phrase: str = "phrase", threshold: float = 0.65
+    new: DataFrame,
+    existing: DataFrame,
+    group: Sequence[str],
+    phrase: str = "phrase",
+    threshold: float = 0.65,
+    held_words: int = HELD_WORDS,
 ) -> DataFrame:
-    """Distinct word sets of ``new`` that are similar to some phrase of ``existing`` in the same group."""
+    """Distinct word sets of ``new`` that are similar to some phrase of ``existing`` in the same group.
+
+    Up to ``held_words`` words, the new sets go to every task and the existing ones are read once, without a shuffle.
+    """
     keys = list(group)
 
     def sets(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.array_sort(word_set(F.col(phrase))).alias("words")).filter(F.size("words") > 0).distinct()
+        return df.select(*keys, word_set(F.col(phrase)).alias("words"))
 
     ensure_checkpoint_dir(new.sparkSession)
-    name = lambda side: F.concat(F.lit(side), F.sha1(F.array_join("words", "\x01").cast("binary")))
-    both = sets(new).withColumn("set_id", name("n")).unionByName(sets(existing).withColumn("set_id", name("e")))
-    ordered = _ordered_sets(both, group).checkpoint()
-    left, right = (ordered.filter(F.col("set_id").startswith(side)) for side in "ne")
-    pairs = _similar(left, right, group, threshold, same=False).select(*keys, F.col("id_a").alias("set_id")).distinct()
-    return ordered.join(pairs, [*keys, "set_id"], "left_semi").select(*keys, F.array_sort("words").alias("words"))
+    new_sets = sets(new).filter(F.size("words") > 0).withColumn("words", F.array_sort("words")).distinct()
+    names = F.concat(F.lit("n"), F.sha1(F.concat_ws("\x01", F.to_json(F.struct(*keys)), F.array_join("words", "\x01")).cast("binary")))
+    new_sets = new_sets.withColumn("set_id", names).checkpoint()
+    words = new_sets.agg(F.sum(F.size("words"))).first()[0] or 0
+    near = _near_held if words <= held_words else _near_shuffled
+    on = "set_id" if words <= held_words else [*keys, "set_id"]
+    return new_sets.join(near(new_sets, sets(existing), keys, threshold), on, "left_semi").select(*keys, "words")
 
 
 def drop_near_existing(
