@@ -247,3 +247,19 @@ def test_several_readers_of_a_table_compute_it_once(spark):
     kept = qr.written(spark, made)
     assert kept.schema.names == made.schema.names and sorted(kept.collect()) == sorted(made.collect())
     assert "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["rk5_top_themes", "jn2_short_text_tokens", "dx9_topic_entropy", "rk1_keyword_top_k", "ag8_multi_label_collapse", "jn8_strict_columns"],
+)
+def test_survey_queries_get_more_tasks_with_more_rows(spark, tmp_path, monkeypatch, name):
+    """A task of these queries takes a bounded number of responses."""
+    import suite
+
+    orders = "id AS o_orderkey", "id % 7 AS o_custkey", "date'2024-01-01' AS o_orderdate"
+    spark.range(400).selectExpr(*orders).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(fx, "spread", lambda df: io.spread(df, rows_per_task=30))
+    plan = suite.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    cores = spark.sparkContext.defaultParallelism
+    assert f"Repartition {cores * -(-400 // (cores * 30))}, true" in plan
