@@ -1,10 +1,13 @@
 import json
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from verbatim.functions.phrases import jaccard, word_set
 from verbatim.operators import curation, taxonomy
+from verbatim.session import written
 from verbatim.sources import taxonomy as io
 
 COLUMNS = "column string, parent string, theme string, subtheme string, polarity string, phrase string"
@@ -132,3 +135,41 @@ def test_related_examples(spark):
     )
     got = curation.related_examples(df, [("A", "load", "s"), ("A", "the WORK LOAD topic", "t"), ("B", "load", "s")])
     assert got.count() == 20 and {r["example"] for r in got.filter("rank = 1").collect()} == {"e0"}
+
+
+def test_similar_sets_match_brute_force_and_shuffle_no_set_to_order_it(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    made = {(g, tuple(sorted(rng.sample(words, rng.randint(1, 14))))) for g in "ab" for _ in range(150)}
+    made |= {(g, tuple(sorted({*s, rng.choice(words)} - {rng.choice(s)}))) for g, s in list(made)}
+    rows = [(g, i, list(s)) for i, (g, s) in enumerate(sorted(made)) if s] + [(None, 9000, ["w1", "w2"]), (None, 9001, ["w1", "w2"])]
+    sets = spark.createDataFrame(rows, "grp string, set_id long, words array<string>").repartition(3)
+    monkeypatch.delattr(curation, "_ordered_sets")
+    for threshold, common in ((0.3, 4), (0.65, 1 << 18), (0.65, 0), (0.9, 16)):
+        monkeypatch.setattr(curation.common_codes, "__defaults__", (common,))
+        got = {(r["id_a"], r["id_b"]) for r in curation.similar_sets(sets, ["grp"], threshold).collect()}
+        want = {
+            (i, j) for g, i, s in rows for h, j, t in rows
+            if g and g == h and i < j and len(set(s) & set(t)) / len(set(s) | set(t)) >= threshold
+        }
+        assert got == want and want
+
+
+def test_written_tables_leave_no_shuffle_files_behind(spark):
+    held = lambda: {f.name for d in Path(str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0])).iterdir() if d.is_dir() for f in d.glob("shuffle_*.data")}
+    df = spark.createDataFrame([("g", i, p) for i, p in enumerate(random_phrases(300, 3))], "grp string, ord long, phrase string")
+    before = held()
+    pairs = written(df.repartition(3, "phrase").groupBy("phrase").count())
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and pairs.count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_canonical_phrases_are_computed_once(spark):
+    df = spark.createDataFrame([("My Manager likes color.",), ("a vacation  plan",)], "phrase string")
+    plan = curation.candidates_for_library(df)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("normalise(") <= 1
+    assert sorted(r["phrase"] for r in plan.collect()) == ["a annual leave plan", "my line manager likes colour"]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -52,7 +54,11 @@ def nfkc(c: Column) -> Column:
 def canonical_phrase(c: Column) -> Column:
     """Trim, NFKC, collapse spaces, regional wording, lower case, no punctuation at the edges."""
     text = F.lower(collapse_spaces(nfkc(strip(F.coalesce(c, F.lit(""))))))
-    return F.btrim(F.lower(uk_terms(uk_spelling(text, True), True)), F.lit(lx.PHRASE_EDGE_CHARS))
+    # A text with none of the words is left alone by every replacement; this test is compiled, the replacements are not.
+    needles = [*lx.UK_SPELLINGS, *(t.removesuffix("(s)") for t in lx.US_TO_UK_TERMS), "manager"]
+    concerned = reduce(or_, [F.contains(text, F.lit(n)) for n in needles])
+    regional = F.when(concerned, F.lower(uk_terms(uk_spelling(text, True), True))).otherwise(text)
+    return F.btrim(regional, F.lit(lx.PHRASE_EDGE_CHARS))
 
 
 def is_generic_phrase(c: Column) -> Column:

@@ -11,21 +11,27 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbatim.functions.expr import compute_once
 from verbatim.functions.phrases import canonical_phrase, is_generic_phrase, phrase_quality, word_set
-from verbatim.operators.set_index import SetIndex, near_names
-from verbatim.session import ensure_checkpoint_dir, ship_package
+from verbatim.functions.text import tokens
+from verbatim.operators.set_index import SetIndex, meeting, near_names, rare_ends
+from verbatim.session import ensure_checkpoint_dir, ship_package, written
 
 #: Words of the new sets, in all, up to which every task holds them.
 HELD_WORDS = 1 << 19
+#: Words whose order every task holds; rarer ones are ordered by their hash.
+COMMON = 1 << 18
 
 
 def candidates_for_library(df: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Canonical phrases that are not generic."""
-    canonical = df.withColumn(phrase, canonical_phrase(F.col(phrase)))
+    canonical = compute_once(df, phrase, canonical_phrase(F.col(phrase))).select(*df.columns)
     return canonical.filter((F.col(phrase) != "") & ~is_generic_phrase(F.col(phrase)))
 
 
@@ -84,21 +90,64 @@ def _similar(left: DataFrame, right: DataFrame, group: Sequence[str], threshold:
 
 
 def similar_sets(sets: DataFrame, group: Sequence[str], threshold: float) -> DataFrame:
-    """Pairs ``(id_a < id_b, similarity)`` of distinct word sets of a group with Jaccard at or above the threshold."""
-    ensure_checkpoint_dir(sets.sparkSession)
-    ordered = _ordered_sets(sets, group).checkpoint()
-    return _similar(ordered, ordered, group, threshold, same=True)
+    """Pairs ``(id_a < id_b, similarity)`` of distinct word sets of a group with Jaccard at or above the threshold.
+
+    Words are numbers behind their group, in an order that is the same in every task, so no set is shuffled to be put in
+    order. Of every set only its rare end travels, a row per word; what meets there and could be similar is confirmed on
+    the words themselves. Sets of a group that is null have no pairs.
+    """
+    named = sets.select(*group, "set_id", F.array_join("words", "\x01").alias("line")).dropna(subset=[*group, "set_id"])
+    return _similar_numbered(written(named.withColumn("number", F.monotonically_increasing_id())), group, threshold, "\x01")
+
+
+def _similar_numbered(named: DataFrame, group: Sequence[str], threshold: float, mark: str) -> DataFrame:
+    """``similar_sets`` of a written table: a set has a ``number``, and a ``line`` of its words with ``mark`` between them."""
+    spark, keys = named.sparkSession, list(group)
+    ship_package(spark)
+    words = named.filter("line <> ''").select(*keys, "number", F.split("line", mark).alias("words"))
+    codes = words.select("number", F.transform("words", lambda w: F.xxhash64(*keys, w)).alias("codes"))
+    order = spark.sparkContext.broadcast(common_codes(codes))
+    rows = codes.mapInArrow(rare_ends(order, threshold), "code bigint, number bigint, size int, place int, bits bigint")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(parts, "code").sortWithinPartitions("code", "size").mapInArrow(meeting(threshold), "x bigint, y bigint")
+    met = written(met.distinct())
+    order.unpersist()
+    ends = met.select(F.explode(F.array("x", "y")).alias("number")).distinct()
+    held = written(named.join(ends, "number", "left_semi"))
+    for side in "xy":
+        met = met.join(held.select(F.col("number").alias(side), F.struct(*keys, "set_id", "line").alias(f"_{side}")), side)
+    swapped = F.col("_x.set_id") > F.col("_y.set_id")
+    same = reduce(and_, [F.col(f"_x.{k}") == F.col(f"_y.{k}") for k in keys], F.col("_x.set_id") != F.col("_y.set_id"))
+    ends_of = [F.when(swapped, F.col(f"_{q}.set_id")).otherwise(F.col(f"_{p}.set_id")) for p, q in ("xy", "yx")]
+    split = [F.split(f"_{side}.line", mark).alias(side) for side in "xy"]
+    both = met.filter(same).select(*[F.col(f"_x.{k}").alias(k) for k in keys], ends_of[0].alias("id_a"), ends_of[1].alias("id_b"), *split)
+    common = F.size(F.array_intersect("x", "y"))
+    score = common / (F.size("x") + F.size("y") - common)
+    return both.select(*keys, "id_a", "id_b", score.alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def common_codes(codes: DataFrame, most: int = COMMON) -> np.ndarray:
+    """The numbers of the commonest words, ``most`` at most, from rare to frequent: those that reach one count."""
+    counts = written(codes.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")))
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    steps = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).collect()
+    least, total = None, 0
+    for step in sorted(steps, key=lambda r: -r["level"]):
+        total += step["size"]
+        if total > most:
+            break
+        least = step["least"]
+    if least is None:
+        return np.empty(0, np.int64)
+    return counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "ascending"), ("code", "ascending")]).column("code").to_numpy()
 
 
 def _distinct_sets(df: DataFrame, group: Sequence[str], phrase: str, order: str) -> DataFrame:
-    """Distinct word sets per group, named by the order of their first phrase."""
-    words = F.array_sort(word_set(F.col(phrase)))
-    return (
-        df.select(*group, words.alias("words"), F.col(order).alias("_o"))
-        .filter(F.size("words") > 0)
-        .groupBy(*group, "words")
-        .agg(F.min("_o").alias("set_id"))
-    )
+    """Distinct word sets of canonical phrases per group, as lines, named by the order of their first phrase."""
+    # A line of words is a smaller key than an array of them; canonical phrases have no white space but spaces.
+    line = F.array_join(F.sort_array(F.array_distinct(tokens(F.col(phrase), only_spaces=True))), " ")
+    lines = compute_once(df.select(*group, phrase, F.col(order).alias("_o")), "_l", line).filter(F.col("_l") != "")
+    return lines.groupBy(*group, "_l").agg(F.min("_o").alias("set_id")).withColumnRenamed("_l", "line")
 
 
 def dedupe_phrases(
@@ -108,15 +157,15 @@ def dedupe_phrases(
 
     Phrases are canonicalised and generic ones dropped first. The greedy choice is settled in rounds over the similar
     pairs only: a phrase without an undecided earlier neighbour stays, and its later neighbours go. ``order`` must be
-    unique per group. Each round is checkpointed, so its lineage does not grow.
+    unique per group. Each round is checkpointed, so its lineage does not grow. Rows with a null group or order go.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # Canonicalising is the costly step and is read three times below.
-    clean = candidates_for_library(df, phrase).checkpoint()
-    sets = _distinct_sets(clean, group, phrase, order)
     keys = list(group)
-    pairs = similar_sets(sets, group, threshold).select(*keys, "id_a", "id_b").checkpoint()
-    undecided_pairs, removed = pairs, None
+    # Canonicalising is the costly step and is read three times below.
+    clean = written(candidates_for_library(df.dropna(subset=[*keys, order]), phrase))
+    sets = written(_distinct_sets(clean, group, phrase, order).withColumn("number", F.monotonically_increasing_id()))
+    pairs = _similar_numbered(sets, group, threshold, " ").select(*keys, "id_a", "id_b")
+    undecided_pairs, removed = written(pairs), None
     while not undecided_pairs.isEmpty():
         blocked = undecided_pairs.select(*keys, F.col("id_b").alias("id_a")).distinct()
         kept = undecided_pairs.select(*keys, "id_a").distinct().join(blocked, [*keys, "id_a"], "left_anti")

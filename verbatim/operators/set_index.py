@@ -127,3 +127,85 @@ def near_names(shared) -> Callable:
         yield pa.RecordBatch.from_arrays([index.names.filter(pa.array(near))], ["set_id"])
 
     return run
+
+
+def rare_ends(shared, threshold: float) -> Callable:
+    """(number, codes) of sets to (code, number, size, place, bits), one row per word of the rare end.
+
+    Codes in the shared array come last, as there; all others come first, by their value. ``bits`` has a bit per word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        by_code = np.argsort(common)
+        known = common[by_code]
+        for batch in batches:
+            number, codes = batch.column(0).to_numpy(), batch.column(1)
+            size = pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = codes.flatten().to_numpy()
+            if not len(code):
+                continue
+            row = np.repeat(np.arange(len(size)), size)
+            rank = np.full(len(code), -1)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                rank = np.where(known[at] == code, by_code[at], -1)
+            filled = np.flatnonzero(size)
+            starts = np.cumsum(size) - size
+            bits = np.zeros(len(size), np.uint64)
+            bits[filled] = np.bitwise_or.reduceat(np.uint64(1) << (code.view(np.uint64) & np.uint64(63)), starts[filled])
+            order = np.lexsort((code, rank, row))
+            place = np.arange(len(code)) - starts[row]
+            end = np.flatnonzero(place < prefix_size(size, threshold)[row])
+            own = row[end]
+            columns = [code[order[end]], number[own], size[own].astype(np.int32), place[end].astype(np.int32), bits[own].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["code", "number", "size", "place", "bits"])
+
+    return run
+
+
+def _whole_codes(batches: Iterator[pa.RecordBatch], rows: int = EXPANDED) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first one, in pieces of ``rows`` and more that end where it changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= rows:
+            piece = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(piece[0], piece[0][-1]))
+            held = [[c[cut:] for c in piece]]
+            if cut:
+                yield [c[:cut] for c in piece]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def meeting(threshold: float) -> Callable:
+    """Rows of ``rare_ends`` sorted by code and size to the pairs (x, y) of numbers that could be similar, x the smaller set.
+
+    The smaller set needs to show fewer words, as the larger one has as many. A shared word counts if the words behind it, in
+    both sets, could still make up the overlap, and if no more bits differ than words may.
+    """
+    t, share = threshold, threshold / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, number, size, place, bits in _whole_codes(batches):
+            size = size.astype(np.int64)
+            step = np.int64(size.max() + 1)
+            key = np.cumsum(np.append(0, code[1:] != code[:-1])) * step
+            shown = np.flatnonzero(place < size - np.ceil(np.round(2 * share * size, 6)) + 1)
+            at = (key + size)[shown]
+            first = np.searchsorted(at, key + np.ceil(size * t - 1e-9).astype(np.int64))
+            found = np.searchsorted(at, key + size, side="right") - first
+            for part in _runs(found):
+                y, post = _expanded(first[part], found[part])
+                y, x = y + part.start, shown[post]
+                total = size[x] + size[y]
+                needed = total * share - 1e-6
+                possible = (size[x] < size[y]) | (number[x] < number[y])
+                possible &= np.minimum(size[x] - place[x], size[y] - place[y]) >= needed
+                possible &= np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= total - 2 * needed  # of signed numbers it counts the magnitude
+                pairs = np.unique(np.stack([number[x[possible]], number[y[possible]]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+
+    return run
