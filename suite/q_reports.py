@@ -207,7 +207,9 @@ def io12(spark, d):
     "FROM pick",
 )
 def dx1(spark, d):
-    merged = reports.hybrid_merge(assignments(spark, d), semantic_assignments(spark, d))
+    answers = spread(written(spark, qm.answers(spark, d)))  # both sides read them
+    found = semantic.assign_semantic(answers, qm.encoded_library(spark), vectors.hashed_encoder(qm.DIM))
+    merged = reports.hybrid_merge(keyword.assign_keyword(answers, qm.INDEX, qm.EXACT), found)
     return qm.rounded(merged.select("ID", "TextColumn", "theme", "match_method", "rule_score"), "rule_score")
 
 

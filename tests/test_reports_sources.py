@@ -263,3 +263,18 @@ def test_survey_queries_get_more_tasks_with_more_rows(spark, tmp_path, monkeypat
     plan = suite.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     cores = spark.sparkContext.defaultParallelism
     assert f"Repartition {cores * -(-400 // (cores * 30))}, true" in plan
+
+
+def test_hybrid_merge_carries_only_the_fields_that_are_read(spark):
+    schema = "ID long, TextColumn string, theme string, rule_score double, evidence string, reason string"
+    keyword = spark.createDataFrame(
+        [(1, "a", "K", 0.9, "e", "matched"), (2, "a", "K", 0.2, "e", "matched"), (3, "a", "", 0.0, "", "no_match"),
+         (4, "a", "B", 1.0, "", "dismissed:No"), (5, "a", "", 0.0, "", "no_match"), (5, "a", "", 0.0, "", "no_match"),
+         (6, "a", "K", None, "e", "matched"), (7, None, "", 0.0, "", "no_match")], schema)
+    semantic = spark.createDataFrame([(i, "a", f"S{i}", 0.6 if i == 3 else 0.8, "s", "matched") for i in range(1, 7)] + [(7, None, "S7", 0.9, "s", "matched")], schema)
+    merged = reports.hybrid_merge(keyword, semantic)
+    assert merged.columns == keyword.columns
+    got = sorted((r["ID"], r["theme"], r["evidence"]) for r in merged.collect())
+    assert got == [(1, "K", "e"), (2, "S2", "s"), (3, "", ""), (4, "B", ""), (5, "S5", "s"), (5, "S5", "s"), (6, "S6", "s"), (7, "", "")]
+    plan = merged.select("ID", "theme")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [step for step in plan if "evidence" in step and "LogicalRDD" not in step]

@@ -183,12 +183,10 @@ def hybrid_merge(keyword: DataFrame, semantic: DataFrame, min_score: float = 0.7
     """
     keys = ["ID", "TextColumn"]
     fields = [c for c in keyword.columns if c not in keys]
-    fallback = semantic.filter((F.col("reason") == "matched") & (F.col("rule_score") >= min_score)).select(
-        *keys, F.struct(*fields).alias("_s")
-    )
-    joined = keyword.select(*keys, F.struct(*fields).alias("_k")).join(fallback, keys, "left")
-    keyword_wins = (F.col("_k.reason") != "no_match") & (
-        (F.col("_k.reason") != "matched") | (F.col("_k.rule_score") >= min_score)
-    )
-    chosen = F.when(keyword_wins | F.col("_s").isNull(), F.col("_k")).otherwise(F.col("_s"))
-    return joined.select(*keys, chosen.alias("_c")).select(*keys, "_c.*")
+    # Field by field, so that only the fields somebody reads are computed, shuffled and joined.
+    found = (F.col("reason") == "matched") & (F.col("rule_score") >= min_score)
+    fallback = semantic.filter(found).select(*keys, F.lit(True).alias("_found"), *[F.col(f).alias(f"_s_{f}") for f in fields])
+    joined = keyword.select(*keys, *fields).join(fallback, keys, "left")
+    keyword_wins = (F.col("reason") != "no_match") & ((F.col("reason") != "matched") | (F.col("rule_score") >= min_score))
+    kept = keyword_wins | F.col("_found").isNull()
+    return joined.select(*keys, *[F.when(kept, F.col(f)).otherwise(F.col(f"_s_{f}")).alias(f) for f in fields])
