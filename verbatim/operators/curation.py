@@ -2,7 +2,7 @@
 
 Near-duplicates are found by an exact prefix-filtered similarity join. Equal word sets are collapsed first, words are
 ordered from rare to frequent, and two sets can only be similar enough if the rare ends of both share a word. Sets meet by
-word and size class, and only if the places of the word leave enough words behind it; ids meet, words are fetched later.
+word and size, and only if the places of the word leave enough words behind it; numbers meet, words are fetched later.
 Where one side is small, every task holds it and looks its own sets up there (``set_index``).
 """
 
